@@ -6,8 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dewfall.llm import urlrules
-from dewfall.llm.common import table
+from dewfall.llm import mixing, packing, urlrules, warc
+from dewfall.llm.common import shared_dir, table
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies"
+    )
+
+
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
+    return warc.read_archives(spark, archives).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload_ok"
+    )
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +58,11 @@ SELECT page_id, host, path, rule, CASE
 FROM c
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_url_filters": op5_url_filters}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
+    "op2_warc_archives": op2_warc_archives,
+    "op3_packing": op3_packing,
+    "op5_url_filters": op5_url_filters,
+}
 
 ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL}
