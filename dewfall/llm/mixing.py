@@ -126,7 +126,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     placed = written(
         keyed.withColumn("r", rank).join(
             offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("salt") == F.col("_k"))
-        ),
+        ).drop("_s", "_z", "_k"),
         "placed",
     )
 
