@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dewfall.llm import mixing, packing, urlrules, warc
+from dewfall.llm import minhash, mixing, packing, urlrules, warc
 from dewfall.llm.common import shared_dir, table
 
 
@@ -32,6 +32,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 _WORDS = "|".join(r.name.replace("-", "[^a-z0-9/]") for r in urlrules.WORD_RULES)
 
 OP5_SQL = f"""
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_archives": op2_warc_archives,
     "op3_packing": op3_packing,
     "op5_url_filters": op5_url_filters,
+    "op7_minhash_dedup": op7_minhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL}
