@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dewfall.llm import minhash, mixing, packing, urlrules, warc
+from dewfall.llm import embdedup, minhash, mixing, packing, topk, urlrules, warc
 from dewfall.llm.common import shared_dir, table
 
 
@@ -36,6 +37,14 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.linked(table(spark, sf_dir, "embeddings"))
+
+
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 _WORDS = "|".join(r.name.replace("-", "[^a-z0-9/]") for r in urlrules.WORD_RULES)
 
 OP5_SQL = f"""
@@ -62,12 +71,48 @@ SELECT page_id, host, path, rule, CASE
 FROM c
 """
 
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a
+), c AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), n AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY a
+)
+SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c LEFT JOIN n USING (vec_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_warc_archives": op2_warc_archives,
     "op3_packing": op3_packing,
     "op5_url_filters": op5_url_filters,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_embedding_dedup": op8_embedding_dedup,
+    "op10_topk_search": op10_topk_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filters": OP5_SQL,
+    "op8_embedding_dedup": OP8_SQL,
+    "op10_topk_search": OP10_SQL,
+}
