@@ -47,6 +47,13 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hash_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """About `rows` rows, those whose hash of `by` falls below a threshold; never more than twice as many."""
+    n = df.count()
+    low = F.pmod(F.xxhash64(*by), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, rows / max(n, 1))))
+    return df.where(low).limit(2 * rows)
+
+
 def word_count(text: Column) -> Column:
     """Number of words in text, 0 for null: words begin where a non-separator follows a separator."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

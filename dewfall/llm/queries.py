@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dewfall.llm import embdedup, minhash, mixing, packing, topk, urlrules, warc
+from dewfall.llm import embdedup, minhash, mixing, packing, topk, toxicity, urlrules, warc
 from dewfall.llm.common import shared_dir, table
 
 
@@ -33,6 +33,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_warc_archives": op2_warc_archives,
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_url_filters": op5_url_filters,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,

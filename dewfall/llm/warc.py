@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dewfall.llm.common import written
+from dewfall.llm.common import hash_sample, written
 
 #: Skippable frame that holds the dictionary.
 MAGIC = 0x184D2A5D
@@ -122,13 +122,12 @@ def read_archive(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def train_dictionary(pages: DataFrame, records: int = SAMPLE_RECORDS, size: int = DICT_BYTES) -> bytes:
-    """From the records of the lowest hashes: at most `records` payloads of at most SAMPLE_BYTES each.
+    """From about `records` records, picked by hash, with at most SAMPLE_BYTES of payload each.
 
     Too small or too uniform a sample gives no dictionary (zero bytes); records then stand alone."""
     rows = (
-        pages.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"))
-        .orderBy(F.xxhash64("page_id", "url"), "page_id")
-        .limit(records)
+        hash_sample(pages, records, "page_id", "url")
+        .select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"))
         .collect()
     )
     samples = [build_record(r.page_id, r.url, (r.html or "").encode(), None, None, False) for r in rows]
