@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dewfall.llm import embdedup, minhash, mixing, packing, topk, toxicity, urlrules, warc
+from dewfall.llm import embdedup, minhash, mixing, packing, pii, topk, toxicity, urlrules, warc
 from dewfall.llm.common import shared_dir, table
 
 
@@ -38,6 +38,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op5_url_filters": op5_url_filters,
+    "op6_personal_data": op6_personal_data,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op10_topk_search": op10_topk_search,
