@@ -22,7 +22,7 @@ END = 2
 #: Rests that one task packs together; groups hold about this many at any input size.
 GROUP_PIECES = 50_000
 #: Words whose token ids a task remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, uid long"
 
@@ -34,26 +34,42 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Token ids of a text, word by word.
+    """Token ids of texts, word by word.
 
     The tokenizer never merges over white space, so a text's ids are those of its space-separated
-    words in turn; words are remembered, as most repeat."""
+    words in turn; words are remembered, as most repeat. New words of many texts are encoded in one
+    call, apart by a special token whose id marks where each ends."""
+
+    MARK = "<|startoftext|>"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        if missing := [w for w in dict.fromkeys(words) if w not in self.known]:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-                missing = list(dict.fromkeys(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.mark = self.tokenizer.token_to_id(self.MARK)
+
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            ids = self.tokenizer.encode_batch_fast([self.MARK.join(part)], add_special_tokens=False)[0].ids
+            ids = np.array(ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            start = 0
+            for w, end in zip(part, ends, strict=True):
+                self.known[w] = ids[start:end].tobytes()
+                start = end + 1
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        new = list(set().union(*split).difference(self.known))
+        special = [w for w in new if "<|" in w]
+        self._learn([w for w in new if "<|" not in w] if special else new)
+        for w in special:
+            self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         known = self.known
-        return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
 
 
 def pieces(docs: DataFrame, window: int = 4096, tokenizer: str | None = None) -> DataFrame:
@@ -67,10 +83,12 @@ def pieces(docs: DataFrame, window: int = 4096, tokenizer: str | None = None) ->
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = Encoder(path)
-        for batch in batches:
+        parts = (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500))
+        for batch in parts:
             cols: list[list] = [[], [], [], [], [], []]
-            for doc, text, uid in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.append(encode(text or ""), np.array([END], "<u4")).astype("<u4")
+            docs, texts, uids = (c.to_pylist() for c in batch.columns)
+            for doc, own, uid in zip(docs, encode([t or "" for t in texts]), uids, strict=True):
+                ids = np.append(own, np.array([END], "<u4"))
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
                     for col, v in zip(cols, (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), uid), strict=True):
