@@ -84,14 +84,14 @@ def solve(cells: DataFrame, goal: dict[str | None, float], means: dict[str | Non
     return lam
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies, taken) for every row of docs.
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, rate, copies, taken), then `carry`, for every row of docs.
 
     Needs doc_id, text, source. A null or empty text has size 0: rate 1 at lambda 0, one copy, taken 0. A null
     source is a source of its own, last in order. Rows that repeat a doc_id are rounded each on
     their own. An empty table gives an empty result. Ties in size are ordered by doc_id, so reruns
     agree. No document is copied more than ceil(cap) times."""
-    narrow = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    narrow = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry), "sizes")
     cells = written(narrow.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     rows = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
@@ -115,14 +115,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     keyed = narrow.join(
         cells.select(F.col("source").alias("_s"), F.col("size").alias("_z"), parts.alias("parts")),
         F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")),
-    ).select("doc_id", "source", "size", salt.alias("salt"))
+    ).select("doc_id", "source", "size", *carry, salt.alias("salt"))
     keyed = written(keyed, "keyed")
     steps = with_source(keyed.groupBy("source", "size", "salt").agg(F.count("*").alias("n")))
     before = Window.partitionBy("source").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = steps.withColumn("off", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(before), F.lit(0.0))).select(
         F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("salt").alias("_k"), "off", "rate", "source_size", "target"
     )
-    rank = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("doc_id")).cast("double")
+    rank = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("doc_id", *carry)).cast("double")
     placed = written(
         keyed.withColumn("r", rank).join(
             offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("salt") == F.col("_k"))
@@ -139,5 +139,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     tried = placed.groupBy("source").agg(*(F.sum(copies(F.lit(u)) * F.col("size")).alias(f"s{k}") for k, u in enumerate(starts))).collect()
     best = {r.source: min(starts, key=lambda u: (abs(r[f"s{starts.index(u)}"] - goal[r.source]), u)) for r in tried}
     return _per_source(placed, best, "start").withColumn("copies", copies(F.col("start"))).select(
-        "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry
     )
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of docs, each as often as mix() takes it; rows with no copies go.
+
+    Rows that repeat a doc_id, or have none, are told apart by a number that is written down before it is used."""
+    numbered = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "numbered")
+    taken = mix(numbered, carry=["_mix_row"]).select("_mix_row", F.col("copies").alias("_mix_copies")).where("_mix_copies > 0")
+    rows = numbered.join(taken, "_mix_row").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))))
+    return rows.select(docs.columns)
