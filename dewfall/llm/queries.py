@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dewfall.llm import embdedup, minhash, mixing, packing, pii, topk, toxicity, urlrules, warc
+from dewfall.llm import embdedup, licenses, minhash, mixing, packing, pii, topk, toxicity, urlrules, warc
 from dewfall.llm.common import shared_dir, table
 
 
@@ -50,6 +50,10 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.linked(table(spark, sf_dir, "embeddings"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -119,11 +123,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_personal_data": op6_personal_data,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_topk_search": op10_topk_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_url_filters": OP5_SQL,
     "op8_embedding_dedup": OP8_SQL,
+    "op9_license_scan": licenses.OP9_SQL,
     "op10_topk_search": OP10_SQL,
 }
