@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from dewfall.jobs import climatology, oracles
+
+ORACLE_SQL: dict[str, str] = oracles.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: getattr(climatology, name) for name in ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
