@@ -28,7 +28,7 @@ st AS (SELECT {", ".join("a." + k.strip() for k in keys.split(","))}, count(a.{x
 
 _LEVELS = f"WITH {_MOIST}{_LONG}, lev AS (SELECT *, unnest([0, 1 + h // 3, 9 + h]) AS level_bin FROM long), {_central('slot, cy, cx, level_bin, variable', 'x', 'lev')}"
 _SHOWN = """round(mean, 9) + 0 AS mean, round(m2, 9) + 0 AS m2, round(low, 9) AS low, round(high, 9) AS high,
-  CASE WHEN high > low THEN round(m3 / n / pow(m2 / n, 1.5), 6) + 0 END AS g1, CASE WHEN high > low THEN round(n * m4 / (m2 * m2) - 3, 6) + 0 END AS g2"""
+  CASE WHEN high - low > 1e-9 * abs(high) THEN round(m3 / n / pow(m2 / n, 1.5), 6) + 0 END AS g1, CASE WHEN high - low > 1e-9 * abs(high) THEN round(n * m4 / (m2 * m2) - 3, 6) + 0 END AS g2"""
 _OVER = ", ".join(f"count(*) FILTER ({v} > {t}) AS {v}_over_{k}" for v, ts in THRESHOLDS.items() for k, t in enumerate(ts))
 _HOURS = "hours AS (SELECT event_type, date_trunc('hour', ts) AS hour, avg(value) AS v FROM events GROUP BY 1, 2)"
 
@@ -36,7 +36,7 @@ SQL: dict[str, str] = {
     "moments_l1": f"WITH {_MOIST}, {_central('slot, cy, cx', 'rh', 'moist')} SELECT slot, cy, cx, n, missing, {_SHOWN} FROM st",
     "moments_levels": f"{_LEVELS} SELECT slot, cy, cx, level_bin, variable, n, {_SHOWN} FROM st WHERE n > 0",
     "decades_merged": f"""WITH {_MOIST}{_LONG} SELECT slot, cy, cx, variable, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS std,
-  CASE WHEN count(x) >= 3 AND max(x) > min(x) THEN skewness(x) END AS skew, CASE WHEN count(x) >= 4 AND max(x) > min(x) THEN kurtosis(x) END AS kurt
+  CASE WHEN count(x) >= 3 AND max(x) - min(x) > 1e-9 * abs(max(x)) THEN skewness(x) END AS skew, CASE WHEN count(x) >= 4 AND max(x) - min(x) > 1e-9 * abs(max(x)) THEN kurtosis(x) END AS kurt
   FROM long GROUP BY ALL HAVING count(x) > 0""",
     "thresholds": f"""WITH {_MOIST} SELECT slot, cy, cx, {_OVER}, count(*) FILTER (rh > 90 AND q > 0.012) AS rh90_q012,
   count(*) FILTER (rh_raw > 100) AS n_supersat, count(*) FILTER (e >= p) AS n_bad_ep FROM moist GROUP BY slot, cy, cx""",

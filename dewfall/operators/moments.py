@@ -63,7 +63,7 @@ def merge_moments(states: DataFrame, keys: Sequence[str]) -> DataFrame:
 def finalized() -> list[Column]:
     """std, skew, kurt (bias-corrected) from a state's n, m2, m3, m4."""
     n, m2, m3, m4 = (F.col(c) for c in ("n", "m2", "m3", "m4"))
-    varied = F.col("high") > F.col("low")
+    varied = varies()
     skew = F.sqrt(n * (n - 1)) / (n - 2) * (m3 / n) / F.pow(m2 / n, F.lit(1.5))
     kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * n * m4 / (m2 * m2) - 3 * (n - 1))
     return [
@@ -73,10 +73,15 @@ def finalized() -> list[Column]:
     ]
 
 
+def varies() -> Column:
+    """The extremes differ by more than rounding; otherwise higher moments are noise."""
+    return F.col("high") - F.col("low") > 1e-9 * F.abs("high")
+
+
 def scale_free() -> list[Column]:
     """mean, m2, g1, g2, low, high rounded: population skewness and excess kurtosis stand for m3 and m4, whose size varies with units."""
     n, m2 = F.col("n"), F.col("m2")
-    varied = (n > 0) & (F.col("high") > F.col("low"))
+    varied = (n > 0) & varies()
     g1 = F.when(varied, F.round(F.col("m3") / n / F.pow(m2 / n, F.lit(1.5)), 6) + 0.0)
     g2 = F.when(varied, F.round(n * F.col("m4") / (m2 * m2) - 3, 6) + 0.0)
     return [*((F.round(c, 9) + 0.0).alias(c) for c in ("mean", "m2")), g1.alias("g1"), g2.alias("g2"), *(F.round(c, 9).alias(c) for c in ("low", "high"))]
