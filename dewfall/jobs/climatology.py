@@ -41,7 +41,8 @@ def decades_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-period products from decade states."""
     df = moments.long_form(moist(spark, sf_dir).withColumn("decade", calendar.decade_start(F.col("d"))), ["decade", *CELL], VARIABLES)
     parts = df.groupBy("decade", *CELL, "variable").agg(*moments.moment_state("x"))
-    return moments.merge_moments(parts, [*CELL, "variable"]).select(*CELL, "variable", "n", "mean", *moments.finalized())
+    done = moments.merge_moments(parts, [*CELL, "variable"]).select(*CELL, "variable", "n", "mean", *moments.finalized())
+    return done.select(*CELL, "variable", "n", *((F.round(c, 9 if c in ("mean", "std") else 6) + 0.0).alias(c) for c in ("mean", "std", "skew", "kurt")))
 
 
 def thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:

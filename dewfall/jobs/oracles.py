@@ -35,8 +35,8 @@ _HOURS = "hours AS (SELECT event_type, date_trunc('hour', ts) AS hour, avg(value
 SQL: dict[str, str] = {
     "moments_l1": f"WITH {_MOIST}, {_central('slot, cy, cx', 'rh', 'moist')} SELECT slot, cy, cx, n, missing, {_SHOWN} FROM st",
     "moments_levels": f"{_LEVELS} SELECT slot, cy, cx, level_bin, variable, n, {_SHOWN} FROM st WHERE n > 0",
-    "decades_merged": f"""WITH {_MOIST}{_LONG} SELECT slot, cy, cx, variable, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS std,
-  CASE WHEN count(x) >= 3 AND max(x) - min(x) > 1e-9 * abs(max(x)) THEN skewness(x) END AS skew, CASE WHEN count(x) >= 4 AND max(x) - min(x) > 1e-9 * abs(max(x)) THEN kurtosis(x) END AS kurt
+    "decades_merged": f"""WITH {_MOIST}{_LONG} SELECT slot, cy, cx, variable, count(x) AS n, round(avg(x), 9) + 0 AS mean, round(stddev_samp(x), 9) + 0 AS std,
+  CASE WHEN count(x) >= 3 AND max(x) - min(x) > 1e-9 * abs(max(x)) THEN round(skewness(x), 6) + 0 END AS skew, CASE WHEN count(x) >= 4 AND max(x) - min(x) > 1e-9 * abs(max(x)) THEN round(kurtosis(x), 6) + 0 END AS kurt
   FROM long GROUP BY ALL HAVING count(x) > 0""",
     "thresholds": f"""WITH {_MOIST} SELECT slot, cy, cx, {_OVER}, count(*) FILTER (rh > 90 AND q > 0.012) AS rh90_q012,
   count(*) FILTER (rh_raw > 100) AS n_supersat, count(*) FILTER (e >= p) AS n_bad_ep FROM moist GROUP BY slot, cy, cx""",
