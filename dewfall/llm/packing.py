@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -72,6 +73,12 @@ class Encoder:
         return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that the words it remembers outlive a task."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, window: int = 4096, tokenizer: str | None = None) -> DataFrame:
     """A row for each piece: full windows from the start of the document, then the rest.
 
@@ -82,7 +89,7 @@ def pieces(docs: DataFrame, window: int = 4096, tokenizer: str | None = None) ->
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Encoder(path)
+        encode = encoder(path)
         parts = (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500))
         for batch in parts:
             cols: list[list] = [[], [], [], [], [], []]
