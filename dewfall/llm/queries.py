@@ -97,23 +97,6 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-OP8_SQL = """
-WITH RECURSIVE v AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-), p AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
-  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
-), reach(a, b) AS (
-  SELECT vec_id, vec_id FROM v UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a
-), c AS (
-  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
-), n AS (
-  SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY a
-)
-SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
-FROM c LEFT JOIN n USING (vec_id)
-"""
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_warc_archives": op2_warc_archives,
@@ -129,7 +112,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_url_filters": OP5_SQL,
-    "op8_embedding_dedup": OP8_SQL,
     "op9_license_scan": licenses.OP9_SQL,
     "op10_topk_search": OP10_SQL,
 }

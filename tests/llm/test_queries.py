@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -135,3 +136,43 @@ def test_near_copies_by_brute_force(spark):
                 root[y] = x
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.op7_minhash_dedup(spark, SF).collect()}
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
+
+
+def linked_by_brute_force(vectors, least=0.95):
+    """{vec_id: (links, component, kept)} from all cosines; vectors that can link with nothing stand alone."""
+    sound = {i: np.array(v, "f8") for i, v in vectors.items() if v is not None and None not in v and np.isfinite(v).all() and np.any(v)}
+    ids = np.array(sorted(sound))
+    x = np.stack([sound[i] / np.linalg.norm(sound[i]) for i in ids])
+    near = x @ x.T >= least
+    np.fill_diagonal(near, False)
+    low = ids.copy()
+    while True:
+        new = np.minimum(low, np.where(near, low[None, :], ids.max() + 1).min(axis=1))
+        if (new == low).all():
+            break
+        low = new
+    found = {int(i): (int(n), int(c), bool(i == c)) for i, n, c in zip(ids, near.sum(axis=1), low, strict=True)}
+    return {i: found.get(i, (0, i, True)) for i in vectors}
+
+
+def test_vector_links_by_brute_force(spark, tmp_path):
+    """The table's vectors with planted neighbours, as it has no pair above the threshold itself."""
+    own = {r["vec_id"]: r["embedding"] for r in rows("embeddings")}
+    rng, vectors = np.random.default_rng(7), dict(own)
+    top = max(own) + 1
+    for k, i in enumerate(sorted(own)[:60]):
+        x = np.array(own[i], "f8")
+        for step in range(6):  # a copy, then a chain that drifts away
+            vectors[top + 10 * k + step] = x.astype("f4").tolist()
+            x = x + rng.normal(0, 0.25 * np.linalg.norm(x) / len(x) ** 0.5, len(x))
+    odd = (None, [], [0.0] * 8, [None, 1.0], [float("nan"), 1.0], [float("inf"), 1.0])
+    vectors |= {top + 10_000 + k: v for k, v in enumerate(odd)}
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = linked_by_brute_force(vectors)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.op8_embedding_dedup(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys()
+    total = sum(w[0] for w in want.values())
+    assert total > 500
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(g[0] for g in got.values()) >= 0.99 * total
+    assert sum(got[i][1] == want[i][1] for i in want) >= 0.99 * len(want)
