@@ -1,7 +1,6 @@
 """Toxicity scores of deobfuscated text.
 
-Noisy channel: a token that mixes letters with digits or signs, repeats a letter three times or
-more, or is spelled out letter by letter becomes a lattice of possible letters. Viterbi decoding under a character trigram
+Noisy channel: a token that mixes letters with digits or signs, repeats a letter, or is spelled out letter by letter becomes a lattice of possible letters. Viterbi decoding under a character trigram
 model of the whole corpus picks its most likely reading. The words of the restored
 text and their character four-grams have log-odds between toxic and clean rows; a logistic model over a
 document's highest ones gives the score. Both are fitted on a bounded sample of labelled rows.
@@ -39,10 +38,13 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
-#: Costs (negative logs) of the channel: a sign read as a letter, left out, or a repeat dropped.
-AS_LETTER, LEFT_OUT, DROPPED = 0.7, 6.0, 0.3
-_EDGE = re.compile(r"^[^\w@$!|+(<€£¡]+|[^\w]+$")
-_ODD = re.compile(r"([^\W\d_])\1\1|[^\W\d_][\W\d_]+[^\W\d_]|^[\d@$!|+(<€£¡]{1,2}[^\W\d_]|[^\W\d_]{2}\d$")
+#: Costs (negative logs) of the channel: a sign read as a letter, left out, or a repeat dropped (of two letters, of more).
+AS_LETTER, LEFT_OUT, HALVED, DROPPED = 0.7, 6.0, 2.0, 0.3
+_SIGNS = "@$!|+(<€£¡"
+_EDGE = re.compile(rf"^[^\w{_SIGNS}]+|[^\w{_SIGNS}]+$")
+_ODD = re.compile(r"([^\W\d_])\1|[^\W\d_][\W\d_]|[\W\d_][^\W\d_]")
+#: Ids that stay as they are: hexadecimal numbers, UUIDs, e-mail and web addresses.
+_ID = re.compile(r"(?=.*\d)(?:0x)?[0-9a-f]{16,}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}|(?:https?://|www\.).+")
 _SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]){3,}[^\W_](?![^\W_])")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -83,48 +85,57 @@ class Restorer:
         self.costs = costs
 
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
-        """For each character its readings (letter or nothing) with channel costs."""
+        """For each run of one character its readings (letters or nothing) with channel costs; so long runs cost no more."""
         out, k = [], 0
         while k < len(token):
             c = token[k]
             run = 1
             while k + run < len(token) and token[k + run] == c:
                 run += 1
-            if c in _INDEX:
-                if run > 2:  # a stretched letter stands once or twice
-                    out += [[(c, 0.0)], [(c, DROPPED), ("", DROPPED * (run - 2))]]
-                else:
-                    out += [[(c, 0.0)]] * run
-            else:
-                own = [(x, AS_LETTER) for x in LEET.get(c, "")]
-                out += [own or [("", LEFT_OUT)]] * min(run, 2)
+            edge = k == 0 or k + run == len(token)
             k += run
+            if c.isalpha():
+                if run > 1:  # a stretched letter stands once or twice
+                    out.append([(c + c, 0.0), (c, HALVED if run == 2 else DROPPED)])
+                else:
+                    out.append([(c, 0.0)])
+                continue
+            twice = min(run, 2)
+            own = [(x * twice, AS_LETTER * twice) for x in LEET.get(c, "")]
+            if run > 2:
+                own += [(x, AS_LETTER + DROPPED) for x in LEET.get(c, "")]
+            out.append(own + [("", LEFT_OUT)] if edge or not own else own)
         return out
 
     def decode(self, token: str) -> str:
         """Viterbi: the cheapest reading under channel and language model; states are the last two letters."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        states: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}
         for readings in self.lattice(token):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in states.items():
-                for c, channel in readings:
-                    k = _INDEX.get(c, 0)
-                    to, more = ((b, k), self.costs[a, b, k]) if c else ((a, b), 0.0)
-                    best = (cost + channel + more, text + c)
-                    if to not in after or best < after[to]:
-                        after[to] = best
+            after: dict[tuple[int, int], tuple] = {}
+            for (a, b), (cost, path) in states.items():
+                for letters, channel in readings:
+                    x, y, total = a, b, cost + channel
+                    for c in letters:
+                        k = _INDEX.get(c, 0)
+                        total += self.costs[x, y, k]
+                        x, y = y, k
+                    if (x, y) not in after or total < after[x, y][0]:
+                        after[x, y] = (total, (path, letters) if letters else path)
             states = after
-        return min((cost + self.costs[a, b, 0], text) for (a, b), (cost, text) in states.items())[1]
-
-    def __call__(self, token: str) -> str:
-        """The word behind a lower-case token; a token that isn't disguised loses only its edge signs."""
+        path = min(((cost + self.costs[a, b, 0], path) for (a, b), (cost, path) in states.items()), key=lambda s: s[0])[1]
+        out = []
+        while path:
+            path, letters = path
+            out.append(letters)
+        return "".join(reversed(out))
+
+    def __call__(self, token: str) -> list[str]:
+        """The words that a lower-case token may be: itself without edge signs, and, if it may be disguised, its decoded reading."""
         word = _EDGE.sub("", token)
-        if not _ODD.search(word) or len(word) > 40:
-            return word.strip("@$!|+(<€£¡_")
-        letters = sum(c in _INDEX for c in word)
-        if 5 * letters < 2 * len(word) or "@" in word[1:] and "." in word:  # ids, numbers and addresses stay
-            return word
-        return self.decode(word)
+        plain = word.strip(_SIGNS + "_")
+        if not _ODD.search(word) or _ID.fullmatch(word):
+            return [plain] if plain else []
+        return [w for w in dict.fromkeys((plain, self.decode(word))) if w]
 
 
 class Featurizer:
@@ -136,9 +147,8 @@ class Featurizer:
     def token(self, token: str) -> tuple[int, ...]:
         got = self.known.get(token)
         if got is None:
-            word = self.restore(token)
-            grams = f"^{word}$"
-            got = tuple({zlib.crc32(g.encode()) % FEATURES for g in [f" {word}", *(grams[k : k + 4] for k in range(len(grams) - 3))]}) if word else ()
+            grams = [g for w in self.restore(token) for g in [f" {w}", *(f"^{w}$"[k : k + 4] for k in range(len(w) - 1))]]
+            got = tuple({zlib.crc32(g.encode()) % FEATURES for g in grams})
             if len(self.known) >= TOKENS_KEPT:
                 self.known.clear()
             self.known[token] = got
