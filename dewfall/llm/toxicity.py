@@ -40,12 +40,20 @@ LEET = {
 }
 #: Costs (negative logs) of the channel: a sign read as a letter, left out, or a repeat dropped (of two letters, of more).
 AS_LETTER, LEFT_OUT, HALVED, DROPPED = 0.7, 6.0, 2.0, 0.3
+#: Cost of a separator dropped; as a word boundary it costs what the language model asks.
+JOINED = 1.5
+#: Least log-odds of a word of toxic rows for which pieces of words are put together.
+WORTH_JOINING = 1.0
 _SIGNS = "@$!|+(<€£¡"
 _EDGE = re.compile(rf"^[^\w{_SIGNS}]+|[^\w{_SIGNS}]+$")
 _ODD = re.compile(r"([^\W\d_])\1|[^\W\d_][\W\d_]|[\W\d_][^\W\d_]")
 #: Ids that stay as they are: hexadecimal numbers, UUIDs, e-mail and web addresses.
 _ID = re.compile(r"(?=.*\d)(?:0x)?[0-9a-f]{16,}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}|(?:https?://|www\.).+")
-_SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]){3,}[^\W_](?![^\W_])")
+#: Three or more single characters, whatever stands between them.
+_ONE, _GAP = rf"[^\W_{_SIGNS}]|[{_SIGNS}]", rf"(?:[^\w{_SIGNS}]|_)+"
+_SPELLED = re.compile(rf"(?<![\w{_SIGNS}])(?:{_ONE})(?:{_GAP}(?:{_ONE})(?![^\W_]|[{_SIGNS}])){{2,}}")
+_LATIN, _REPEAT = re.compile(rf"[{_LETTERS}]+"), re.compile(r"(.)\1+")
+_PIECES = re.compile(r"[^\W\d_]+")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -94,6 +102,11 @@ class Restorer:
                 run += 1
             edge = k == 0 or k + run == len(token)
             k += run
+            if not c.isalnum() and c not in LEET:  # a separator is dropped or a word boundary; more of them are one
+                while k < len(token) and not token[k].isalnum() and token[k] not in LEET:
+                    k += 1
+                out.append([("", JOINED), (" ", 0.0)])
+                continue
             if c.isalpha():
                 if run > 1:  # a stretched letter stands once or twice
                     out.append([(c + c, 0.0), (c, HALVED if run == 2 else DROPPED)])
@@ -135,14 +148,48 @@ class Restorer:
         plain = word.strip(_SIGNS + "_")
         if not _ODD.search(word) or _ID.fullmatch(word):
             return [plain] if plain else []
-        return [w for w in dict.fromkeys((plain, self.decode(word))) if w]
+        words = [self.shortened(word)] if _LATIN.fullmatch(word) else self.decode(word).split()
+        return [w for w in dict.fromkeys((plain, *words)) if w]
 
+    def shortened(self, word: str) -> str:
+        """decode() for letters alone: whether a repeat stays depends only on the letters beside it."""
 
-class Featurizer:
-    """Feature numbers of a text: its distinct restored words and their four-grams; tokens are remembered."""
+        def pick(m: re.Match) -> str:
+            b, c, d = (_INDEX.get(x, 0) for x in (word[m.start() - 1 : m.start()], m[1], word[m.end() : m.end() + 1]))
+            off = HALVED if m.end() - m.start() == 2 else DROPPED
+            return m[1] if off + self.costs[b, c, d] < self.costs[b, c, c] + self.costs[c, c, d] else m[1] * 2
 
-    def __init__(self, costs: np.ndarray):
-        self.restore, self.known = Restorer(costs), {}
+        return _REPEAT.sub(pick, word)
+
+
+class Featurizer:
+    """Feature numbers of a text: its distinct restored words and their four-grams; tokens are remembered.
+
+    Runs of single characters are decoded with their separators. Beyond these, pieces that follow one another, whatever
+    their lengths and separators, are also put together where they make a word of `lexicon`."""
+
+    def __init__(self, costs: np.ndarray, lexicon: frozenset[str] = frozenset()):
+        self.restore, self.known, self.lexicon = Restorer(costs), {}, lexicon
+        self.starts = frozenset(w[:k] for w in lexicon for k in range(1, len(w)))
+        self.read = self.starts | lexicon
+
+    def spelled(self, low: str) -> set[str]:
+        """Words read from runs of single characters."""
+        return {w for m in _SPELLED.finditer(low) if _PIECES.search(m.group()) for w in self.restore.decode(m.group()).split()}
+
+    def joined(self, low: str) -> set[str]:
+        """Words of the lexicon that two or more pieces in a row make."""
+        if not self.lexicon:
+            return set()
+        starts, known, found, pieces = self.starts, self.read, set(), _PIECES.findall(low)
+        for k in [k for k, (a, b) in enumerate(zip(pieces, pieces[1:])) if a in starts and a + b in known]:
+            word, at = pieces[k], k + 1
+            while word in starts and at < len(pieces):
+                word += pieces[at]
+                at += 1
+                if word in self.lexicon:
+                    found.add(word)
+        return found
 
     def token(self, token: str) -> tuple[int, ...]:
         got = self.known.get(token)
@@ -159,8 +206,8 @@ class Featurizer:
         found: set[int] = set()
         for t in set(_WORDS.findall(low)):
             found.update(self.token(t))
-        for m in _SPELLED.finditer(low):
-            found.update(self.token("".join(c for c in m.group() if c not in " .-_*")))
+        for w in self.spelled(low) | self.joined(low):
+            found.update(self.token(w))
         return np.fromiter(sorted(found), np.int32, len(found))
 
 
@@ -171,6 +218,9 @@ TOP, PRIOR = 6, 6.0
 class Model:
     """Log-odds of each feature between toxic and clean rows, and a logistic model over a document's highest ones."""
 
+    #: Words worth putting together from pieces.
+    lexicon: frozenset[str] = frozenset()
+
     def __init__(self, odds: np.ndarray, weights: np.ndarray, mean: np.ndarray, spread: np.ndarray):
         self.odds, self.weights, self.mean, self.spread = odds, weights, mean, spread
 
@@ -225,7 +275,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-FEATURED = "toxic int, features binary"
+FEATURED = "toxic int, features binary, words string"
+
+
+def lexicon(texts: list[str], odds: np.ndarray) -> frozenset[str]:
+    """Words of three letters or more whose log-odds are WORTH_JOINING at least."""
+    words = {w for t in texts for w in t.split(" ") if len(w) > 2}
+    return frozenset(w for w in words if odds[zlib.crc32(f" {w}".encode()) % FEATURES] >= WORTH_JOINING)
 
 
 def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model:
@@ -238,10 +294,13 @@ def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray, toxic_rows: int
         features = Featurizer(costs)
         for batch in batches:
             x = [features(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(x, pa.binary())], names=["toxic", "features"])
+            words = [" ".join(set(_PIECES.findall((t or "").lower()))) if y else "" for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(x, pa.binary()), pa.array(words, pa.string())], names=["toxic", "features", "words"])
 
     rows = texts.mapInArrow(run, FEATURED).limit(4 * (toxic_rows + clean_rows)).collect()
-    return fit(sorted((r.toxic, bytes(r.features)) for r in rows))
+    model = fit(sorted((r.toxic, bytes(r.features)) for r in rows))
+    model.lexicon = lexicon([r.words for r in rows], model.odds)
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -259,7 +318,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     costs = costs.astype("f4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Featurizer(costs)
+        features = Featurizer(costs, model.lexicon)
         for batch in batches:
             p = model(np.array([evidence(features(t), model.odds) for t in batch.column(at).to_pylist()]).reshape(batch.num_rows, TOP + 1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "score"])

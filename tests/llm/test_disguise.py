@@ -27,3 +27,46 @@ def test_plain_tokens_and_ids_stay():
     restore = restorer()
     for token in ("man.", "hello,", "moon", "4f3a9c0d7e21b5568f", "ann@example.org", "2024"):
         assert restore(token) == [token.rstrip(".,")]
+
+
+SPELLED = ["a s s", "i  d  i  o  t", "i . d . i . o . t", "s\th\ti\tt", "i\nd\ni\no\nt", "i/d/i/o/t", "s t u p 1 d"]
+
+
+@pytest.mark.parametrize("text", SPELLED)
+def test_spelled_words(text):
+    want = {"a": "ass", "i": "idiot", "s": "shit"}[text[0]] if "1" not in text else "stupid"
+    features = toxicity.Featurizer(restorer().costs)
+    assert want in features.spelled(f"so {text} there")
+    assert set(features.token(want)) <= set(features(f"so {text} there"))
+
+
+def test_spelled_sentence_keeps_word_boundaries():
+    features = toxicity.Featurizer(restorer().costs)
+    assert {"stupid", "idiot"} <= features.spelled("y o u  s t u p i d  i d i o t")
+
+
+@pytest.mark.parametrize(("text", "word"), [("id iot", "idiot"), ("st upid", "stupid"), ("a n i d i o t", "idiot"), ("s tu-pi\nd", "stupid"), ("stupi/d", "stupid")])
+def test_cut_words(text, word):
+    features = toxicity.Featurizer(restorer().costs, frozenset(["idiot", "stupid"]))
+    assert word in features.joined(f"so {text} there")
+    assert set(features.token(word)) <= set(features(f"so {text} there"))
+    assert features.joined("an idiot, a stupid man") == set()
+
+
+def test_disguised_rows_are_caught(spark):
+    """Planted rows: the word stands plainly in labelled rows only; held-out rows carry it disguised."""
+    words = TEXT.replace(".", "").replace(",", "").replace("idiot", "man").split()
+    text = lambda k, word: " ".join([*(words[(k * 7 + j * j) % len(words)] for j in range(12)), word, words[k % len(words)]])
+    disguises = ["idiot", "id iot", "i d i o t", "i . d . i . o . t", "1d10t", "i" * 50 + "diot"]
+    docs = [(k, text(k, "idiot" if k % 3 == 0 else "man")) for k in range(600)] + [(1000 + k, text(k, d)) for k, d in enumerate(disguises)] + [(2000 + k, text(k, "man")) for k in range(20)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(600)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score(table, labels).collect()}
+    assert [got[1000 + k] for k in range(len(disguises))] == [1] * len(disguises)
+    assert not any(got[2000 + k] for k in range(20))
+
+
+def test_letters_alone_as_the_decoder_reads_them():
+    restore = restorer()
+    for word in ("hello", "stuupid", "stuuupid", "aass", "moon", "llaannddd", "ssaid", "will", "wwiilll"):
+        assert restore.shortened(word) == restore.decode(word)
