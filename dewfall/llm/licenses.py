@@ -29,6 +29,28 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
+#: Full texts, compared as windows alone.
+FULL_TEXTS: list[tuple[str, str]] = [
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+]
 LEAST = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,16 +66,56 @@ def bounds(n: int, least: float = LEAST) -> tuple[int, int]:
     return math.ceil(n * least / (2 - least) - 1e-9), math.floor(n * (2 - least) / least + 1e-9)
 
 
+def anchors(grams: list[str], least: float = LEAST) -> list[str]:
+    """The longest bigrams, as a stand-in for the rarest: so many that a window which reaches `least` must hold one."""
+    missing = len(grams) - bounds(len(grams), least)[0]
+    return sorted(grams, key=lambda g: (-len(g), g))[: missing + 1]
+
+
+def _strings(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def _windows(known: list[tuple[str, list[str]]], lengths: list[int], least: float) -> Column:
+    """Hits of windows over `rest`: each has its template's number of words, and starts where one of its bigrams puts it."""
+    shelf = F.array(
+        *(
+            F.struct(F.lit(k).alias("k"), F.lit(n).alias("words"), _strings(g).alias("grams"), _strings(anchors(g, least)).alias("anchors"))
+            for k, ((_, g), n) in enumerate(zip(known, lengths, strict=True))
+        )
+    )
+    done = F.transform(F.filter("line_hits", lambda h: h["line"] == 0), lambda h: -h["k"])
+    near = F.filter(shelf, lambda t: F.arrays_overlap(F.col("rest_grams"), t["anchors"]) & ~F.array_contains(done, t["k"]))
+
+    def best(t: Column) -> Column:
+        put = F.transform("rest_grams", lambda g, j: F.struct((j - F.array_position(t["grams"], g) + 1).cast("int").alias("start"), F.array_position(t["grams"], g).alias("at")))
+        starts = F.array_distinct(F.transform(F.filter(put, lambda p: p["at"] > 0), lambda p: F.greatest(p["start"], F.lit(0))))
+
+        def rated(start: Column) -> Column:
+            grams = _grams(F.transform(F.slice("rest", start + 1, t["words"]), lambda w: w["word"]))
+            dice = 2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + F.size(t["grams"]))
+            return F.struct(dice.alias("dice"), (-F.get(F.col("rest"), start)["line"]).alias("line"), (-t["k"]).alias("k"))
+
+        return F.array_max(F.transform(starts, rated))
+
+    return F.filter(F.transform(near, best), lambda h: h["dice"] >= least)
+
+
+def _pairs(words: Column) -> Column:
+    """Bigrams in order, repeats included."""
+    return F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
+
+
 def _grams(words: Column) -> Column:
-    last = F.size(words) - 1
-    return F.array_distinct(F.transform(F.slice(words, 1, last), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1))))
+    return F.array_distinct(_pairs(words))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """(doc_id, license, dice, line, n_matches) for every row of docs.
 
     Needs doc_id and text; other columns are ignored. Units are the lines of the text, numbered from 1, and, where
-    there are several, the whole text as line 0. A-Z are lower-cased; words are runs of [a-z0-9]. license is that of the template
+    there are several, the whole text as line 0. Lines without a match are joined, and each template, full texts included, has its best window
+    of as many words as one more unit, under the line of its first word. A-Z are lower-cased; words are runs of [a-z0-9]. license is that of the template
     with the highest coefficient, ties going to the earlier line, then the earlier template; n_matches counts
     pairs of unit and template that reach `least`. Without any, license, dice and line are null: so for null
     and empty texts. Repeated rows are each scanned. An empty table gives an empty result."""
@@ -90,8 +152,25 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     hits = F.filter(F.flatten(F.transform("grams", against)), lambda h: h["dice"] >= least)
     steps = docs.select("doc_id", plain.alias("plain")).withColumn("lines", F.split("plain", "\n"))
     steps = steps.withColumn("units", units).withColumn("spoken", words).withColumn("fits", fits).withColumn("grams", grams)
-    steps = steps.withColumn("shelf", shelf).withColumn("hits", hits).withColumn("best", F.array_max("hits"))
-    names = F.array(*(F.lit(name) for name, _ in known))
+    steps = steps.withColumn("shelf", shelf).withColumn("line_hits", hits)
+    sought = templates + (FULL_TEXTS if templates is TEMPLATES else [])
+    wide = [(name, bigrams(text)) for name, text in sought]
+    lengths = [len(re.findall("[a-z0-9]+", text.lower())) for _, text in sought]
+    matched = F.transform("line_hits", lambda h: -h["line"])
+    # a line that matches leaves one word that is no word, so that no window joins what stands around it
+    rest = F.flatten(
+        F.transform(
+            F.filter("spoken", lambda s: s["line"] > 0),
+            lambda s: F.transform(
+                F.when(F.array_contains(matched, s["line"]), F.array(F.lit("."))).otherwise(s["words"]), lambda w: F.struct(w.alias("word"), s["line"].alias("line"))
+            ),
+        )
+    )
+    every = sorted({a for _, g in wide for a in anchors(g, least)})
+    steps = steps.withColumn("rest", rest).withColumn("rest_grams", F.when(F.size("rest") > 1, _pairs(F.transform("rest", lambda w: w["word"]))).otherwise(F.array().cast("array<string>")))
+    found = F.when(F.arrays_overlap("rest_grams", _strings(every)), _windows(wide, lengths, least)).otherwise(F.filter("line_hits", lambda h: F.lit(False)))
+    steps = steps.withColumn("hits", F.concat("line_hits", found)).withColumn("best", F.array_max("hits"))
+    names = _strings([name for name, _ in sought])
     return steps.select(
         "doc_id",
         F.get(names, -F.col("best.k")).alias("license"),
