@@ -82,6 +82,27 @@ def centred_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join(own, ["cy", "cx", "target"]).select("cy", "cx", "target", "n", (F.col("s") / F.col("n")).alias("mean_rh"), (F.col("days") / 5).alias("completeness"))
 
 
+def _window_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per cell and day: values, their sum, and the distinct hours that have one."""
+    return moist(spark, sf_dir).where("rh is not null").groupBy("cy", "cx", "d").agg(F.count("rh").alias("n"), F.sum("rh").alias("s"), F.count_distinct("h").alias("hours"))
+
+
+def window_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-day windows around every day of a cell, complete by available over expected hours (A35); without a value, 0."""
+    sums = [F.sum(c).alias(c) for c in ("n", "s", "hours")]
+    near = windows.centred(_window_days(spark, sf_dir), "d").groupBy("cy", "cx", "target").agg(*sums)
+    own = observations(spark, sf_dir).select("cy", "cx", F.col("d").alias("target")).distinct()
+    n, hours = F.coalesce("n", F.lit(0)), F.coalesce("hours", F.lit(0))
+    return own.join(near, ["cy", "cx", "target"], "left").select("cy", "cx", "target", n.alias("n"), (F.col("s") / F.col("n")).alias("mean_rh"), hours.alias("hours"), (hours / 120).alias("completeness"))
+
+
+def window_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows pooled over years by the slot of their target (W10), over the targets that window_hours has."""
+    w = window_hours(spark, sf_dir).withColumn("slot", calendar.slot(F.col("target")))
+    pooled = w.groupBy(*CELL).agg(F.sum("n").alias("n"), (F.sum(F.col("mean_rh") * F.col("n")) / F.sum("n")).alias("mean_rh"), F.count("*").alias("windows"), F.sum("hours").alias("hours"))
+    return pooled.withColumn("completeness", F.col("hours") / (120 * F.col("windows")))
+
+
 def pseudo_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = moist(spark, sf_dir).select(F.month("d").alias("month"), "cy", "cx", "t")
     return windows.average_rank(df, ["month", "cy", "cx"], "t").select(

@@ -87,3 +87,11 @@ SELECT CAST(cal.slot AS INTEGER) AS slot, CAST(month AS INTEGER) AS month, CAST(
     "level_audit": f"""{_LEVELS} SELECT variable, CAST(sum(n) FILTER (level_bin = 0) AS BIGINT) AS n_l1, CAST(sum(n) FILTER (level_bin BETWEEN 1 AND 8) AS BIGINT) AS n_l2, CAST(sum(n) FILTER (level_bin >= 9) AS BIGINT) AS n_l3,
   count(*) FILTER (low > high) AS out_of_order, count(*) FILTER (slot = 59) AS reserved FROM st WHERE n > 0 GROUP BY variable""",
 }
+
+_WINDOW_HOURS = f"""WITH {_MOIST}, own AS (SELECT DISTINCT cy, cx, d AS target FROM obs),
+win AS (SELECT a.cy, a.cx, a.target, count(b.rh) AS n, avg(b.rh) AS mean_rh, count(DISTINCT CASE WHEN b.rh IS NOT NULL THEN b.d::VARCHAR || ' ' || b.h::VARCHAR END) AS hours
+  FROM own a JOIN moist b ON a.cy = b.cy AND a.cx = b.cx AND b.d BETWEEN a.target - 2 AND a.target + 2 GROUP BY ALL)"""
+SQL["window_hours"] = f"{_WINDOW_HOURS} SELECT *, hours / 120 AS completeness FROM win"
+SQL["window_slots"] = f"""{_WINDOW_HOURS}, slots AS (SELECT DISTINCT d AS target, slot FROM ep)
+SELECT slot, cy, cx, CAST(sum(n) AS BIGINT) AS n, sum(mean_rh * n) / nullif(sum(n), 0) AS mean_rh, count(*) AS windows, CAST(sum(hours) AS BIGINT) AS hours, sum(hours) / (120 * count(*)) AS completeness
+FROM win JOIN slots USING (target) GROUP BY slot, cy, cx"""
