@@ -1,17 +1,22 @@
-"""Helpers that the operators share: table paths, shared folders, cutting lineage, components."""
+"""Helpers that the operators share: table paths, shared folders, cutting lineage, hot keys, components."""
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that separate words; a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key counts as hot beyond HOT_ROWS rows and beyond one HOT_KEYS-th of all rows, so at most HOT_KEYS keys ever do.
+HOT_ROWS, HOT_KEYS = 2_000, 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables; an error where its files are missing."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,27 +36,34 @@ def shared_dir(spark: SparkSession, kind: str) -> str:
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    Empty tables, nulls and repeated rows come back as they were; columns must have different names."""
     spark = df.sparkSession
     path = shared_dir(spark, kind)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the folder behind written(), through Hadoop, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for f in {p.rpartition("/")[0] for p in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
+def drop_written(*tables: DataFrame) -> None:
+    """Delete the folders behind results of written(), through Hadoop, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hash_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
-    """About `rows` rows, those whose hash of `by` falls below a threshold; never more than twice as many."""
+    """The `rows` rows of df whose hashes of `by` come first: the same ones on every run; all, if there are fewer.
+
+    Rows that are equal in `by` are told apart by their other columns' hash; nulls are hashed like values."""
     n = df.count()
-    low = F.pmod(F.xxhash64(*by), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, rows / max(n, 1))))
-    return df.where(low).limit(2 * rows)
+    # a threshold lets few rows into the sort; twice as many as wanted leave room for chance
+    rank = F.pmod(F.xxhash64(*by), F.lit(1 << 40))
+    low = df if n <= 2 * rows else df.where(rank < F.lit(int((1 << 40) * min(1.0, 2 * rows / n))))
+    return low.orderBy(rank, F.xxhash64(*low.columns)).limit(rows)
 
 
 def word_count(text: Column) -> Column:
@@ -59,47 +71,87 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def hot_bound(groups: DataFrame, count: str = "n") -> int:
+    """Rows beyond which a key of groups(key, count) is hot."""
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    return max(HOT_ROWS, math.ceil(total / HOT_KEYS))
+
+
+def split_join(rows: DataFrame, groups: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """rows joined with groups, which has one row for each key and in `count` how many rows hold it.
+
+    Hot keys, at most HOT_KEYS of them by their counts, are broadcast, so the rows of one key never meet in one task; the
+    others are joined by shuffle. Rows with a null key, or one that groups lacks, go. rows and groups are each read twice."""
+    bound = hot_bound(groups, count)
+    hot = groups.where(F.col(count) > bound)
+    if hot.isEmpty():
+        return rows.join(groups, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(count) <= bound), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges(a, b): the smallest node it can reach.
+    """(node, component) for every node of edges(a, b): the smallest node it can reach. A written table.
 
     Alternates large-star and small-star steps; each halves path lengths or better, so rounds
     grow with the logarithm of the longest chain. The star that a hub would gather in one task
     is never built: both steps need only the minimum of a neighbourhood, a partial aggregate,
-    and a join that adaptive execution may split. Self-links are allowed; nulls are dropped.
-    Every round is written to the shared folder, so no lineage grows."""
+    and a join that deals out hubs. Self-links and repeated links are allowed; links with a null are dropped; no links give no rows.
+    Every round is written to the shared folder and the one before deleted, so no lineage grows."""
     links = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .where("u is not null and v is not null")
+        .where("a is not null and b is not null")
         .distinct(),
         "links",
     )
     nodes = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
-    current, before = links.where("u <> v"), None
+    current = links.where("u <> v")
+    small = links.count() <= HOT_ROWS  # then no node can be hot
+    kept: list[DataFrame] = []
+
+    def joined(rows: DataFrame, groups: DataFrame, spent: list[DataFrame]) -> DataFrame:
+        if small:
+            return rows.join(groups, "u")
+        spent.append(written(groups, "stars"))
+        return split_join(rows, spent[-1], "u")
+
     for _ in range(max_rounds):
+        spent: list[DataFrame] = []
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         # large-star: larger neighbours of u point to the least of its neighbourhood
-        large = (
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
+        large = joined(both.where("v > u"), low, spent).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        if not small:
+            spent.append(large := written(large, "large"))
         # small-star: u and its smaller neighbours point to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u")
-            .select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e"))
-            .select(F.col("e.u").alias("u"), F.col("e.m").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        now = written(small, "star")
-        state = now.agg(
-            F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")
-        ).first()
-        current = now
-        if before == (state.n, state.h):
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        moved = joined(large, least, spent).select("v", "m", "u")
+        ends = F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))
+        stars = moved.select(F.explode(ends).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
+        current = written(stars, "star")
+        drop_written(*spent, *kept)
+        kept = [current]
+        # settled once every node points to one node that points nowhere
+        sides = current.select(F.col("u").alias("x"), F.lit(1).alias("out")).union(current.select("v", F.lit(0)))
+        if sides.groupBy("x").agg(F.sum("out").alias("out"), F.min("out").alias("least")).where("out > 1 or (out = 1 and least = 0)").isEmpty():
             break
-        before = (state.n, state.h)
     else:
         raise RuntimeError("components did not settle")
     root = current.groupBy("u").agg(F.min("v").alias("v"))
-    return nodes.join(root, nodes.node == root.u, "left").select("node", F.coalesce("v", "node").alias("component"))
+    out = written(nodes.join(root, nodes.node == root.u, "left").select("node", F.coalesce("v", "node").alias("component")), "components")
+    drop_written(links, *kept)
+    return out
+
+
+def running_total(steps: DataFrame, key: str, order: Sequence[str], value: Column, parts: int = 64) -> DataFrame:
+    """steps with `before`: the sum of value over the rows of the same key that stand before it in `order`.
+
+    Two levels, so that no key is ranked in one task: ranges of `order` are summed, the few sums are added up, and rows only
+    within their range. Null keys are a key of their own. Ties in `order` within a key are in no fixed order."""
+    dealt = written(steps.withColumn("_value", value).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(key, "_part").agg(F.sum("_value").alias("_sum"))  # at most `parts` rows for each key
+    above = F.coalesce(F.sum("_sum").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    base = sums.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), above.alias("_base"))
+    within = F.coalesce(F.sum("_value").over(Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    out = dealt.withColumn("_within", within).join(base, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")))
+    return out.withColumn("before", F.col("_base") + F.col("_within")).drop("_value", "_part", "_within", "_key", "_at", "_base")
