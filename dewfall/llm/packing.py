@@ -7,6 +7,8 @@ window for each rest, longest first. Only lengths and checksums move between tas
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dewfall.llm.common import written
+from dewfall.llm.textcodes import VALUES, chunks, runs, span_hashes
 
 END = 2
 #: Rests that one task packs together; groups hold about this many at any input size.
 GROUP_PIECES = 50_000
-#: Words whose token ids a task remembers.
-CACHE_WORDS = 600_000
+#: Pieces of words whose token ids a worker remembers; beyond that it starts anew.
+CACHE_PIECES = 1_200_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, uid long"
 
@@ -34,48 +37,136 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Token ids of texts, word by word.
+#: Classes of characters as the tokenizer's pattern parts words: what it surely treats so. Words with any other are encoded whole.
+BLANK, LETTER, NUMBER, OTHER, UNSURE = range(5)
+_LIMIT = 0x2060
+_CLASS = np.full(_LIMIT + 1, UNSURE, np.uint8)
+for _c in [*range(0x21, 0x7F), *range(0xA1, 0x100), *range(0x2010, 0x2028), *range(0x2030, 0x205F)]:
+    if _c != 0xAD:
+        _CLASS[_c] = {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(_c))[0], OTHER)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = BLANK
+_CLASS[ord("'")] = UNSURE  # starts pieces like 's
+_LOWER = np.arange(_LIMIT + 1, dtype=np.uint32)
+for _c in range(0x100):
+    if len(chr(_c).lower()) == 1:
+        _LOWER[_c] = ord(chr(_c).lower())
+_WHOLE = np.uint64(0x5851F42D4C957F2D)
+
+
+def parts_words(path: str) -> bool:
+    """Whether a tokenizer file is of the kind whose words can be encoded apart: lower case, split by the known pattern, with word ends."""
+    with open(path, encoding="utf-8") as f:
+        kind = json.load(f)
+    split = (kind.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    # Fixed value: the pattern by which the tokenizer splits words.
+    known = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    return kind["model"].get("end_of_word_suffix") == "</w>" and (split[0].get("pattern") or {}).get("Regex") == known and kind.get("post_processor") is None
+
 
-    The tokenizer never merges over white space, so a text's ids are those of its space-separated
-    words in turn; words are remembered, as most repeat. New words of many texts are encoded in one
-    call, apart by a special token whose id marks where each ends."""
+class Encoder:
+    """Token ids of many texts at once.
 
-    MARK = "<|startoftext|>"
+    The tokenizer never merges over white space, nor between letters, digits and signs, so a text's ids are those of its pieces in
+    turn. Pieces are found and told apart by their hashes, in arrays; each is encoded once and remembered. New pieces are
+    encoded in one call; each ends with a token that ends a word. Words with characters outside the sure classes are encoded whole.
+    A tokenizer file of another kind encodes each text as it is."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.mark = self.tokenizer.token_to_id(self.MARK)
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            ids = self.tokenizer.encode_batch_fast([self.MARK.join(part)], add_special_tokens=False)[0].ids
-            ids = np.array(ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            start = 0
-            for w, end in zip(part, ends, strict=True):
-                self.known[w] = ids[start:end].tobytes()
-                start = end + 1
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        special = [w for w in new if "<|" in w]
-        self._learn([w for w in new if "<|" not in w] if special else new)
-        for w in special:
-            self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.apart = parts_words(path)
+        # pieces are in lower case and split already
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.flat, self.used = np.empty(1 << 16, "<u4"), 0
+        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    def _keep(self, hashes: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.known)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while n + len(sizes) > len(self.size):
+            self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n : n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(sizes)] = sizes
+        self.used += len(ids)
+        self.known.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        return np.array([i for x in ids for i in x], "<u4"), sizes
+
+    def _learn(self, hashes: list[int], pieces: str, n: int) -> None:
+        ids = np.array(self.plain.encode_batch_fast([pieces], add_special_tokens=False)[0].ids, "<u4")
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != n:
+            raise ValueError("a piece does not end with a word end")
+        self._keep(hashes, ids, np.diff(np.r_[0, last]))
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): the ids of text k are ids[bounds[k] : bounds[k + 1]]."""
+        if not self.apart:
+            ids, sizes = self._encoded(texts)
+            return ids, np.r_[0, np.cumsum(sizes)]
+        if len(self.known) > CACHE_PIECES:
+            self.forget()
+        whole = "\n".join(texts)
+        cps = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        sure = np.minimum(cps, _LIMIT)
+        kind = _CLASS[sure]
+        starts, ends = runs(kind != BLANK, np.empty(0, np.int64))
+        odd = kind == UNSURE
+        odd[:-1] |= (cps[:-1] == ord("<")) & (cps[1:] == ord("|"))  # special tokens
+        count = np.r_[0, np.cumsum(odd)]
+        bad = count[ends] > count[starts]
+        step = np.zeros(len(cps) + 1, np.int8)
+        step[starts[bad]] += 1
+        step[ends[bad]] -= 1
+        inside = np.cumsum(step[:-1], dtype=np.int8) > 0
+        first = kind != BLANK
+        first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        first &= ~inside
+        first[starts[bad]] = True
+        at = np.flatnonzero(first)
+        upto = np.minimum(np.r_[at[1:], len(cps)], ends[np.searchsorted(starts, at, "right") - 1]) if len(at) else at
+        letters = np.where(inside, cps, _LOWER[sure])
+        hashes = span_hashes(VALUES[letters & 0xFFFF] + (letters >> 16).astype(np.uint64), at, upto)
+        hashes[inside[at]] ^= _WHOLE
+        distinct, example, place = np.unique(hashes, return_index=True, return_inverse=True)
+        rows = [self.known.get(h, -1) for h in distinct.tolist()]
+        new = np.flatnonzero(np.array(rows, np.int64) < 0)
+        if len(new):
+            told, show = distinct[new], example[new]
+            entire = inside[at[show]]
+            for pick in (False, True):
+                a, b = at[show[entire == pick]].tolist(), upto[show[entire == pick]].tolist()
+                text, hashed = [whole[x:y] for x, y in zip(a, b, strict=True)], told[entire == pick].tolist()
+                if pick and text:
+                    self._keep(hashed, *self._encoded(text))
+                elif text:
+                    self._learn(hashed, " ".join(text).lower(), len(text))
+            rows = list(map(self.known.__getitem__, distinct.tolist()))
+        own = np.array(rows, np.int64)[place] if len(at) else np.empty(0, np.int64)
+        sizes = self.size[own]
+        total = np.r_[0, np.cumsum(sizes)]
+        ids = self.flat[np.repeat(self.start[own] - total[:-1], sizes) + np.arange(total[-1])]
+        texts_at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        return ids, total[np.searchsorted(at, texts_at)]
 
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One for each worker process, so that the words it remembers outlive a task."""
+    """One for each worker process, so that the pieces it remembers outlive a task."""
     return Encoder(path)
 
 
@@ -90,17 +181,23 @@ def pieces(docs: DataFrame, window: int = 4096, tokenizer: str | None = None) ->
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = encoder(path)
-        parts = (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500))
-        for batch in parts:
-            cols: list[list] = [[], [], [], [], [], []]
-            docs, texts, uids = (c.to_pylist() for c in batch.columns)
-            for doc, own, uid in zip(docs, encode([t or "" for t in texts]), uids, strict=True):
-                ids = np.append(own, np.array([END], "<u4"))
-                for start in range(0, len(ids), window):
-                    piece = ids[start : start + window]
-                    for col, v in zip(cols, (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), uid), strict=True):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "uid"])
+        for batch in chunks(batches, 1):
+            own, bounds = encode([t or "" for t in batch.column(1).to_pylist()])
+            ids = np.insert(own, bounds[1:], END)
+            bounds = bounds + np.arange(len(bounds))
+            sizes = np.diff(bounds)
+            windows = -(-sizes // window)
+            row = np.repeat(np.arange(len(sizes)), windows)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)) * window
+            length = np.minimum(sizes[row] - start, window)
+            at = bounds[row] + start
+            raw = memoryview(ids.astype("<u4").tobytes())
+            sums = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()).take(take), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(sizes[row]), batch.column(2).take(take)],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "uid"],
+            )
 
     return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("uid")).mapInArrow(run, PIECES)
 
