@@ -1,13 +1,16 @@
 """Licence scans: lines of a text compared with licence templates by Dice coefficient over word bigrams.
 
-All of it is built-in functions over arrays within a row: no shuffle, no Python. A line is compared with a
-template only if their numbers of bigrams allow the least coefficient; lines too short or too varied for
+All of it is built-in functions over arrays within a row: no shuffle, no Python. A text is looked at closely only if it
+holds one of a few words without which no unit of it could reach the least coefficient against any template. A line is compared with a
+template only if their numbers of bigrams allow that coefficient; lines too short or too varied for
 every template never have bigrams built."""
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,11 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
 ]
 #: Full texts, compared as windows alone.
 FULL_TEXTS: list[tuple[str, str]] = [
@@ -42,6 +50,37 @@ FULL_TEXTS: list[tuple[str, str]] = [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
         "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "BSL-1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: "
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
     (
         "BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
@@ -72,6 +111,46 @@ def anchors(grams: list[str], least: float = LEAST) -> list[str]:
     return sorted(grams, key=lambda g: (-len(g), g))[: missing + 1]
 
 
+#: Words of the templates that are frequent in English, so that they are taken last.
+COMMON = frozenset(
+    "a above acknowledgment all as by an and any anyone are arising available be basis being binary but by can charge code conditions covered damages deal direct distribution either "
+    "entire event express file following for form free from full fullness general granted greater held hope if implied in including intellectual international is it language later law less limitation limitations limited list "
+    "loss made may modification modify more must name national no not notice of on open or order organization origin other out parties party permitted person persons prior product products profits program promote provided "
+    "public purpose purposes published receive received required rights see should source specific statement subject such substantial than that the their these this to under use used useful using version "
+    "whether which whole will with without work works world written you your 0 1 2 3 4".split()
+)
+
+
+def telling_words(grams: list[list[str]], least: float = LEAST) -> list[str]:
+    """Words, or beginnings of words, of which any unit that reaches `least` against one of the templates must hold at least one.
+
+    Of n bigrams such a unit lacks at most n - lo, so words that touch more than that many of them cannot all be missing. Words are taken
+    greedily: those that serve most templates, long ones first, as they are rarer in other texts, and frequent words last."""
+    lack = [len(g) - bounds(len(g), least)[0] + 1 for g in grams]
+    begins = lambda w: {w} if w in COMMON else {w, *(w[:k] for k in (6, 7) if k < len(w))}
+    open_ = [{g: set().union(*map(begins, g.split(" "))) for g in own} for own in grams]
+    weight = lambda w: len(w) ** 1.5 * (0.02 if w in COMMON else 1)
+    out: list[str] = []
+    while any(n > 0 for n in lack):
+        gain: dict[str, int] = {}
+        for n, own in zip(lack, open_, strict=True):
+            if n > 0:
+                touched: dict[str, int] = {}
+                for words in own.values():
+                    for w in words:
+                        touched[w] = touched.get(w, 0) + 1
+                for w, k in touched.items():
+                    gain[w] = gain.get(w, 0) + min(k, n)
+        best = min(gain, key=lambda w: (-gain[w] * weight(w), w))
+        out.append(best)
+        for k, own in enumerate(open_):
+            gone = [g for g, words in own.items() if any(best in w for w in words)]
+            lack[k] -= len(gone)
+            for g in gone:
+                del own[g]
+    return out
+
+
 def _strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
@@ -128,7 +207,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
             for k, ((_, g), (lo, hi)) in enumerate(zip(known, sizes, strict=True))
         )
     )
-    plain = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), "[^a-z0-9\n]+", " ")
+    sought = templates + (FULL_TEXTS if templates is TEMPLATES else [])
+    wide = [(name, bigrams(text)) for name, text in sought]
+    low = F.lower("text")  # only decides which texts are looked at
+    gate = reduce(or_, (F.contains(low, F.lit(w)) for w in telling_words([g for _, g in wide], least)))
+    plain = F.regexp_replace(F.translate(F.when(gate, F.col("text")).otherwise(""), UPPER, LOWER), "[^a-z0-9\n]+", " ")
     lines = F.split(plain, "\n")
     whole = F.when(F.size("lines") > 1, F.translate("plain", "\n", " ")).otherwise("")
     units = F.concat(F.array(whole), F.col("lines"))
@@ -153,8 +236,6 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     steps = docs.select("doc_id", plain.alias("plain")).withColumn("lines", F.split("plain", "\n"))
     steps = steps.withColumn("units", units).withColumn("spoken", words).withColumn("fits", fits).withColumn("grams", grams)
     steps = steps.withColumn("shelf", shelf).withColumn("line_hits", hits)
-    sought = templates + (FULL_TEXTS if templates is TEMPLATES else [])
-    wide = [(name, bigrams(text)) for name, text in sought]
     lengths = [len(re.findall("[a-z0-9]+", text.lower())) for _, text in sought]
     matched = F.transform("line_hits", lambda h: -h["line"])
     # a line that matches leaves one word that is no word, so that no window joins what stands around it
