@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -155,3 +157,28 @@ def running_total(steps: DataFrame, key: str, order: Sequence[str], value: Colum
     within = F.coalesce(F.sum("_value").over(Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     out = dealt.withColumn("_within", within).join(base, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")))
     return out.withColumn("before", F.col("_base") + F.col("_within")).drop("_value", "_part", "_within", "_key", "_at", "_base")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by `names`, cut so that rows equal in these integer columns are in one batch; no batch is empty."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(n).to_numpy() for n in names])
+        new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        if kept and not _same(kept[-1], batch, names):
+            yield pa.concat_batches(kept)
+            kept = []
+        if not len(new):
+            kept.append(batch)
+            continue
+        yield pa.concat_batches([*kept, batch.slice(0, int(new[-1]))])
+        kept = [batch.slice(int(new[-1]))]
+    if kept:
+        yield pa.concat_batches(kept)
+
+
+def _same(before: pa.RecordBatch, after: pa.RecordBatch, names: Sequence[str]) -> bool:
+    """Whether the last row of a batch and the first of the next are equal in `names`."""
+    return all(before.column(n)[-1].as_py() == after.column(n)[0].as_py() for n in names)

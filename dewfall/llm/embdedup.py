@@ -1,8 +1,8 @@
 """Near-duplicate embeddings by random-hyperplane signs.
 
 Each of several tables hashes a vector to the signs of its products with k random directions; equal
-codes meet, and the exact cosine decides. Buckets are cut into blocks of bounded size and compared
-block against block, by matrix products. A block returns counts and a spanning forest of its links,
+codes meet, and the exact cosine decides. Small buckets are worked on together, pair by pair in arrays; large ones are cut into
+blocks of bounded size and compared block against block, by matrix products. What leaves a task are counts and a spanning forest of its links,
 never the links themselves, so its output grows with its rows; a pair that meets in several tables
 counts in the first alone.
 """
@@ -13,22 +13,27 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from dewfall.llm.common import components, written
+from dewfall.llm.common import components, drop_written, split_join, whole_groups, written
+from dewfall.llm.textcodes import mixed
 
 #: Greatest chance that a pair at the threshold shares no table.
 MISS = 1e-3
 BLOCK = 1_000
+#: Members up to which a bucket is worked on with others.
+SMALL = 48
+#: Pairs that are multiplied at once.
+PAIRS = 200_000
 
 
 def table_shape(rows: int, least: float, miss: float = MISS) -> tuple[int, int]:
     """(bits, tables): about four vectors for each code, and tables enough for the wanted recall."""
-    bits = max(8, math.ceil(math.log2(max(rows, 2))) - 2)
+    bits = min(62, max(8, math.ceil(math.log2(max(rows, 2))) - 2))
     one = (1 - math.acos(least) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log1p(-one))
 
@@ -37,83 +42,127 @@ def planes(dim: int, bits: int, tables: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([20240301, dim])).standard_normal((dim, tables * bits))
 
 
-def sound(v: np.ndarray | None) -> bool:
-    return v is not None and len(v) > 0 and bool(np.isfinite(v).all()) and bool(v.any())
+def component_type(df: DataFrame) -> str:
+    """How components travel: as they are given, so that nothing is rounded."""
+    kind = df.schema["embedding"].dataType
+    return "<f4" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "<f8"
 
 
 def vectors(df: DataFrame) -> DataFrame:
-    """(vec_id, vec, same): the components as doubles in bytes, null if the vector can link with nothing; same: its identity."""
+    """(vec_id, vec, same): the components in bytes, null if the vector can link with nothing; same: its identity."""
+    kind = component_type(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, same = [], []
-            for v in batch.column(1).to_pylist():
-                x = None if v is None or None in v else np.array(v, "<f8") + 0.0
-                out.append(x.tobytes() if sound(x) else None)
-                same.append(xxhash.xxh3_128_hexdigest(out[-1]) if out[-1] else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.binary()), pa.array(same, pa.string())], names=["vec_id", "vec", "same"])
+            lists = batch.column(1)
+            at = lists.offsets.to_numpy()
+            x = lists.values.to_numpy(zero_copy_only=False).astype(kind) + np.zeros(1, kind)  # nulls turn into NaN, -0 into 0
+            bad, some = (np.r_[0, np.cumsum(m)] for m in (~np.isfinite(x), x != 0))
+            sound = (bad[at[1:]] == bad[at[:-1]]) & (some[at[1:]] > some[at[:-1]]) & lists.is_valid().to_numpy(zero_copy_only=False)
+            out = [x[a:b].tobytes() if ok else None for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), sound.tolist(), strict=True)]
+            same = [None if v is None else xxhash.xxh3_128_digest(v) for v in out]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.binary()), pa.array(same, pa.binary())], names=["vec_id", "vec", "same"])
 
-    return df.select("vec_id", "embedding").mapInArrow(run, "vec_id long, vec binary, same string")
+    return df.select("vec_id", "embedding").mapInArrow(run, "vec_id long, vec binary, same binary")
 
 
-def coded(reps: DataFrame, bits: int, tables: int) -> DataFrame:
-    """reps(vec_id, vec, copies) with codes: int32 for each table, in bytes; and keys, their hashes."""
+def _by_length(vecs: list[bytes], kind: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix of doubles) for each length of vector."""
+    sizes = np.array([len(v) for v in vecs])
+    for n in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == n)
+        yield rows, np.frombuffer(b"".join([vecs[k] for k in rows.tolist()]), kind).reshape(len(rows), -1).astype("f8")
+
+
+def coded(reps: DataFrame, bits: int, tables: int, kind: str) -> DataFrame:
+    """reps(vec_id, vec, copies) with codes: a number for each table, in bytes; and keys, their hashes."""
+    code = "<i4" if bits < 31 else "<i8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_dim: dict[int, np.ndarray] = {}
         weights = 1 << np.arange(bits, dtype="i8")
+        salts = mixed(np.arange(1, tables + 1, dtype=np.uint64))
         for batch in batches:
-            codes, keys = [], []
-            for vec in batch.column(1).to_pylist():
-                x = np.frombuffer(vec, "<f8")
-                if len(x) not in by_dim:
-                    by_dim[len(x)] = planes(len(x), bits, tables)
-                c = ((x @ by_dim[len(x)]).reshape(tables, bits) > 0) @ weights
-                codes.append(c.astype("<i8").tobytes())
-                keys.append([xxhash.xxh3_64_intdigest(c[t].tobytes(), seed=t * 65_536 + len(x) % 65_536) - (1 << 63) for t in range(tables)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["vec_id", "vec", "copies", "codes", "keys"])
+            codes = np.zeros((batch.num_rows, tables), "i8")
+            keys = np.zeros((batch.num_rows, tables), np.uint64)
+            for rows, x in _by_length(batch.column(1).to_pylist(), kind):
+                dim = x.shape[1]
+                if dim not in by_dim:
+                    by_dim[dim] = planes(dim, bits, tables)
+                codes[rows] = ((x @ by_dim[dim]).reshape(len(x), tables, bits) > 0) @ weights
+                with np.errstate(over="ignore"):
+                    keys[rows] = mixed(codes[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salts + np.uint64(dim))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables), pa.array(keys.view(np.int64).ravel()))
+            packed = pa.array([r.tobytes() for r in codes.astype(code)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, packed, lists], names=["vec_id", "vec", "copies", "codes", "keys"])
 
     return reps.select("vec_id", "vec", "copies").mapInArrow(run, "vec_id long, vec binary, copies long, codes binary, keys array<long>")
 
 
-def block_links(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """(vec_id, links, root) for the members of one pair of blocks (i, j) of one bucket of table t."""
-    t, i, j = int(pdf["t"].iloc[0]), pdf["i"].iloc[0], pdf["j"].iloc[0]
-    lengths = pdf["vec"].map(len).to_numpy()
-    parts = []
-    for n in np.unique(lengths):  # vectors of different dimensions never link
-        own = pdf[lengths == n]
-        x = np.frombuffer(b"".join(own["vec"]), "<f8").reshape(len(own), -1)
-        x = x / np.abs(x).max(axis=1, keepdims=True)  # keeps squares of extreme values finite
-        x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-        codes = np.frombuffer(b"".join(own["codes"]), "<i8").reshape(len(own), -1)
-        side, ids, copies = own["block"].to_numpy(), own["vec_id"].to_numpy(), own["copies"].to_numpy()
-        near = x @ x.T >= least
-        near &= codes[:, t][:, None] == codes[:, t][None, :]
-        np.fill_diagonal(near, False)
-        if i != j:
-            near &= side[:, None] != side[None, :]
+def near_pairs(x: np.ndarray, group: np.ndarray, side: np.ndarray | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (a < b) of one group with product `least` at least; rows of a group stand together. side: only pairs of different sides."""
+    edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+    size = np.diff(edges)
+    small = np.repeat(size <= SMALL, size)
+    after = np.where(small, np.repeat(edges[1:], size) - np.arange(len(group)) - 1, 0)
+    total = np.cumsum(after)
+    cuts = np.searchsorted(total, np.arange(PAIRS, (total[-1] if len(total) else 0) + PAIRS, PAIRS))
+    for lo, hi in zip(np.r_[0, cuts], np.r_[cuts + 1, len(group)], strict=True):
+        lo = min(lo if lo == 0 else lo + 1, len(group))
+        hi = min(hi, len(group))
+        n = after[lo:hi]
+        a = np.repeat(np.arange(lo, hi), n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        good = np.einsum("ij,ij->i", x[a], x[b]) >= least
+        if side is not None:
+            good &= side[a] != side[b]
+        yield a[good], b[good]
+    for g in np.flatnonzero(size > SMALL).tolist():
+        lo, hi = edges[g], edges[g + 1]
+        near = np.triu(x[lo:hi] @ x[lo:hi].T >= least, 1)
+        if side is not None:
+            near &= side[lo:hi, None] != side[None, lo:hi]
         a, b = np.nonzero(near)
-        if t and len(a):  # pairs that an earlier table has counted
-            for at in range(0, len(a), 100_000):
-                p, q = a[at : at + 100_000], b[at : at + 100_000]
-                met = (codes[p, :t] == codes[q, :t]).any(axis=1)
-                near[p[met], q[met]] = False
-        links = near @ copies
-        root = np.arange(len(own))
-        while len(a):  # least member reachable, by repeated minima over neighbours
-            low = root.copy()
-            np.minimum.at(low, a, root[b])
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
-        order = ids  # root as the least id of each group
-        group = pd.Series(order).groupby(root).transform("min").to_numpy()
-        hit = np.zeros(len(own), bool)
-        hit[a] = True
-        parts.append(pd.DataFrame({"vec_id": ids[hit], "links": links[hit], "root": group[hit]}))
-    return pd.concat(parts).astype("int64")
+        yield a + lo, b + lo
+
+
+def links_of(batch: pa.RecordBatch, least: float, kind: str, code: str) -> list[np.ndarray]:
+    """[vec_id, links, root] of the members of whole buckets, sorted by bucket and vec_id, that have a link not met in an earlier table."""
+    column = lambda n: batch.column(n).to_numpy(zero_copy_only=False)
+    ids, copies, table, side = column("vec_id"), column("copies"), column("t"), column("side")
+    bucket = np.stack([column(c) for c in ("t", "key", "i", "j")])
+    group = np.cumsum(np.r_[0, (bucket[:, 1:] != bucket[:, :-1]).any(axis=0)])
+    codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), code).reshape(len(ids), -1)
+    earlier = np.arange(codes.shape[1])
+    links, root, hit = np.zeros(len(ids), np.int64), np.arange(len(ids)), np.zeros(len(ids), bool)
+    left, right = [], []
+    apart = column("i") != column("j")
+    for rows, x in _by_length(batch.column("vec").to_pylist(), kind):  # vectors of different dimensions never link
+        x /= np.abs(x).max(axis=1, keepdims=True)  # keeps squares of extreme values finite
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        for both, sides in ((~apart[rows], None), (apart[rows], side[rows][apart[rows]])):
+            own = rows[both]
+            if not len(own):
+                continue
+            for a, b in near_pairs(x[both], group[own], sides, least):
+                for at in range(0, len(a), PAIRS):
+                    p, q = own[a[at : at + PAIRS]], own[b[at : at + PAIRS]]
+                    met = ((codes[p] == codes[q]) & (earlier < table[p][:, None])).any(axis=1)
+                    left.append(p[~met])
+                    right.append(q[~met])
+    a, b = np.concatenate([*left, np.empty(0, np.int64)]).astype(np.int64), np.concatenate([*right, np.empty(0, np.int64)]).astype(np.int64)
+    np.add.at(links, a, copies[b])
+    np.add.at(links, b, copies[a])
+    hit[a] = hit[b] = True
+    while len(a):  # the first member that each can reach; members are sorted, so it has the least id
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    return [ids[hit], links[hit], ids[root[hit]]]
 
 
 def linked(df: DataFrame, least: float = 0.95, miss: float = MISS) -> DataFrame:
@@ -122,28 +171,37 @@ def linked(df: DataFrame, least: float = 0.95, miss: float = MISS) -> DataFrame:
     Needs vec_id and embedding. A vector that is null, empty, zero, or holds null or non-finite components links
     with nothing: 0 links, a component of its own. Equal vectors link with each other (cosine 1) and
     stand as one in the search. Vectors of different dimensions never link. vec_id should be unique: rows that repeat it
-    share its links. An empty table gives an empty result."""
+    share its links; a row without vec_id takes part under no id: 0 links, component null, kept. An empty table gives an empty result."""
+    kind = component_type(df)
     all_ = written(vectors(df), "vectors")
-    same = all_.where("same is not null").groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    rows = written(all_.select("vec_id", "same").join(same, "same", "left").select("vec_id", "rep", "copies"), "copies")
-    n = max(1, rows.where("rep is not null and vec_id = rep").count())
-    bits, tables = table_shape(n, least, miss)
-    reps = all_.where("same is not null").join(rows.where("vec_id = rep").select("vec_id", "copies").distinct(), "vec_id").dropDuplicates(["same"])
-    codes = written(coded(reps, bits, tables), "codes")
+    real = all_.where("same is not null and vec_id is not null")
+    sets = written(real.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "sets")
+    first = real.join(sets.select("same", F.col("rep").alias("vec_id"), "copies"), ["same", "vec_id"]).dropDuplicates(["same"])
+    bits, tables = table_shape(max(1, sets.count()), least, miss)
+    codes = written(coded(first, bits, tables, kind), "codes")
     keys = codes.select("vec_id", F.posexplode("keys").alias("t", "key"))
-    shared = keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    met = keys.join(shared, ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
-        {"i": F.least("block", "other"), "j": F.greatest("block", "other")}
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    met = split_join(keys, shared, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    side = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
+    dealt = met.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
+        {"i": F.least("side", "other"), "j": F.greatest("side", "other")}
     )
-    members = dealt.join(codes.select("vec_id", "vec", "copies", "codes"), "vec_id").select("t", "key", "i", "j", "block", "vec_id", "vec", "copies", "codes")
-    found = written(members.groupBy("t", "key", "i", "j").applyInPandas(lambda pdf: block_links(pdf, least), "vec_id long, links long, root long"), "links")
+    members = dealt.join(codes.select("vec_id", "vec", "copies", "codes"), "vec_id").select("t", "key", "i", "j", "side", "vec_id", "vec", "copies", "codes")
+    code = "<i4" if bits < 31 else "<i8"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, "t", "key", "i", "j"):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in links_of(batch, least, kind, code)], names=["vec_id", "links", "root"])
+
+    sorted_ = members.repartition("key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "vec_id")
+    found = written(sorted_.mapInArrow(run, "vec_id long, links long, root long"), "links")
     labels = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    out = (
-        rows.join(counts.withColumnRenamed("vec_id", "rep"), "rep", "left")
-        .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .withColumn("component_id", F.coalesce("component", "rep", "vec_id"))
-    )
-    links = F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
-    return out.select("vec_id", links.cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    counts = found.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("links"))
+    own = sets.join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    told = written(own.select("same", "rep", "copies", "links", "component"), "told")
+    drop_written(codes, shared, found)
+    out = split_join(real.select("vec_id", "same"), told, "same", "copies")
+    links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    whole = out.select("vec_id", links.cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    alone = all_.where("same is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return whole.unionByName(alone).select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
