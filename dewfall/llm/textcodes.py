@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: A value for every byte or, above 255, for a code point's low and high part.
@@ -44,14 +44,21 @@ class Powers:
 _powers = Powers()
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of values; equal spans have equal hashes wherever they lie.
+def prefix_values(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix, up, down): (prefix[e] - prefix[s]) * down[s] is a value of span s to e, whatever stands before it.
 
-    The polynomial of a span is a difference of prefix sums, moved back to the span's start."""
+    The value of a span with another after it is its own plus up[its length] times the other's."""
     up, down = _powers.get(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * up[: len(values)], out=total[1:])
+    return total, up, down
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of values; equal spans have equal hashes wherever they lie."""
+    total, _, down = prefix_values(values)
+    with np.errstate(over="ignore"):
         return mixed((total[ends] - total[starts]) * down[starts])
 
 

@@ -1,10 +1,13 @@
 """Exact top-k search by MaxScore over sharded postings.
 
 Dimensions are the terms: the posting list of a dimension holds every vector's integer component.
-For a query each term's contribution lies between bounds taken over the shard. Terms stand in
+A shard's vectors are ordered by their largest component, so that a run of them has narrow bounds.
+For a query each term's contribution lies between its bounds in the run. Terms stand in
 descending order of bound; the last ones whose bounds together cannot lift a vector over the current
-k-th score are non-essential. Essential lists are traversed for all vectors of a run, the others
+k-th score are non-essential, and where all are, the run is passed over. Essential lists are traversed for all vectors of a run, the others
 probed only for vectors that are still competitive. Shards' lists merge by score, ties to smaller ids.
+
+Each vector goes to one shard, once; queries visit every shard, batch by batch.
 """
 
 from __future__ import annotations
@@ -12,17 +15,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dewfall.llm.common import written
 
-#: Vectors of a shard and queries of a block: a task holds one of each.
-SHARD, QUERIES = 40_000, 1_000
+#: Vectors of a shard: a task holds one shard and a batch of queries.
+SHARD = 40_000
 #: Vectors that are scored at once.
-RUN = 4_096
+RUN = 1_024
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -31,44 +33,53 @@ def scaled(df: DataFrame, factor: float = 1024.0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, dims, out = [], [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if i is None or v is None or None in v:
-                    continue
-                x = np.floor(factor * np.array(v, "<f8"))
-                if np.isfinite(x).all():
-                    ids.append(i)
-                    dims.append(len(x))
-                    out.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "dim", "vec"])
+            lists = batch.column(1)
+            at = lists.offsets.to_numpy()
+            x = np.floor(factor * lists.values.to_numpy(zero_copy_only=False).astype("<f8"))  # nulls turn into NaN
+            bad = np.r_[0, np.cumsum(~np.isfinite(x))]
+            fit = (bad[at[1:]] == bad[at[:-1]]) & lists.is_valid().to_numpy(zero_copy_only=False) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            kept = np.flatnonzero(fit).tolist()
+            out = pa.array([x[at[k] : at[k + 1]].tobytes() for k in kept], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).filter(pa.array(fit)), pa.array(np.diff(at)[fit].astype("i8")), out], names=["vec_id", "dim", "vec"])
 
     return df.select("vec_id", "embedding").mapInArrow(run, "vec_id long, dim long, vec binary")
 
 
 class Shard:
-    """Postings of one shard: a column for each dimension, with its bounds."""
+    """Postings of one shard: a column for each dimension, with its bounds in each run."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
-        order = np.argsort(ids, kind="stable")
+        if values.shape[1]:
+            top = np.abs(values).argmax(axis=1)
+            order = np.lexsort((ids, np.take_along_axis(values, top[:, None], 1)[:, 0], top))
+        else:
+            order = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[order], np.ascontiguousarray(values[order])
-        self.low, self.high = self.values.min(axis=0), self.values.max(axis=0)
+        edges = np.arange(0, len(ids), RUN)
+        self.low, self.high = np.minimum.reduceat(self.values, edges, axis=0), np.maximum.reduceat(self.values, edges, axis=0)
+        #: Products of a component and a query's, done and possible.
+        self.done = self.possible = 0
 
     def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows other than the query's own, best first."""
         ends = np.stack([q * self.low, q * self.high])
-        least, bound = ends.min(axis=0), ends.max(axis=0) - ends.min(axis=0)
-        terms = np.argsort(-bound, kind="stable")
-        base = least.sum()  # every vector scores at least this
-        after = np.append(np.cumsum(bound[terms][::-1])[::-1], 0)  # after[m]: most that terms[m:] can add above their least
+        least, most = ends.min(axis=0), ends.max(axis=0)
+        ceiling, floor = most.sum(axis=1), least.sum(axis=1)  # of the scores in each run
         ids, scores = np.empty(0, "i8"), np.empty(0, self.values.dtype)
-        for at in range(0, len(self.ids), RUN):
-            rows = self.values[at : at + RUN]
+        self.possible += self.values.size
+        for run in np.argsort(-ceiling, kind="stable").tolist():
             full = len(ids) >= k
+            if full and ceiling[run] < scores[k - 1]:
+                break  # runs stand in descending order of their ceilings
+            rows = self.values[run * RUN : (run + 1) * RUN]
+            bound = most[run] - least[run]
+            terms = np.argsort(-bound, kind="stable")
+            after = np.append(np.cumsum(bound[terms][::-1])[::-1], 0)  # after[m]: most that terms[m:] can add above their least
             # Essential: the terms before m; what the rest can add stays below the k-th score.
-            m = int(np.searchsorted(-(base + after), -scores[k - 1], side="right")) if full else len(terms)
-            m = min(m, len(terms))
+            m = min(int(np.searchsorted(-(floor[run] + after), -scores[k - 1], side="right")), len(terms)) if full else len(terms)
             essential, rest = terms[:m], terms[m:]
-            partial = rows[:, essential] @ q[essential] + least[rest].sum() if m < len(terms) else rows @ q
+            partial = rows[:, essential] @ q[essential] + least[run][rest].sum() if m < len(terms) else rows @ q
+            self.done += len(rows) * m
             live = np.arange(len(rows))
             if full:
                 live = live[partial + after[m] >= scores[k - 1]]
@@ -77,10 +88,11 @@ class Shard:
                 if not len(live):
                     break
                 d = terms[p]
-                got = got + rows[live, d] * q[d] - least[d]
+                got = got + rows[live, d] * q[d] - least[run][d]
+                self.done += len(live)
                 stay = got + after[p + 1] >= scores[k - 1]
                 live, got = live[stay], got[stay]
-            new = self.ids[at + live]
+            new = self.ids[run * RUN + live]
             other = new != query_id
             ids, scores = np.append(ids, new[other]), np.append(scores, got[other])
             best = np.lexsort((ids, -scores))[:k]
@@ -88,20 +100,53 @@ class Shard:
         return ids, scores
 
 
-def search_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best of one shard for each query of one block; both of one dimension."""
-    if not len(rows) or not len(queries):
-        return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
-    matrix = lambda pdf: np.frombuffer(b"".join(pdf["vec"]), "<f8").reshape(len(pdf), -1)
-    x, q = matrix(rows), matrix(queries)
-    if x.shape[1] and float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] >= 2.0**52:
-        # doubles would round: Python's integers are exact
-        x, q = (np.array([[int(v) for v in row] for row in m], object) for m in (x, q))
-    shard, out = Shard(rows["vec_id"].to_numpy(), x), []
-    for query_id, vec in zip(queries["vec_id"].to_numpy(), q, strict=True):
-        ids, scores = shard.top(query_id, vec, k)
-        out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores.astype("i8")}))
-    return pd.concat(out, ignore_index=True)
+def matrix(vecs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(vecs.to_pylist()), "<f8").reshape(len(vecs), -1)
+
+
+def exact(x: np.ndarray, largest: float) -> np.ndarray:
+    """x, as Python's integers where doubles would round a product with components up to `largest`."""
+    if x.shape[1] and float(np.abs(x).max()) * largest * x.shape[1] >= 2.0**52:
+        return np.array([[int(v) for v in row] for row in x], object)
+    return x
+
+
+def search_shards(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of each shard for each query. Rows (dim, shard, tag, vec_id, vec) come sorted: a shard's vectors, tag 0, then its queries, tag 1."""
+    at, held, shard = None, [], None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("dim", "shard", "tag")])
+        edges = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, batch.num_rows]
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if lo == hi:
+                continue
+            part, (dim, number, tag) = batch.slice(lo, hi - lo), keys[:, lo].tolist()
+            if (dim, number) != at:
+                at, held, shard = (dim, number), [], None
+            if tag == 0:
+                held.append(part)
+                continue
+            if not held:
+                continue  # a shard without vectors
+            q = matrix(part.column("vec"))
+            if shard is None:
+                whole = pa.concat_batches(held)
+                ids, x = whole.column("vec_id").to_numpy(), matrix(whole.column("vec"))
+                shard, largest = Shard(ids, x), float(np.abs(x).max()) if x.size else 0.0
+            own = exact(q, largest)
+            here = Shard(ids, x.astype(object)) if own.dtype == object and shard.values.dtype != object else shard
+            if here.values.dtype == object:
+                here.values = np.array([[int(v) for v in row] for row in here.values], object)
+            found = [(i, *here.top(i, v, k)) for i, v in zip(part.column("vec_id").to_pylist(), own, strict=True)]
+            n = [len(f[1]) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat([f[0] for f in found], n).astype("i8")),
+                    pa.array(np.concatenate([f[1] for f in found]).astype("i8")),
+                    pa.array(np.concatenate([f[2] for f in found]).astype("i8")),
+                ],
+                names=["query_id", "vec_id", "score"],
+            )
 
 
 def search(df: DataFrame, is_query: Column, k: int = 10, factor: float = 1024.0) -> DataFrame:
@@ -110,16 +155,15 @@ def search(df: DataFrame, is_query: Column, k: int = 10, factor: float = 1024.0)
     Needs vec_id and embedding. Vectors that are null or hold null or non-finite components, and rows without vec_id, take no part. Only
     vectors of the query's dimension are candidates. Rows with the query's vec_id are its own; a query that repeats
     with the same vector is asked once. Equal scores go to the smaller vec_id. Fewer than k candidates give
-    all. A score beyond 64 bits raises an error. Queries meet shards block by block: each task holds
-    at most about SHARD vectors and QUERIES queries."""
+    all. A score beyond 64 bits raises an error. Vectors go to their shard, about SHARD of them, once; queries are copied to every shard, where
+    they are asked batch by batch."""
     rows = written(scaled(df, factor), "scaled")
     asked = rows.where(is_query).dropDuplicates(["vec_id", "vec"])
-    shards, blocks = max(1, -(-rows.count() // SHARD)), max(1, -(-asked.count() // QUERIES))
-    spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("shard", spread(shards)).withColumn("block", every(blocks))
-    right = asked.withColumn("block", spread(blocks)).withColumn("shard", every(shards))
-    keys = ["dim", "shard", "block"]
-    found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(lambda x, q: search_block(x, q, k), FOUND)
+    shards = max(1, -(-rows.count() // SHARD))
+    left = rows.withColumns({"shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"), "tag": F.lit(0)})
+    right = asked.withColumns({"shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1))), "tag": F.lit(1)})
+    keys = ["dim", "shard"]
+    dealt = left.unionByName(right).select("dim", "shard", "tag", "vec_id", "vec").repartition(*keys).sortWithinPartitions(*keys, "tag")
+    found = dealt.mapInArrow(lambda batches: search_shards(batches, k), FOUND)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,15 +1,17 @@
 """Toxicity scores of deobfuscated text.
 
-Noisy channel: a token that mixes letters with digits or signs, repeats a letter, or is spelled out letter by letter becomes a lattice of possible letters. Viterbi decoding under a character trigram
-model of the whole corpus picks its most likely reading. The words of the restored
-text and their character four-grams have log-odds between toxic and clean rows; a logistic model over a
+Noisy channel: a token that mixes letters with digits or signs, repeats a letter, or is spelled out letter by letter becomes a lattice
+of possible letters, with separators that are dropped or kept as word boundaries. Viterbi decoding under a character trigram
+model of the whole corpus picks its most likely reading. The words of text and readings
+and their character four-grams have log-odds between toxic and clean rows; a logistic model over a
 document's highest ones gives the score. Both are fitted on a bounded sample of labelled rows.
+
+Words, four-grams and their places are found in arrays, chunk by chunk; only tokens that may be disguised become Python objects.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dewfall.llm.common import hash_sample
+from dewfall.llm.textcodes import VALUES, chunks, mixed, prefix_values, runs, span_hashes
 
 #: The model is fitted on about so many labelled rows of either class, picked by hash.
-TOXIC_ROWS, CLEAN_ROWS = 4_000, 8_000
+TOXIC_ROWS, CLEAN_ROWS = 3_000, 5_000
 FEATURES = 1 << 20
 THRESHOLD = 0.7
 TOKENS_KEPT = 300_000
@@ -45,16 +48,27 @@ JOINED = 1.5
 #: Least log-odds of a word of toxic rows for which pieces of words are put together.
 WORTH_JOINING = 1.0
 _SIGNS = "@$!|+(<€£¡"
-_EDGE = re.compile(rf"^[^\w{_SIGNS}]+|[^\w{_SIGNS}]+$")
-_ODD = re.compile(r"([^\W\d_])\1|[^\W\d_][\W\d_]|[\W\d_][^\W\d_]")
+_ODD_PAIR = re.compile(r"[^\W\d_][\W\d_]|[\W\d_][^\W\d_]")
 #: Ids that stay as they are: hexadecimal numbers, UUIDs, e-mail and web addresses.
 _ID = re.compile(r"(?=.*\d)(?:0x)?[0-9a-f]{16,}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}|(?:https?://|www\.).+")
-#: Three or more single characters, whatever stands between them.
-_ONE, _GAP = rf"[^\W_{_SIGNS}]|[{_SIGNS}]", rf"(?:[^\w{_SIGNS}]|_)+"
-_SPELLED = re.compile(rf"(?<![\w{_SIGNS}])(?:{_ONE})(?:{_GAP}(?:{_ONE})(?![^\W_]|[{_SIGNS}])){{2,}}")
 _LATIN, _REPEAT = re.compile(rf"[{_LETTERS}]+"), re.compile(r"(.)\1+")
 _PIECES = re.compile(r"[^\W\d_]+")
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+# Kinds of characters, by code point; those above the table count as its last entry.
+BLANK, LETTER, DIGIT, SIGN, LINE, REST = range(6)
+_KIND = np.full(0x10000, REST, np.uint8)
+for _c in range(0x10000):
+    _ch = chr(_c)
+    if _ch.isalpha():
+        _KIND[_c] = LETTER
+    elif _ch.isalnum():
+        _KIND[_c] = DIGIT
+_KIND[[ord(_c) for _c in _SIGNS]] = SIGN
+_KIND[ord("_")] = LINE
+_KIND[[0x20, *range(0x09, 0x0E)]] = BLANK
+_NUMBERED = np.zeros(0x10000, np.uint8)
+for _c, _k in _INDEX.items():
+    _NUMBERED[ord(_c)] = _k
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -62,12 +76,10 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE**3, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                x = _BYTES[np.frombuffer((" " + (text or "").lower() + " ").encode("latin-1", "replace"), np.uint8)]
-                for at in range(0, max(len(x) - 2, 0), 1 << 20):
-                    y = x[at : at + (1 << 20) + 2]
-                    total += np.bincount(y[:-2] * SIZE * SIZE + y[1:-1] * SIZE + y[2:], minlength=SIZE**3)
+        for batch in chunks(batches, 0):
+            text = "\n\n".join(["", *(t or "" for t in batch.column(0).to_pylist()), ""])  # a boundary on both sides of each text
+            x = _BYTES[np.frombuffer(text.lower().encode("latin-1", "replace"), np.uint8)]
+            total += np.bincount(x[:-2] * SIZE * SIZE + x[1:-1] * SIZE + x[2:], minlength=SIZE**3)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
 
@@ -142,14 +154,13 @@ class Restorer:
             out.append(letters)
         return "".join(reversed(out))
 
-    def __call__(self, token: str) -> list[str]:
-        """The words that a lower-case token may be: itself without edge signs, and, if it may be disguised, its decoded reading."""
-        word = _EDGE.sub("", token)
-        plain = word.strip(_SIGNS + "_")
-        if not _ODD.search(word) or _ID.fullmatch(word):
-            return [plain] if plain else []
-        words = [self.shortened(word)] if _LATIN.fullmatch(word) else self.decode(word).split()
-        return [w for w in dict.fromkeys((plain, *words)) if w]
+    def __call__(self, word: str) -> list[str]:
+        """The other words that a lower-case token, without edge signs, may be."""
+        if _LATIN.fullmatch(word):
+            return [w for w in (self.shortened(word),) if w != word]
+        if _ID.fullmatch(word) or not _ODD_PAIR.search(word):
+            return []
+        return [w for w in dict.fromkeys(self.decode(word).split()) if w != word]
 
     def shortened(self, word: str) -> str:
         """decode() for letters alone: whether a repeat stays depends only on the letters beside it."""
@@ -162,53 +173,225 @@ class Restorer:
         return _REPEAT.sub(pick, word)
 
 
+class Chunk:
+    """Code points of some lower-case texts in a row, one blank after each, with the kinds of the characters."""
+
+    def __init__(self, texts: list[str]):
+        low = [t.lower() for t in texts]
+        self.text = "\n".join([*low, ""])
+        self.offsets = np.cumsum([0, *(len(t) + 1 for t in low)])
+        self.cps = np.frombuffer(self.text.encode("utf-32-le"), "<u4")
+        self.kind = _KIND[np.minimum(self.cps, 0xFFFF)]
+
+    def doc_of(self, at: np.ndarray) -> np.ndarray:
+        """The texts in which ascending places lie."""
+        return np.repeat(np.arange(len(self.offsets) - 1), np.diff(np.searchsorted(at, self.offsets)))
+
+    def cut(self, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+        return [self.text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+_FIRST, _LAST = 0x2402, 0x2403  # stand at the edges of a word in its four-grams
+_GRAM = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def word_features(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, feature) for the words between starts and ends: the word itself, and its four-grams with its edges."""
+    sizes = ends - starts
+    wide = sizes + 2
+    total = int(wide.sum())
+    if not total:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    word = np.repeat(np.arange(len(starts)), wide)
+    head = np.cumsum(wide) - wide
+    place = np.arange(total) - head[word]
+    source = np.clip(starts[word] + place - 1, 0, len(cps) - 1)
+    padded = np.where(place == 0, _FIRST, np.where(place == sizes[word] + 1, _LAST, cps[source]))
+    values = VALUES[padded & 0xFFFF] + (padded >> 16).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        tail = np.r_[values, np.zeros(3, np.uint64)]
+        grams = tail[:total] * _GRAM[0] + tail[1 : total + 1] * _GRAM[1] + tail[2 : total + 2] * _GRAM[2]
+        # two-letter words fill a window of four; the window at the last but one letter is four long as well
+        grams = mixed(grams + tail[3 : total + 3] * _GRAM[3])
+    inside = place < sizes[word] - 1
+    whole = span_hashes(VALUES[cps & 0xFFFF] + (cps >> 16).astype(np.uint64), starts, ends)
+    return np.r_[np.arange(len(starts)), word[inside]], (np.r_[whole, grams[inside]] & np.uint64(FEATURES - 1)).astype(np.int64)
+
+
+def text_features(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, odds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) for the words of texts; each different word is worked on once. odds: only features above 0."""
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    hashes = span_hashes(VALUES[cps & 0xFFFF] + (cps >> 16).astype(np.uint64), starts, ends)
+    _, example, own = np.unique(hashes, return_index=True, return_inverse=True)
+    word, feature = word_features(cps, starts[example], ends[example])
+    if odds is not None:
+        some = odds[feature] > 0
+        word, feature = word[some], feature[some]
+    order = np.argsort(word, kind="stable")
+    feature = feature[order]
+    at = np.searchsorted(word[order], np.arange(len(example) + 1))
+    sizes = np.diff(at)[own]
+    total = np.cumsum(sizes)
+    picked = np.repeat(at[own] - total + sizes, sizes) + np.arange(total[-1])
+    return np.repeat(doc, sizes), feature[picked]
+
+
+def word_feature(word: str) -> int:
+    """The feature of a word itself."""
+    cps = np.frombuffer(word.encode("utf-32-le"), "<u4")
+    return int(word_features(cps, np.array([0]), np.array([len(cps)]))[1][0])
+
+
 class Featurizer:
-    """Feature numbers of a text: its distinct restored words and their four-grams; tokens are remembered.
+    """Features of texts: of their words, of the readings of words that may be disguised, and of words spelled out.
 
     Runs of single characters are decoded with their separators. Beyond these, pieces that follow one another, whatever
-    their lengths and separators, are also put together where they make a word of `lexicon`."""
+    their lengths and separators, are also put together where they make a word of `lexicon`. Readings are remembered."""
 
     def __init__(self, costs: np.ndarray, lexicon: frozenset[str] = frozenset()):
-        self.restore, self.known, self.lexicon = Restorer(costs), {}, lexicon
-        self.starts = frozenset(w[:k] for w in lexicon for k in range(1, len(w)))
-        self.read = self.starts | lexicon
-
-    def spelled(self, low: str) -> set[str]:
-        """Words read from runs of single characters."""
-        return {w for m in _SPELLED.finditer(low) if _PIECES.search(m.group()) for w in self.restore.decode(m.group()).split()}
-
-    def joined(self, low: str) -> set[str]:
-        """Words of the lexicon that two or more pieces in a row make."""
-        if not self.lexicon:
-            return set()
-        starts, known, found, pieces = self.starts, self.read, set(), _PIECES.findall(low)
-        for k in [k for k, (a, b) in enumerate(zip(pieces, pieces[1:])) if a in starts and a + b in known]:
-            word, at = pieces[k], k + 1
-            while word in starts and at < len(pieces):
-                word += pieces[at]
-                at += 1
-                if word in self.lexicon:
-                    found.add(word)
-        return found
-
-    def token(self, token: str) -> tuple[int, ...]:
-        got = self.known.get(token)
+        self.restore, self.known = Restorer(costs), {}
+        self.lexicon = {self._raw(w): w for w in lexicon}
+        self.starts = np.array(sorted({self._raw(w[:k]) for w in lexicon for k in range(1, len(w))}), np.uint64)
+        self.whole = np.array(sorted(self.lexicon), np.uint64)
+        self.read = np.union1d(self.starts, self.whole)
+
+    @staticmethod
+    def _raw(word: str) -> int:
+        cps = np.frombuffer(word.encode("utf-32-le"), "<u4")
+        return int(prefix_values(VALUES[cps & 0xFFFF] + (cps >> 16).astype(np.uint64))[0][-1])
+
+    def readings(self, word: str) -> list[str]:
+        got = self.known.get(word)
         if got is None:
-            grams = [g for w in self.restore(token) for g in [f" {w}", *(f"^{w}$"[k : k + 4] for k in range(len(w) - 1))]]
-            got = tuple({zlib.crc32(g.encode()) % FEATURES for g in grams})
             if len(self.known) >= TOKENS_KEPT:
                 self.known.clear()
-            self.known[token] = got
+            got = self.known[word] = self.restore(word)
         return got
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        low = (text or "").lower()
-        found: set[int] = set()
-        for t in set(_WORDS.findall(low)):
-            found.update(self.token(t))
-        for w in self.spelled(low) | self.joined(low):
-            found.update(self.token(w))
-        return np.fromiter(sorted(found), np.int32, len(found))
+    def spelled(self, c: Chunk) -> tuple[list[int], list[str]]:
+        """(text, word) for words read from runs of three or more single characters, whatever stands between them."""
+        a, b = runs((c.kind == LETTER) | (c.kind == DIGIT) | (c.kind == SIGN), np.empty(0, np.int64))
+        doc = c.doc_of(a)
+        single = b - a == 1
+        linked = single[1:] & single[:-1] & (doc[1:] == doc[:-1])
+        s, e = runs(linked, np.empty(0, np.int64))  # links s..e-1 join units s..e
+        letters = np.r_[0, np.cumsum(c.kind == LETTER)]
+        good = (e - s >= 2) & (letters[b[np.minimum(e, len(b) - 1)]] > letters[a[s]]) if len(s) else np.zeros(0, bool)
+        docs, words = [], []
+        for d, text in zip(doc[s[good]].tolist(), c.cut(a[s[good]], b[e[good]]), strict=True):
+            for w in dict.fromkeys(self.restore.decode(text).split()):
+                docs.append(d)
+                words.append(w)
+        return docs, words
+
+    def joined(self, c: Chunk) -> tuple[list[int], list[str]]:
+        """(text, word) for words of the lexicon that two or more pieces in a row make."""
+        docs, words = [], []
+        if not len(self.whole):
+            return docs, words
+        a, b = runs(c.kind == LETTER, np.empty(0, np.int64))
+        if not len(a):
+            return docs, words
+        raw, up, down = prefix_values(VALUES[c.cps & 0xFFFF] + (c.cps >> 16).astype(np.uint64))
+        doc = c.doc_of(a)
+        with np.errstate(over="ignore"):
+            own = (raw[b] - raw[a]) * down[a]
+            size = b - a
+            alive = np.flatnonzero(among(own, self.starts))
+            value, long, upto = own[alive], size[alive], alive
+            while len(alive):
+                more = (upto + 1 < len(a)) & (doc[np.minimum(upto + 1, len(a) - 1)] == doc[alive])
+                alive, value, long, upto = alive[more], value[more], long[more], upto[more] + 1
+                value = value + up[long] * own[upto]
+                long = long + size[upto]
+                more = among(value, self.read)
+                alive, value, long, upto = alive[more], value[more], long[more], upto[more]
+                for k in np.flatnonzero(among(value, self.whole)).tolist():
+                    docs.append(int(doc[alive[k]]))
+                    words.append(self.lexicon[int(value[k])])
+                more = among(value, self.starts)
+                alive, value, long, upto = alive[more], value[more], long[more], upto[more]
+        return docs, words
+
+    def stretched(self, c: Chunk, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which words of Latin letters read otherwise with a repeat shortened."""
+        number = _NUMBERED[np.minimum(c.cps, 0xFFFF)].astype(np.int64)
+        same = np.zeros(len(c.cps), bool)
+        same[:-1] = (c.cps[1:] == c.cps[:-1]) & (number[1:] > 0)
+        s, e = runs(same, np.empty(0, np.int64))  # characters s..e are equal
+        foreign = np.r_[0, np.cumsum(number == 0)]
+        latin = foreign[b] == foreign[a]
+        word = np.searchsorted(a, s, "right") - 1
+        fits = (word >= 0) & (e < b[word]) & latin[word] if len(a) else np.zeros(len(s), bool)
+        s, e, word = s[fits], e[fits], word[fits]
+        before = np.where(s > a[word], number[np.maximum(s - 1, 0)], 0)
+        after = np.where(e + 1 < b[word], number[np.minimum(e + 1, len(number) - 1)], 0)
+        x, costs = number[s], self.restore.costs
+        once = np.where(e - s == 1, HALVED, DROPPED) + costs[before, x, after] < costs[before, x, x] + costs[x, x, after]
+        out = np.zeros(len(a), bool)
+        out[word[once | (e - s > 1)]] = True
+        return out
+
+    def read_all(self, texts: list[str | None]) -> tuple[Chunk, np.ndarray, np.ndarray, list[int], list[str]]:
+        """The texts in arrays, the places of their plain words, and (text, word) for every other reading."""
+        c = Chunk([t or "" for t in texts])
+        starts, ends = runs(c.kind != BLANK, np.empty(0, np.int64))
+        a, b = trimmed(starts, ends, (c.kind != BLANK) & (c.kind != REST))
+        change = np.zeros(len(c.cps) + 1, np.int64)
+        change[1 : len(c.cps)] = (c.kind[1:] == LETTER) != (c.kind[:-1] == LETTER)
+        change = np.cumsum(change)  # change[k]: how many borders of letters lie before k
+        odd = change[b - 1] > change[a]
+        from_, upto = trimmed(a, b, (c.kind == LETTER) | (c.kind == DIGIT))
+        stretched = self.stretched(c, from_, upto)
+        docs, words = [], []
+        for x, y in ((a[odd], b[odd]), (from_[stretched], upto[stretched])):
+            for d, token in zip(c.doc_of(x).tolist(), c.cut(x, y), strict=True):
+                for w in self.readings(token):
+                    docs.append(d)
+                    words.append(w)
+        for more_docs, more in (self.spelled(c), self.joined(c)):
+            docs += more_docs
+            words += more
+        return c, from_, upto, docs, words
+
+    def words(self, texts: list[str | None]) -> list[set[str]]:
+        """The plain words and the readings of each text."""
+        c, a, b, docs, words = self.read_all(texts)
+        out: list[set[str]] = [set() for _ in texts]
+        for d, w in [*zip(c.doc_of(a).tolist(), c.cut(a, b), strict=True), *zip(docs, words, strict=True)]:
+            out[d].add(w)
+        return out
+
+    def __call__(self, texts: list[str | None], odds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, feature) of all features found, with repeats, and the number of words of each text. odds: only features above 0."""
+        c, a, b, docs, words = self.read_all(texts)
+        doc = c.doc_of(a)
+        found = [text_features(c.cps, a, b, doc, odds)]
+        if words:
+            read = np.frombuffer(" ".join(words).encode("utf-32-le"), "<u4")
+            sizes = np.array([len(w) for w in words])
+            at = np.cumsum(sizes + 1) - sizes - 1
+            found.append(text_features(read, at, at + sizes, np.array(docs), odds))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.bincount(doc, minlength=len(texts))
+
+
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted array known."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return known[at] == x
+
+
+def trimmed(starts: np.ndarray, ends: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans cut back to their first and last place where `kept` holds; spans without one go."""
+    places = np.flatnonzero(kept)
+    count = np.zeros(len(kept) + 1, np.int32)
+    np.cumsum(kept, out=count[1:])
+    lo, hi = count[starts], count[ends]
+    some = hi > lo
+    return places[lo[some]], places[hi[some] - 1] + 1
 
 
 #: Highest log-odds of a document that the second model sees, and pseudo-rows of a feature's prior.
@@ -236,20 +419,28 @@ def log_odds(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return (np.log((count(1) + PRIOR * rate) / (toxic + PRIOR)) - np.log((count(0) + PRIOR * (1 - rate)) / (clean + PRIOR))).astype("f4")
 
 
-def evidence(found: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """The TOP highest log-odds of a document's features, and the log of how many it has."""
-    out = np.zeros(TOP + 1)
-    v = odds[found]
-    v = np.sort(np.partition(v, -TOP)[-TOP:] if len(v) > TOP else v)[::-1]
-    out[: len(v)] = v
-    out[TOP] = np.log1p(len(found))
+def evidence(doc: np.ndarray, feature: np.ndarray, n_words: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """A row for each text: its TOP highest log-odds of different features, 0 for what lacks, and the log of its number of words."""
+    out = np.zeros((len(n_words), TOP + 1))
+    out[:, TOP] = np.log1p(n_words)
+    v = odds[feature]
+    some = v > 0
+    doc, feature = doc[some], feature[some]
+    key = np.unique(doc * FEATURES + feature)
+    doc, v = key // FEATURES, odds[key % FEATURES]
+    order = np.lexsort((-v, doc))
+    doc, v = doc[order], v[order]
+    rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    kept = rank < TOP
+    out[doc[kept], rank[kept]] = v[kept]
     return out
 
 
-def fit(rows: list[tuple[int, bytes]], l2: float = 1e-3) -> Model:
+def fit(rows: list[tuple[int, bytes, int]], l2: float = 1e-3) -> Model:
     """Both models. The second learns from log-odds of the half that a row isn't in, so it isn't misled by chance features."""
     y = np.array([r[0] for r in rows], "f8")
     found = [np.frombuffer(r[1], np.int32) for r in rows]
+    words = np.array([r[2] for r in rows], "f8")
     if min(y.sum(), (1 - y).sum()) < 2:
         rate = (y.sum() + 0.5) / (len(y) + 10.0)
         return Model(np.zeros(FEATURES, "f4"), np.append(np.zeros(TOP + 1), np.log(rate / (1 - rate))), np.zeros(TOP + 1), np.ones(TOP + 1))
@@ -260,9 +451,11 @@ def fit(rows: list[tuple[int, bytes]], l2: float = 1e-3) -> Model:
     for k in (0, 1):
         others = np.flatnonzero(half != k)
         odds = log_odds([found[i] for i in others], y[others])
-        for i in np.flatnonzero(half == k):
-            stats[i] = evidence(found[i], odds)
-    mean, spread = stats.mean(axis=0), stats.std(axis=0) + 1e-9
+        own = np.flatnonzero(half == k)
+        doc = np.repeat(np.arange(len(own)), [len(found[i]) for i in own])
+        stats[own] = evidence(doc, np.concatenate([found[i] for i in own]).astype(np.int64), words[own], odds)
+    mean, spread = stats.mean(axis=0), stats.std(axis=0)
+    spread = np.where(spread < 1e-6, 1.0, spread)  # what never varies tells nothing
     x, w = np.c_[(stats - mean) / spread, np.ones(len(y))], np.zeros(TOP + 2)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
@@ -275,13 +468,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-FEATURED = "toxic int, features binary, words string"
+FEATURED = "toxic int, features binary, n_words long, words string"
 
 
 def lexicon(texts: list[str], odds: np.ndarray) -> frozenset[str]:
     """Words of three letters or more whose log-odds are WORTH_JOINING at least."""
     words = {w for t in texts for w in t.split(" ") if len(w) > 2}
-    return frozenset(w for w in words if odds[zlib.crc32(f" {w}".encode()) % FEATURES] >= WORTH_JOINING)
+    return frozenset(w for w in words if odds[word_feature(w)] >= WORTH_JOINING)
 
 
 def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model:
@@ -292,13 +485,20 @@ def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray, toxic_rows: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Featurizer(costs)
-        for batch in batches:
-            x = [features(t).tobytes() for t in batch.column(1).to_pylist()]
-            words = [" ".join(set(_PIECES.findall((t or "").lower()))) if y else "" for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(x, pa.binary()), pa.array(words, pa.string())], names=["toxic", "features", "words"])
-
+        for batch in chunks(batches, 1):
+            toxic, texts = (c.to_pylist() for c in batch.columns)
+            doc, feature, n_words = features(texts)
+            key = np.unique(doc * FEATURES + feature)
+            at = np.searchsorted(key, np.arange(len(texts) + 1) * FEATURES)
+            x = [(key[p:q] % FEATURES).astype(np.int32).tobytes() for p, q in zip(at[:-1], at[1:], strict=True)]
+            words = [" ".join(set(_PIECES.findall((t or "").lower()))) if y else "" for y, t in zip(toxic, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int32()), pa.array(x, pa.binary()), pa.array(n_words, pa.int64()), pa.array(words, pa.string())], names=["toxic", "features", "n_words", "words"]
+            )
+
+    # repeated ids bring further rows, so the sample is bounded by a limit as well
     rows = texts.mapInArrow(run, FEATURED).limit(4 * (toxic_rows + clean_rows)).collect()
-    model = fit(sorted((r.toxic, bytes(r.features)) for r in rows))
+    model = fit(sorted((r.toxic, bytes(r.features), r.n_words) for r in rows))
     model.lexicon = lexicon([r.words for r in rows], model.odds)
     return model
 
@@ -319,8 +519,8 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Featurizer(costs, model.lexicon)
-        for batch in batches:
-            p = model(np.array([evidence(features(t), model.odds) for t in batch.column(at).to_pylist()]).reshape(batch.num_rows, TOP + 1))
+        for batch in chunks(batches, at):
+            p = model(evidence(*features(batch.column(at).to_pylist(), model.odds), model.odds))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "score"])
 
     out = base.mapInArrow(run, schema)
