@@ -396,6 +396,7 @@ def trimmed(starts: np.ndarray, ends: np.ndarray, kept: np.ndarray) -> tuple[np.
 
 #: Highest log-odds of a document that the second model sees, and pseudo-rows of a feature's prior.
 TOP, PRIOR = 6, 6.0
+STATS = TOP + 2
 
 
 class Model:
@@ -420,8 +421,8 @@ def log_odds(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 
 def evidence(doc: np.ndarray, feature: np.ndarray, n_words: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """A row for each text: its TOP highest log-odds of different features, 0 for what lacks, and the log of its number of words."""
-    out = np.zeros((len(n_words), TOP + 1))
+    """A row for each text: its TOP highest log-odds of different features, 0 for what lacks, and the logs of its number of words and of such features."""
+    out = np.zeros((len(n_words), STATS))
     out[:, TOP] = np.log1p(n_words)
     v = odds[feature]
     some = v > 0
@@ -433,6 +434,7 @@ def evidence(doc: np.ndarray, feature: np.ndarray, n_words: np.ndarray, odds: np
     rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
     kept = rank < TOP
     out[doc[kept], rank[kept]] = v[kept]
+    out[:, TOP + 1] = np.log1p(np.bincount(doc, minlength=len(n_words)))
     return out
 
 
@@ -443,11 +445,11 @@ def fit(rows: list[tuple[int, bytes, int]], l2: float = 1e-3) -> Model:
     words = np.array([r[2] for r in rows], "f8")
     if min(y.sum(), (1 - y).sum()) < 2:
         rate = (y.sum() + 0.5) / (len(y) + 10.0)
-        return Model(np.zeros(FEATURES, "f4"), np.append(np.zeros(TOP + 1), np.log(rate / (1 - rate))), np.zeros(TOP + 1), np.ones(TOP + 1))
+        return Model(np.zeros(FEATURES, "f4"), np.append(np.zeros(STATS), np.log(rate / (1 - rate))), np.zeros(STATS), np.ones(STATS))
     half = np.zeros(len(y), int)
     for k in (0, 1):
         half[np.flatnonzero(y == k)[::2]] = 1
-    stats = np.zeros((len(y), TOP + 1))
+    stats = np.zeros((len(y), STATS))
     for k in (0, 1):
         others = np.flatnonzero(half != k)
         odds = log_odds([found[i] for i in others], y[others])
@@ -456,10 +458,10 @@ def fit(rows: list[tuple[int, bytes, int]], l2: float = 1e-3) -> Model:
         stats[own] = evidence(doc, np.concatenate([found[i] for i in own]).astype(np.int64), words[own], odds)
     mean, spread = stats.mean(axis=0), stats.std(axis=0)
     spread = np.where(spread < 1e-6, 1.0, spread)  # what never varies tells nothing
-    x, w = np.c_[(stats - mean) / spread, np.ones(len(y))], np.zeros(TOP + 2)
+    x, w = np.c_[(stats - mean) / spread, np.ones(len(y))], np.zeros(STATS + 1)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + l2 * np.eye(TOP + 2), x.T @ (p - y) / len(y) + l2 * w)
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + l2 * np.eye(STATS + 1), x.T @ (p - y) / len(y) + l2 * w)
     return Model(log_odds(found, y), w, mean, spread)
 
 
