@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dewfall.jobs import climatology, oracles
+from dewfall.jobs import climatology, oracles, products
 
-ORACLE_SQL: dict[str, str] = oracles.SQL
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: getattr(climatology, name) for name in ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+for _module, _sql in ((climatology, oracles.SQL), (products, products.SQL)):
+    ORACLE_SQL |= _sql
+    QUERIES |= {name: getattr(_module, name) for name in _sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

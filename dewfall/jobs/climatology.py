@@ -23,11 +23,12 @@ def _levels(df: DataFrame) -> DataFrame:
 
 
 def moments_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return moist(spark, sf_dir).groupBy(*CELL).agg(*moments.moment_state("rh")).select(*CELL, "n", "missing", *moments.scale_free())
+    states = moist(spark, sf_dir).groupBy(*CELL).agg(*moments.moment_state("rh")).withColumn("variable", F.lit("rh"))
+    return states.select(*CELL, "n", "missing", *moments.scale_free(), *moments.shown_sums())
 
 
 def moments_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return level_states(spark, sf_dir).select(*CELL, "level_bin", "variable", "n", *moments.scale_free())
+    return level_states(spark, sf_dir).select(*CELL, "level_bin", "variable", "n", *moments.scale_free(), *moments.shown_sums())
 
 
 def level_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,15 +53,23 @@ def thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of relative and specific humidity over each day of the calendar."""
     state = moist(spark, sf_dir).groupBy(*CELL).agg(*moments.pair_state("rh", "q"))
-    sxy = F.sqrt(F.col("m2_x") * F.col("m2_y"))
-    corr = F.when((F.col("n") >= 2) & (F.col("m2_x") > 1e-9) & (F.col("m2_y") > 1e-15), F.least(F.greatest(F.col("cxy") / sxy, F.lit(-1.0)), F.lit(1.0)))
-    return state.where("n > 0").withColumns({"cov": F.when(F.col("n") >= 2, F.col("cxy") / (F.col("n") - 1)), "corr": corr})
+    return state.where("n > 0").select("*", *moments.pair_products())
+
+
+def binned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell, hour and the bins of relative and specific humidity, null out of range.
+
+    Both values leave the physics through inline(), which no rule moves expressions across: bins name them several times, and
+    every mention would carry the whole physics with it."""
+    values = moist(spark, sf_dir).select(*CELL, "h", F.inline(F.array(F.struct("rh", "q"))))
+    return values.select(*CELL, "h", moments.bin_of(F.col("rh"), *moments.RH_RANGE).alias("xb"), moments.bin_of(F.col("q"), *moments.Q_RANGE).alias("yb"))
 
 
 def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = moist(spark, sf_dir).withColumns({"xb": moments.bin_of(F.col("rh"), 0, 130), "yb": moments.bin_of(F.col("q"), 0, 0.030)})
-    return df.where("xb is not null and yb is not null").groupBy("cy", "cx", "xb", "yb").agg(F.count("*").alias("n"))
+    """Counts by bins over all days."""
+    return binned(spark, sf_dir).where("xb is not null and yb is not null").groupBy("cy", "cx", "xb", "yb").agg(F.count("*").alias("n"))
 
 
 def triplet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,9 +153,10 @@ def missing_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def step_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir).where("td is not null").withColumn("gap", F.abs(F.col("t") - F.col("td")))
     over = [F.count_if(F.col("gap") > k).alias(f"over_{k}") for k in (2, 5, 8, 10, 15)]
-    return obs.groupBy("cy", "cx").agg(
-        F.avg("gap").alias("mean"), F.median("gap").alias("median"), F.percentile("gap", F.lit(0.95)).alias("p95"), F.percentile("gap", F.lit(0.99)).alias("p99"), F.max("gap").alias("max"), F.count_distinct("t").alias("distinct_t"), *over
-    )
+    plain = obs.groupBy("cy", "cx").agg(F.avg("gap").alias("mean"), F.max("gap").alias("max"), *over)
+    ranked = windows.percentiles(obs, ["cy", "cx"], "gap", {"median": 0.5, "p95": 0.95, "p99": 0.99})
+    values = obs.groupBy("cy", "cx", "t").agg(F.count("*").alias("ties")).groupBy("cy", "cx").agg(F.count("t").alias("distinct_t"))
+    return plain.join(ranked, ["cy", "cx"]).join(values, ["cy", "cx"])
 
 
 def dominance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dewfall.operators.moments import THRESHOLDS
 from dewfall.sources.observations import OBS_COLUMNS
 
 _SVP = "CASE WHEN {0} >= 0 THEN 6.112::DOUBLE * exp(17.67::DOUBLE * {0} / ({0} + 243.5::DOUBLE)) WHEN {0} < 0 THEN 6.112::DOUBLE * exp(22.46::DOUBLE * {0} / ({0} + 272.62::DOUBLE)) END"
@@ -14,6 +13,16 @@ ep AS (SELECT *, {_SVP.format("td")} AS e, {_SVP.format("t")} AS es,
   CASE WHEN year(d) >= 2001 THEN 2001 ELSE 1991 END AS decade FROM obs),
 mr AS (SELECT *, CASE WHEN e > 0 AND p > 0 AND e < p THEN 0.622::DOUBLE * e / (p - e) END AS r, 100 * e / es AS rh_raw FROM ep),
 moist AS (SELECT *, CASE WHEN rh_raw IS NOT NULL THEN least(greatest(rh_raw, 0), 100) END AS rh, r / (1 + r) AS q FROM mr)"""
+MOIST = _MOIST
+#: Each row of moist under the day, its three-hour bin and its hour.
+LEVELS = "lev AS (SELECT *, unnest([0, 1 + h // 3, 9 + h]) AS level_bin FROM moist)"
+
+
+def moist_from(changed: str) -> str:
+    """The same columns over observations of which some are replaced."""
+    return _MOIST.replace("obs AS (SELECT", "plain AS (SELECT").replace("ep AS (", f"obs AS (SELECT * REPLACE ({changed}) FROM plain),\nep AS (", 1)
+
+
 _LONG = ", long AS (SELECT *, unnest(['rh', 'e', 'r', 'q']) AS variable, unnest([rh, e, r, q]) AS x FROM moist)"
 
 
@@ -28,22 +37,28 @@ st AS (SELECT {", ".join("a." + k.strip() for k in keys.split(","))}, count(a.{x
 
 _LEVELS = f"WITH {_MOIST}{_LONG}, lev AS (SELECT *, unnest([0, 1 + h // 3, 9 + h]) AS level_bin FROM long), {_central('slot, cy, cx, level_bin, variable', 'x', 'lev')}"
 _SHOWN = """round(mean, 9) + 0 AS mean, round(m2, 9) + 0 AS m2, round(low, 9) AS low, round(high, 9) AS high,
-  CASE WHEN high - low > 1e-9 * abs(high) THEN round(m3 / n / pow(m2 / n, 1.5), 6) + 0 END AS g1, CASE WHEN high - low > 1e-9 * abs(high) THEN round(n * m4 / (m2 * m2) - 3, 6) + 0 END AS g2"""
-_OVER = ", ".join(f"count(*) FILTER ({v} > {t}) AS {v}_over_{k}" for v, ts in THRESHOLDS.items() for k, t in enumerate(ts))
+  CASE WHEN high - low > 1e-9 * abs(high) THEN round(m3 / n / pow(m2 / n, 1.5), 6) + 0 END AS g1, CASE WHEN high - low > 1e-9 * abs(high) THEN round(n * m4 / (m2 * m2) - 3, 6) + 0 END AS g2,
+  round(m3 / pow({0}, 3), 6) + 0 AS m3, round(m4 / pow({0}, 4), 6) + 0 AS m4"""
+_UNIT = "CASE variable WHEN 'rh' THEN 100 WHEN 'e' THEN 10 ELSE 0.01 END::DOUBLE"
+# Fixed values, written out apart from the code they check.
+OVER = """count(*) FILTER (rh > 80) AS rh_over_0, count(*) FILTER (rh > 90) AS rh_over_1, count(*) FILTER (rh > 95) AS rh_over_2, count(*) FILTER (rh > 100) AS rh_over_3,
+  count(*) FILTER (e > 10) AS e_over_0, count(*) FILTER (e > 15) AS e_over_1, count(*) FILTER (e > 20) AS e_over_2, count(*) FILTER (e > 25) AS e_over_3,
+  count(*) FILTER (r > 0.008) AS r_over_0, count(*) FILTER (r > 0.010) AS r_over_1, count(*) FILTER (r > 0.012) AS r_over_2, count(*) FILTER (r > 0.015) AS r_over_3, count(*) FILTER (r > 0.020) AS r_over_4,
+  count(*) FILTER (q > 0.008) AS q_over_0, count(*) FILTER (q > 0.010) AS q_over_1, count(*) FILTER (q > 0.012) AS q_over_2, count(*) FILTER (q > 0.015) AS q_over_3, count(*) FILTER (q > 0.020) AS q_over_4"""
 _HOURS = "hours AS (SELECT event_type, date_trunc('hour', ts) AS hour, avg(value) AS v FROM events GROUP BY 1, 2)"
 
 SQL: dict[str, str] = {
-    "moments_l1": f"WITH {_MOIST}, {_central('slot, cy, cx', 'rh', 'moist')} SELECT slot, cy, cx, n, missing, {_SHOWN} FROM st",
-    "moments_levels": f"{_LEVELS} SELECT slot, cy, cx, level_bin, variable, n, {_SHOWN} FROM st WHERE n > 0",
+    "moments_l1": f"WITH {_MOIST}, {_central('slot, cy, cx', 'rh', 'moist')} SELECT slot, cy, cx, n, missing, {_SHOWN.format(100.0)} FROM st",
+    "moments_levels": f"{_LEVELS} SELECT slot, cy, cx, level_bin, variable, n, {_SHOWN.format(_UNIT)} FROM st WHERE n > 0",
     "decades_merged": f"""WITH {_MOIST}{_LONG} SELECT slot, cy, cx, variable, count(x) AS n, round(avg(x), 9) + 0 AS mean, round(stddev_samp(x), 9) + 0 AS std,
   CASE WHEN count(x) >= 3 AND max(x) - min(x) > 1e-9 * abs(max(x)) THEN round(skewness(x), 6) + 0 END AS skew, CASE WHEN count(x) >= 4 AND max(x) - min(x) > 1e-9 * abs(max(x)) THEN round(kurtosis(x), 6) + 0 END AS kurt
   FROM long GROUP BY ALL HAVING count(x) > 0""",
-    "thresholds": f"""WITH {_MOIST} SELECT slot, cy, cx, {_OVER}, count(*) FILTER (rh > 90 AND q > 0.012) AS rh90_q012,
+    "thresholds": f"""WITH {_MOIST} SELECT slot, cy, cx, {OVER}, count(*) FILTER (rh > 90 AND q > 0.012) AS rh90_q012,
   count(*) FILTER (rh_raw > 100) AS n_supersat, count(*) FILTER (e >= p) AS n_bad_ep FROM moist GROUP BY slot, cy, cx""",
     "pair_products": f"""WITH {_MOIST}, s AS (SELECT slot, cy, cx, regr_count(q, rh) AS n, regr_avgx(q, rh) AS mean_x, regr_avgy(q, rh) AS mean_y,
   regr_sxx(q, rh) AS m2_x, regr_syy(q, rh) AS m2_y, regr_sxy(q, rh) AS cxy FROM moist GROUP BY slot, cy, cx)
 SELECT *, CASE WHEN n >= 2 THEN cxy / (n - 1) END AS cov,
-  CASE WHEN n >= 2 AND m2_x > 1e-9 AND m2_y > 1e-15 THEN least(greatest(cxy / sqrt(m2_x * m2_y), -1), 1) END AS corr FROM s WHERE n > 0""",
+  CASE WHEN n >= 2 AND m2_x > 1e-18 * n * mean_x ** 2 AND m2_y > 1e-18 * n * mean_y ** 2 THEN least(greatest(cxy / sqrt(m2_x * m2_y), -1), 1) END AS corr FROM s WHERE n > 0""",
     "histogram": f"""WITH {_MOIST} SELECT cy, cx, CAST(least(floor(rh / 130 * 8), 7) AS INTEGER) AS xb, CAST(least(floor(q / 0.030::DOUBLE * 8), 7) AS INTEGER) AS yb, count(*) AS n
   FROM moist WHERE rh BETWEEN 0 AND 130 AND q BETWEEN 0 AND 0.030 GROUP BY ALL""",
     "triplet": f"""WITH {_MOIST}, k AS (SELECT cy, cx, d, h, avg(t) AS t, avg(td) AS td, avg(p) AS p FROM obs GROUP BY ALL)

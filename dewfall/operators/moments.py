@@ -9,10 +9,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Strict thresholds counted for each variable.
+# Strict thresholds counted for each variable; pairs of variables; joint thresholds of pairs; ranges of the histogram.
 THRESHOLDS = {"rh": (80, 90, 95, 100), "e": (10, 15, 20, 25), "r": (0.008, 0.010, 0.012, 0.015, 0.020), "q": (0.008, 0.010, 0.012, 0.015, 0.020)}
 
 
+PAIRS = (("rh", "q"), ("rh", "e"), ("q", "e"), ("r", "q"))
+JOINT = ((80, 0.012), (90, 0.012), (95, 0.015), (80, 0.012))  # rh above, q above; the last repeats the first
+RH_RANGE, Q_RANGE = (0, 130), (0, 0.030)
+#: Sizes by which central sums are shown: a typical value of each variable.
+UNIT = {"rh": 100.0, "e": 10.0, "r": 0.01, "q": 0.01}
+
+
 def moment_state(x: str) -> list[Column]:
     """n, missing, mean, m2, m3, m4, low, high of a column; central sums are 0 for constant groups."""
     n, m2 = F.count(x), F.var_pop(x) * F.count(x)
@@ -74,7 +81,7 @@ def finalized() -> list[Column]:
 
 
 def varies() -> Column:
-    """The extremes differ by more than rounding; otherwise higher moments are noise."""
+    """The extremes differ by more than 1e-9 of their size: below that central sums are rounding, and M2 > 0 says nothing."""
     return F.col("high") - F.col("low") > 1e-9 * F.abs("high")
 
 
@@ -99,6 +106,37 @@ def pair_state(x: str, y: str) -> list[Column]:
     ]
 
 
+def shown_sums() -> list[Column]:
+    """m3 and m4 of a state of `variable`, in units of its typical value and rounded there."""
+    unit = F.create_map(*(F.lit(x) for kv in UNIT.items() for x in kv))[F.col("variable")]
+    return [(F.round(F.col(c) / F.pow(unit, F.lit(float(k))), 6) + 0.0).alias(c) for c, k in (("m3", 3), ("m4", 4))]
+
+
+def merge_pairs(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Paired sums of disjoint parts merged by keys; the few parts of a group are gathered in between, as for moments."""
+    part = F.struct("n", "mean_x", "mean_y", "m2_x", "m2_y", "cxy")
+    mean = lambda c: (F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c)
+    got = states.where("n > 0").groupBy(*keys).agg(F.sum("n").alias("n"), mean("mean_x"), mean("mean_y"), F.collect_list(part).alias("parts"))
+
+    def total(c: str, x: str, y: str) -> Column:
+        moved = lambda s: s[c] + s["n"] * (s[x] - F.col(x)) * (s[y] - F.col(y))
+        return F.aggregate("parts", F.lit(0.0), lambda acc, s: acc + moved(s)).alias(c)
+
+    return got.select(*keys, "n", "mean_x", "mean_y", total("m2_x", "mean_x", "mean_x"), total("m2_y", "mean_y", "mean_y"), total("cxy", "mean_x", "mean_y"))
+
+
+def spread(c: str, mean: str) -> Column:
+    """Whether a central sum of squares is more than rounding of values of the size of the mean."""
+    return F.col(c) > 1e-18 * F.col("n") * F.col(mean) * F.col(mean)
+
+
+def pair_products() -> list[Column]:
+    """cov and corr of a pair state; corr is null where either side does not vary."""
+    n, sxy = F.col("n"), F.sqrt(F.col("m2_x") * F.col("m2_y"))
+    corr = F.least(F.greatest(F.col("cxy") / sxy, F.lit(-1.0)), F.lit(1.0))
+    return [F.when(n >= 2, F.col("cxy") / (n - 1)).alias("cov"), F.when((n >= 2) & spread("m2_x", "mean_x") & spread("m2_y", "mean_y"), corr).alias("corr")]
+
+
 def bin_of(x: Column, low: float, high: float, bins: int = 8) -> Column:
     """Bin 0 to bins - 1, both ends inclusive; null outside."""
     return F.when(x.between(low, high), F.least(F.floor((x - low) / (high - low) * bins), F.lit(bins - 1)).cast("int"))
