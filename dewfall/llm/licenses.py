@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import math
 import re
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,7 +120,7 @@ COMMON = frozenset(
 
 
 def telling_words(grams: list[list[str]], least: float = LEAST) -> list[str]:
-    """Words, or beginnings of words, of which any unit that reaches `least` against one of the templates must hold at least one.
+    """Beginnings of words of which any unit that reaches `least` against one of the templates must hold at least one.
 
     Of n bigrams such a unit lacks at most n - lo, so words that touch more than that many of them cannot all be missing. Words are taken
     greedily: those that serve most templates, long ones first, as they are rarer in other texts, and frequent words last."""
@@ -144,13 +142,21 @@ def telling_words(grams: list[list[str]], least: float = LEAST) -> list[str]:
         best = min(gain, key=lambda w: (-gain[w] * weight(w), w))
         out.append(best)
         for k, own in enumerate(open_):
-            gone = [g for g, words in own.items() if any(best in w for w in words)]
+            gone = [g for g, words in own.items() if any(w.startswith(best) for w in words)]
             lack[k] -= len(gone)
             for g in gone:
                 del own[g]
     return out
 
 
+def telling_pattern(words: list[str]) -> str:
+    """A pattern that finds a word which begins with one of `words`, in lower-case text; alternatives are parted by first letter."""
+    by_letter: dict[str, list[str]] = {}
+    for w in words:
+        by_letter.setdefault(w[0], []).append(w[1:])
+    return "(?:^|[^a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_letter.items())) + ")"
+
+
 def _strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
@@ -167,13 +173,13 @@ def _windows(known: list[tuple[str, list[str]]], lengths: list[int], least: floa
     near = F.filter(shelf, lambda t: F.arrays_overlap(F.col("rest_grams"), t["anchors"]) & ~F.array_contains(done, t["k"]))
 
     def best(t: Column) -> Column:
-        put = F.transform("rest_grams", lambda g, j: F.struct((j - F.array_position(t["grams"], g) + 1).cast("int").alias("start"), F.array_position(t["grams"], g).alias("at")))
-        starts = F.array_distinct(F.transform(F.filter(put, lambda p: p["at"] > 0), lambda p: F.greatest(p["start"], F.lit(0))))
+        put = F.transform("rest_grams", lambda g, j: F.struct(j.alias("j"), F.array_position(t["grams"], g).cast("int").alias("at")))
+        starts = F.array_distinct(F.transform(F.filter(put, lambda p: p["at"] > 0), lambda p: F.greatest(p["j"] - p["at"] + 1, F.lit(0))))
 
         def rated(start: Column) -> Column:
-            grams = _grams(F.transform(F.slice("rest", start + 1, t["words"]), lambda w: w["word"]))
+            grams = F.array_distinct(F.slice("rest_grams", start + 1, t["words"] - 1))
             dice = 2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + F.size(t["grams"]))
-            return F.struct(dice.alias("dice"), (-F.get(F.col("rest"), start)["line"]).alias("line"), (-t["k"]).alias("k"))
+            return F.struct(dice.alias("dice"), (-F.get(F.col("rest_lines"), start)).alias("line"), (-t["k"]).alias("k"))
 
         return F.array_max(F.transform(starts, rated))
 
@@ -209,8 +215,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     )
     sought = templates + (FULL_TEXTS if templates is TEMPLATES else [])
     wide = [(name, bigrams(text)) for name, text in sought]
-    low = F.lower("text")  # only decides which texts are looked at
-    gate = reduce(or_, (F.contains(low, F.lit(w)) for w in telling_words([g for _, g in wide], least)))
+    # in lower case the words only decide which texts are looked at
+    gate = F.rlike("low", F.lit(telling_pattern(telling_words([g for _, g in wide], least))))
     plain = F.regexp_replace(F.translate(F.when(gate, F.col("text")).otherwise(""), UPPER, LOWER), "[^a-z0-9\n]+", " ")
     lines = F.split(plain, "\n")
     whole = F.when(F.size("lines") > 1, F.translate("plain", "\n", " ")).otherwise("")
@@ -233,22 +239,21 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
         )
 
     hits = F.filter(F.flatten(F.transform("grams", against)), lambda h: h["dice"] >= least)
-    steps = docs.select("doc_id", plain.alias("plain")).withColumn("lines", F.split("plain", "\n"))
+    steps = docs.select("doc_id", "text", F.lower("text").alias("low")).select("doc_id", plain.alias("plain")).withColumn("lines", F.split("plain", "\n"))
     steps = steps.withColumn("units", units).withColumn("spoken", words).withColumn("fits", fits).withColumn("grams", grams)
     steps = steps.withColumn("shelf", shelf).withColumn("line_hits", hits)
     lengths = [len(re.findall("[a-z0-9]+", text.lower())) for _, text in sought]
     matched = F.transform("line_hits", lambda h: -h["line"])
     # a line that matches leaves one word that is no word, so that no window joins what stands around it
-    rest = F.flatten(
-        F.transform(
-            F.filter("spoken", lambda s: s["line"] > 0),
-            lambda s: F.transform(
-                F.when(F.array_contains(matched, s["line"]), F.array(F.lit("."))).otherwise(s["words"]), lambda w: F.struct(w.alias("word"), s["line"].alias("line"))
-            ),
-        )
+    kept = F.transform(
+        F.filter("spoken", lambda s: s["line"] > 0),
+        lambda s: F.struct(s["line"].alias("line"), F.when(F.array_contains(matched, s["line"]), F.array(F.lit("."))).otherwise(s["words"]).alias("words")),
     )
+    rest_lines = F.flatten(F.transform("kept", lambda s: F.array_repeat(s["line"], F.size(s["words"]))))
     every = sorted({a for _, g in wide for a in anchors(g, least)})
-    steps = steps.withColumn("rest", rest).withColumn("rest_grams", F.when(F.size("rest") > 1, _pairs(F.transform("rest", lambda w: w["word"]))).otherwise(F.array().cast("array<string>")))
+    # columns of their own, as a lambda would work out an expression anew for each element
+    steps = steps.withColumn("kept", kept).withColumn("rest", F.flatten(F.transform("kept", lambda s: s["words"]))).withColumn("rest_lines", rest_lines)
+    steps = steps.withColumn("rest_grams", F.when(F.size("rest") > 1, _pairs(F.col("rest"))).otherwise(F.array().cast("array<string>")))
     found = F.when(F.arrays_overlap("rest_grams", _strings(every)), _windows(wide, lengths, least)).otherwise(F.filter("line_hits", lambda h: F.lit(False)))
     steps = steps.withColumn("hits", F.concat("line_hits", found)).withColumn("best", F.array_max("hits"))
     names = _strings([name for name, _ in sought])
