@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dewfall.jobs import climatology, oracles, products
+from dewfall.jobs import climatology, oracles, products, validation
 
 ORACLE_SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-for _module, _sql in ((climatology, oracles.SQL), (products, products.SQL)):
+for _module, _sql in ((climatology, oracles.SQL), (products, products.SQL), (validation, validation.SQL)):
     ORACLE_SQL |= _sql
     QUERIES |= {name: getattr(_module, name) for name in _sql}
 
