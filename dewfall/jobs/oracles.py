@@ -23,7 +23,7 @@ def moist_from(changed: str) -> str:
     return _MOIST.replace("obs AS (SELECT", "plain AS (SELECT").replace("ep AS (", f"obs AS (SELECT * REPLACE ({changed}) FROM plain),\nep AS (", 1)
 
 
-_LONG = ", long AS (SELECT *, unnest(['rh', 'e', 'r', 'q']) AS variable, unnest([rh, e, r, q]) AS x FROM moist)"
+LONG = ", long AS (SELECT *, unnest(['rh', 'e', 'r', 'q']) AS variable, unnest([rh, e, r, q]) AS x FROM moist)"
 
 
 def _central(keys: str, x: str, source: str, extra: str = "") -> str:
@@ -35,7 +35,7 @@ st AS (SELECT {", ".join("a." + k.strip() for k in keys.split(","))}, count(a.{x
   FROM {source} a JOIN mu b ON {on} GROUP BY {", ".join("a." + k.strip() for k in keys.split(","))})"""
 
 
-_LEVELS = f"WITH {_MOIST}{_LONG}, lev AS (SELECT *, unnest([0, 1 + h // 3, 9 + h]) AS level_bin FROM long), {_central('slot, cy, cx, level_bin, variable', 'x', 'lev')}"
+_LEVELS = f"WITH {_MOIST}{LONG}, lev AS (SELECT *, unnest([0, 1 + h // 3, 9 + h]) AS level_bin FROM long), {_central('slot, cy, cx, level_bin, variable', 'x', 'lev')}"
 _SHOWN = """round(mean, 9) + 0 AS mean, round(m2, 9) + 0 AS m2, round(low, 9) AS low, round(high, 9) AS high,
   CASE WHEN high - low > 1e-9 * abs(high) THEN round(m3 / n / pow(m2 / n, 1.5), 6) + 0 END AS g1, CASE WHEN high - low > 1e-9 * abs(high) THEN round(n * m4 / (m2 * m2) - 3, 6) + 0 END AS g2,
   round(m3 / pow({0}, 3), 6) + 0 AS m3, round(m4 / pow({0}, 4), 6) + 0 AS m4"""
@@ -50,7 +50,7 @@ _HOURS = "hours AS (SELECT event_type, date_trunc('hour', ts) AS hour, avg(value
 SQL: dict[str, str] = {
     "moments_l1": f"WITH {_MOIST}, {_central('slot, cy, cx', 'rh', 'moist')} SELECT slot, cy, cx, n, missing, {_SHOWN.format(100.0)} FROM st",
     "moments_levels": f"{_LEVELS} SELECT slot, cy, cx, level_bin, variable, n, {_SHOWN.format(_UNIT)} FROM st WHERE n > 0",
-    "decades_merged": f"""WITH {_MOIST}{_LONG} SELECT slot, cy, cx, variable, count(x) AS n, round(avg(x), 9) + 0 AS mean, round(stddev_samp(x), 9) + 0 AS std,
+    "decades_merged": f"""WITH {_MOIST}{LONG} SELECT slot, cy, cx, variable, count(x) AS n, round(avg(x), 9) + 0 AS mean, round(stddev_samp(x), 9) + 0 AS std,
   CASE WHEN count(x) >= 3 AND max(x) - min(x) > 1e-9 * abs(max(x)) THEN round(skewness(x), 6) + 0 END AS skew, CASE WHEN count(x) >= 4 AND max(x) - min(x) > 1e-9 * abs(max(x)) THEN round(kurtosis(x), 6) + 0 END AS kurt
   FROM long GROUP BY ALL HAVING count(x) > 0""",
     "thresholds": f"""WITH {_MOIST} SELECT slot, cy, cx, {OVER}, count(*) FILTER (rh > 90 AND q > 0.012) AS rh90_q012,
@@ -70,7 +70,7 @@ FROM days a JOIN days b ON a.cy = b.cy AND a.cx = b.cx AND b.d BETWEEN a.d - 2 A
   rank() OVER (PARTITION BY month(d), cy, cx ORDER BY t) + (count(*) OVER (PARTITION BY month(d), cy, cx, t) - 1) / 2 AS rank_avg,
   count(*) OVER (PARTITION BY month(d), cy, cx) AS n FROM obs WHERE t IS NOT NULL)
 SELECT month, cy, cx, t, rank_avg, (rank_avg - 0.5) / n AS u_engine, rank_avg / (n + 1) AS u_diagnostic FROM k""",
-    "normal_fits": f"""WITH {_MOIST}{_LONG}, f AS (SELECT month(d) AS month, cy, cx, variable, count(x) AS n, avg(x) AS loc, stddev_pop(x) AS scale FROM long GROUP BY ALL),
+    "normal_fits": f"""WITH {_MOIST}{LONG}, f AS (SELECT month(d) AS month, cy, cx, variable, count(x) AS n, avg(x) AS loc, stddev_pop(x) AS scale FROM long GROUP BY ALL),
 g AS (SELECT *, -n / 2 * (ln(2 * pi() * scale * scale) + 1) AS ll FROM f WHERE n >= 30 AND scale > 0)
 SELECT *, 4 - 2 * ll AS aic, 2 * ln(n) - 2 * ll AS bic, 4 - 2 * ll + 12 / (n - 3) AS aicc FROM g""",
     "hourly_steps": f"""WITH {_HOURS}, w AS (SELECT *, lag(v) OVER o AS prev, lead(v) OVER o AS nxt FROM hours WINDOW o AS (PARTITION BY event_type ORDER BY hour))
@@ -85,7 +85,7 @@ SELECT cy, cx, avg(gap) AS mean, median(gap) AS median, quantile_cont(gap, 0.95)
     "modal_code": f"""WITH {_MOIST}, c AS (SELECT month(d) AS month, cy, cx, code, count(*) AS n FROM obs GROUP BY ALL)
 SELECT month, cy, cx, code, n FROM c QUALIFY row_number() OVER (PARTITION BY month, cy, cx ORDER BY n DESC, code DESC) = 1""",
     "crosstab": f"WITH {_MOIST} SELECT month(d) AS month, {', '.join(f'count(*) FILTER (code = {c}) AS code_{c}' for c in range(1, 8))} FROM obs GROUP BY month(d)",
-    "decade_change": f"""WITH {_MOIST}{_LONG}, c AS (SELECT decade, slot, cy, cx, variable, count(x) AS n, avg(x) AS mean FROM long GROUP BY ALL HAVING count(x) > 0),
+    "decade_change": f"""WITH {_MOIST}{LONG}, c AS (SELECT decade, slot, cy, cx, variable, count(x) AS n, avg(x) AS mean FROM long GROUP BY ALL HAVING count(x) > 0),
 v AS (SELECT variable, count(*) AS cells, CAST(sum(n) AS BIGINT) AS support, sum(n * mean) FILTER (decade = 1991) / sum(n) FILTER (decade = 1991) AS base,
   sum(n * mean) FILTER (decade = 2001) / sum(n) FILTER (decade = 2001) AS latest FROM c GROUP BY variable)
 SELECT *, latest - base AS change, CASE WHEN abs(base) > 0 THEN 100 * (latest - base) / abs(base) END AS percent FROM v""",
