@@ -415,7 +415,14 @@ class Model:
 
 def log_odds(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     toxic, clean = y.sum(), (1 - y).sum()
-    count = lambda k: np.bincount(np.concatenate([x for x, v in zip(found, y, strict=True) if v == k] or [np.empty(0, np.int32)]), minlength=FEATURES)
+
+    def count(k: int) -> np.ndarray:
+        out = np.zeros(FEATURES)
+        for x, v in zip(found, y, strict=True):
+            if v == k:
+                out[x] += 1  # features of a row are distinct
+        return out
+
     rate = toxic / (toxic + clean)
     return (np.log((count(1) + PRIOR * rate) / (toxic + PRIOR)) - np.log((count(0) + PRIOR * (1 - rate)) / (clean + PRIOR))).astype("f4")
 
@@ -454,8 +461,9 @@ def fit(rows: list[tuple[int, bytes, int]], l2: float = 1e-3) -> Model:
         others = np.flatnonzero(half != k)
         odds = log_odds([found[i] for i in others], y[others])
         own = np.flatnonzero(half == k)
-        doc = np.repeat(np.arange(len(own)), [len(found[i]) for i in own])
-        stats[own] = evidence(doc, np.concatenate([found[i] for i in own]).astype(np.int64), words[own], odds)
+        for part in np.array_split(own, max(1, len(own) // 250)):  # few rows at a time keep the driver small
+            doc = np.repeat(np.arange(len(part)), [len(found[i]) for i in part])
+            stats[part] = evidence(doc, np.concatenate([found[i] for i in part]).astype(np.int64), words[part], odds)
     mean, spread = stats.mean(axis=0), stats.std(axis=0)
     spread = np.where(spread < 1e-6, 1.0, spread)  # what never varies tells nothing
     x, w = np.c_[(stats - mean) / spread, np.ones(len(y))], np.zeros(STATS + 1)
