@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dewfall.jobs import climatology, diagnostics, oracles, products, validation
+from dewfall.jobs import climatology, diagnostics, distributions, oracles, products, validation
 
 ORACLE_SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-for _module, _sql in ((climatology, oracles.SQL), (products, products.SQL), (validation, validation.SQL), (diagnostics, diagnostics.SQL)):
+for _module, _sql in ((climatology, oracles.SQL), (products, products.SQL), (validation, validation.SQL), (diagnostics, diagnostics.SQL), (distributions, distributions.SQL)):
     ORACLE_SQL |= _sql
-    QUERIES |= {name: getattr(_module, name) for name in _sql}
+    QUERIES |= {name: getattr(_module, name) for name in (*_sql, *getattr(_module, "UNCHECKED", ()))}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
