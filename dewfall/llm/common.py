@@ -145,17 +145,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return out
 
 
-def running_total(steps: DataFrame, key: str, order: Sequence[str], value: Column, parts: int = 64) -> DataFrame:
-    """steps with `before`: the sum of value over the rows of the same key that stand before it in `order`.
+def running_total(rows: DataFrame, key: str, order: Sequence[str], value: Column, parts: int = 64) -> DataFrame:
+    """rows with `before`: the sum of value, a decimal so that no order of adding matters, over the rows of the same key that stand before it.
 
-    Two levels, so that no key is ranked in one task: ranges of `order` are summed, the few sums are added up, and rows only
-    within their range. Null keys are a key of their own. Ties in `order` within a key are in no fixed order."""
-    dealt = written(steps.withColumn("_value", value).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    Two levels, so that no key is ranked in one task: ranges of `order` are summed, their few sums added up, and rows only
+    within their range. A null key is a key of its own. `order` should tell the rows of a key apart; equal rows are in no fixed order."""
+    dealt = written(rows.withColumn("_value", value).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     sums = dealt.groupBy(key, "_part").agg(F.sum("_value").alias("_sum"))  # at most `parts` rows for each key
-    above = F.coalesce(F.sum("_sum").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    base = sums.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), above.alias("_base"))
-    within = F.coalesce(F.sum("_value").over(Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    out = dealt.withColumn("_within", within).join(base, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")))
+    above = F.sum("_sum").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    base = sums.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), F.coalesce(above, F.lit(0)).alias("_base"))
+    within = F.sum("_value").over(Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = dealt.withColumn("_within", F.coalesce(within, F.lit(0))).join(base, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")))
     return out.withColumn("before", F.col("_base") + F.col("_within")).drop("_value", "_part", "_within", "_key", "_at", "_base")
 
 

@@ -15,12 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dewfall.llm.common import word_count, written
+from dewfall.llm.common import drop_written, running_total, word_count, written
 
 #: The driver holds one number for each source; more sources than this raise an error.
 MAX_SOURCES = 100_000
-#: Documents of one size in one source that a task ranks at once.
-CELL_ROWS = 20_000
+#: Documents that a task adds up at once.
+RANGE_ROWS = 20_000
 #: Starting points of the rounding that are tried.
 STARTS = 64
 
@@ -56,9 +56,11 @@ def _per_source(df: DataFrame, values: dict[str | None, float], name: str) -> Da
     return df.join(F.broadcast(small), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 
-def solve(cells: DataFrame, goal: dict[str | None, float], means: dict[str | None, float], cap: float, tol: float = 1e-7, max_steps: int = 60) -> dict[str | None, float]:
-    """lambda by source. cells(source, size, n). Newton steps, kept inside a bracket by bisection."""
-    low, high = dict.fromkeys(goal, -60.0), dict.fromkeys(goal, 60.0)
+def solve(cells: DataFrame, goal: dict[str | None, float], means: dict[str | None, float], cap: float, tol: float = 1e-7, max_steps: int = 200) -> dict[str | None, float]:
+    """lambda by source, rounded to twelve digits. cells(source, size, n). Newton steps, kept inside a bracket by bisection.
+
+    The bracket grows until it holds the solution; a source that does not settle within max_steps raises an error."""
+    low, high = dict.fromkeys(goal, -math.inf), dict.fromkeys(goal, math.inf)
     lam = dict.fromkeys(goal, 0.0)
     open_ = {s for s in goal if means[s] > 0}
     for _ in range(max_steps):
@@ -78,10 +80,17 @@ def solve(cells: DataFrame, goal: dict[str | None, float], means: dict[str | Non
                 continue
             low[s], high[s] = (lam[s], high[s]) if gap < 0 else (low[s], lam[s])
             step = lam[s] - gap / r.d if r.d > 0 else math.inf
-            lam[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
-            if high[s] - low[s] < 1e-12:
+            if low[s] < step < high[s] and abs(step - lam[s]) <= 8 + 2 * abs(lam[s]):
+                lam[s] = step
+            elif math.isinf(low[s]) or math.isinf(high[s]):
+                lam[s] += (8 + abs(lam[s])) * (1 if gap < 0 else -1)
+            else:
+                lam[s] = (low[s] + high[s]) / 2
+            if high[s] - low[s] < 1e-13 * (1 + abs(lam[s])):  # neighbouring numbers: as close as doubles come
                 open_.discard(s)
-    return lam
+    if open_:
+        raise RuntimeError(f"no rates reach the targets of {sorted(map(str, open_))[:5]}")
+    return {s: float(f"{v:.12g}") for s, v in lam.items()}
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, carry: Sequence[str] = ()) -> DataFrame:
@@ -102,41 +111,28 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     full = {s for s in goal if goal[s] >= cap * sizes[s] * (1 - 1e-12) and sizes[s]}
     lam = solve(cells, {s: goal[s] for s in goal if s not in full}, means, cap) | dict.fromkeys(full, math.inf)
 
-    def with_source(df: DataFrame) -> DataFrame:
-        for name, values in (("source_size", sizes), ("target", goal), ("lam", lam), ("mean", means)):
-            df = _per_source(df, values, name)
-        x = F.when(F.col("mean") > 0, F.col("size") / F.col("mean")).otherwise(0.0)
-        rate = F.when(F.col("lam") == math.inf, F.lit(float(cap))).otherwise(_rate(F.col("lam"), x, cap))
-        return df.withColumn("rate", rate).drop("lam", "mean").withColumn("source_size", F.col("source_size").cast("long"))
-
-    # A cell with very many documents is dealt into salted parts of bounded size; offsets run over the parts.
-    parts = F.ceil(F.col("n") / CELL_ROWS).cast("long")
-    salt = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
-    keyed = narrow.join(
-        cells.select(F.col("source").alias("_s"), F.col("size").alias("_z"), parts.alias("parts")),
-        F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")),
-    ).select("doc_id", "source", "size", *carry, salt.alias("salt"))
-    keyed = written(keyed, "keyed")
-    steps = with_source(keyed.groupBy("source", "size", "salt").agg(F.count("*").alias("n")))
-    before = Window.partitionBy("source").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = steps.withColumn("off", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(before), F.lit(0.0))).select(
-        F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("salt").alias("_k"), "off", "rate", "source_size", "target"
-    )
-    rank = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("doc_id", *carry)).cast("double")
-    placed = written(
-        keyed.withColumn("r", rank).join(
-            offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("salt") == F.col("_k"))
-        ).drop("_s", "_z", "_k"),
-        "placed",
-    )
+    rated = narrow
+    for name, values in (("source_size", sizes), ("target", goal), ("lam", lam), ("mean", means)):
+        rated = _per_source(rated, values, name)
+    x = F.when(F.col("mean") > 0, F.col("size") / F.col("mean")).otherwise(0.0)
+    rate = F.when(F.col("lam") == math.inf, F.lit(float(cap))).otherwise(_rate(F.col("lam"), x, cap))
+    rated = rated.withColumn("rate", rate).drop("lam", "mean").withColumn("source_size", F.col("source_size").cast("long"))
+    exact = "decimal(38,12)"
+    order = ["size", "doc_id", *carry]
+    parts = max(64, -(-sum(r.docs for r in rows) // RANGE_ROWS))
+    summed = running_total(rated, "source", order, F.col("rate").cast(exact), parts)
+    # whole numbers before the document don't matter to its copies, so small doubles do from here on
+    low = (F.col("before") - F.floor("before")).cast("double")
+    placed = written(summed.withColumn("low", low).drop("before"), "placed")
 
     def copies(start: Column) -> Column:
-        upto = lambda r: F.floor(F.col("off") + r * F.col("rate") + start)
-        return F.least(F.greatest(upto(F.col("r")) - upto(F.col("r") - 1), F.lit(0)), F.lit(math.ceil(cap))).cast("long")
+        more = F.floor(F.col("low") + F.col("rate") + start) - F.floor(F.col("low") + start)
+        return F.least(F.greatest(more, F.lit(0)), F.lit(math.ceil(cap))).cast("long")
 
     # Each source takes the starting point of the rounding that brings it closest to its target.
     starts = [(k + 0.5) / STARTS for k in range(STARTS)]
     tried = placed.groupBy("source").agg(*(F.sum(copies(F.lit(u)) * F.col("size")).alias(f"s{k}") for k, u in enumerate(starts))).collect()
+    drop_written(narrow, cells)
     best = {r.source: min(starts, key=lambda u: (abs(r[f"s{starts.index(u)}"] - goal[r.source]), u)) for r in tried}
     return _per_source(placed, best, "start").withColumn("copies", copies(F.col("start"))).select(
         "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry
@@ -144,7 +140,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as mix() takes it; rows with no copies go.
+    """The rows of docs, each as often as mix() takes it; rows with no copies go. A null or empty text is taken once, an empty table gives none.
 
     Rows that repeat a doc_id, or have none, are told apart by a number that is written down before it is used."""
     numbered = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "numbered")
