@@ -12,49 +12,60 @@ from dewfall.llm.common import shared_dir, table
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document. Null text: size 0; null source: a source of its own, last; repeats each on their own; an empty table: no rows."""
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies"
     )
 
 
 def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = warc.write_archives(table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
-    return warc.read_archives(spark, archives).select(
+    """Every page out of the archives it was written to. Null html: an empty payload; null ids order last; repeats are records of their own; an empty table: no rows."""
+    folder = shared_dir(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload_ok"
     )
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence. Null or empty text: the end id alone; repeats are packed each; an empty table: no rows."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every url. Null, or without ://: empty host and path, no rule; repeats each; an empty table: no rows."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlrules.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every text. Null or empty text: scored without features; null id: not held out; repeats score alike; an empty table: no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every text. Null or empty text: none; repeats each; an empty table: no rows."""
     return pii.find(table(spark, sf_dir, "documents"))
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document. Null text or no words: linked with nothing; null id: kept, component null; repeats of an id are one document; an empty table: no rows."""
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector. Null, zero or not finite: no links; null id: kept, component null; equal vectors link; an empty table: no rows."""
     return embdedup.linked(table(spark, sf_dir, "embeddings"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best notice of every text. Null, empty or without a notice: nulls and 0; ties to the earlier line and template; repeats each; an empty table: no rows."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best vectors of every query. Null or not finite vectors, and null ids, take no part; ties to the smaller vec_id; an empty table: no rows."""
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
