@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,8 +28,8 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 3_000
 BUCKETS = 1 << 12
 FEATURES = 7
-#: Least marginal probability of a span that the field adds.
-SURE = 0.9
+#: Least marginal probability of a span that the field adds, beside its link to an observed entity of the kind.
+SURE = 0.5
 PASSES = 8
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -97,15 +98,19 @@ class Graph:
         seen: dict[str, int] = {}
         k = 0
         order = sorted(spans)
+        open_: list[tuple[int, int, int]] = []  # spans that reach the token; those of one kind never overlap, so there are four at most
         while m := _MARK.search(text, at):
             s = m.start()
             while s > at and text[s - 1] not in _SPACE:
                 s -= 1
             g = _GAP.search(text, m.end())
             e = g.start() if g else len(text)
-            while k < len(order) and order[k][1] <= s:
+            open_ = [x for x in open_ if x[1] > s]
+            while k < len(order) and order[k][0] < e:
+                if order[k][1] > s:
+                    open_.append(order[k])
                 k += 1
-            hit = next((x for x in order[k : k + 8] if x[0] < e and x[1] > s), None)
+            hit = open_[0] if open_ else None  # of several spans the one that starts first
             node = len(self.starts)
             self.starts.append(s)
             self.ends.append(e)
@@ -114,7 +119,10 @@ class Graph:
             self.features.append(self.describe(text, s, e, token))
             if node > first and s - self.ends[node - 1] == 1:
                 self.edges.append((node - 1, node, 0))
-            for key in self.resemblance(token):
+            keys = self.resemblance(token)
+            if hit and e >= hit[1]:  # an entity of several tokens is met whole at its last one
+                keys = list(dict.fromkeys([*keys, *self.resemblance(text[hit[0] : hit[1]])]))
+            for key in keys:
                 if key in seen and seen[key] != node:
                     self.edges.append((seen[key], node, 1))
                 seen[key] = node
@@ -123,12 +131,11 @@ class Graph:
 
     @staticmethod
     def describe(text: str, s: int, e: int, token: str) -> list[int]:
-        head = token[:64]
-        shape = re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", "a", head))
-        digits = sum("0" <= c <= "9" for c in head)
+        shape = re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", "a", token))
+        digits = sum("0" <= c <= "9" for c in token)
         before = text[max(0, s - 24) : s].split()
         after = text[e : e + 24].split()
-        words = (f"s{shape}", f"c{re.sub(r'(.)\1+', r'\1', shape)}", f"d{digits}", f"l{min(len(token), 40)}", f"p{before[-1].lower() if before else ''}", f"n{after[0].lower() if after else ''}", "bias")
+        words = (f"s{shape}", f"c{re.sub(r'(.)\1+', r'\1', shape)}", f"d{digits if digits < 24 else digits.bit_length() + 24}", f"l{len(token) if len(token) < 16 else len(token).bit_length() + 16}", f"p{before[-1].lower() if before else ''}", f"n{after[0].lower() if after else ''}", "bias")
         return [zlib.crc32(w.encode()) % BUCKETS for w in words]
 
     @staticmethod
@@ -184,7 +191,10 @@ def marginals(graph: Graph, w: Weights) -> np.ndarray:
 
 
 def learn(graph: Graph, steps: int = 120, l2: float = 1e-4) -> Weights:
-    """Pseudo-likelihood: each label given the token's features and its neighbours' labels."""
+    """Pseudo-likelihood: each label given the token's features and its neighbours' labels.
+
+    Features of a third of the labelled tokens are hidden, so that their labels are learnt from their neighbours; unlabelled
+    tokens that repeat a labelled one are left out, as they are what the field is to find."""
     n, k = len(graph.starts), len(KINDS) + 1
     if not n:
         return Weights.none()
@@ -193,16 +203,20 @@ def learn(graph: Graph, steps: int = 120, l2: float = 1e-4) -> Weights:
     beside = np.zeros((n, 2, k))  # how many neighbours over each kind of edge have each label
     np.add.at(beside, (e[:, 0], e[:, 2], y[e[:, 1]]), 1.0)
     np.add.at(beside, (e[:, 1], e[:, 2], y[e[:, 0]]), 1.0)
+    repeats = beside[:, 1, 1:].sum(axis=1)
+    counted = ((y > 0) | (repeats == 0)).astype(float)
     beside = beside.reshape(n, 2 * k)
+    hidden = (y > 0) & (np.arange(n) % 3 == 0)
+    shown = (~hidden).astype(float)[:, None]
     w, c = np.zeros((BUCKETS, k)), np.zeros((2 * k, k))
     w[:, 0] = 0.1
     mw, mc, vw, vc = np.zeros_like(w), np.zeros_like(c), np.zeros_like(w), np.zeros_like(c)
     want = np.eye(k)[y]
     for t in range(1, steps + 1):
-        z = w[f].sum(axis=1) + beside @ c
+        z = w[f].sum(axis=1) * shown + beside @ c
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        gap = (p / p.sum(axis=1, keepdims=True) - want) / n
-        gw = np.stack([np.bincount(f.ravel(), np.repeat(gap[:, j], FEATURES), BUCKETS) for j in range(k)], axis=1) + l2 * w
+        gap = (p / p.sum(axis=1, keepdims=True) - want) * counted[:, None] / n
+        gw = np.stack([np.bincount(f.ravel(), np.repeat(gap[:, j] * shown[:, 0], FEATURES), BUCKETS) for j in range(k)], axis=1) + l2 * w
         gc = beside.T @ gap + l2 * c
         for g, x, m, v in ((gw, w, mw, vw), (gc, c, mc, vc)):
             m += 0.1 * (g - m)
@@ -212,13 +226,25 @@ def learn(graph: Graph, steps: int = 120, l2: float = 1e-4) -> Weights:
     return Weights(w, (edge + edge.transpose(0, 2, 1)) / 2)
 
 
-def added_spans(text: str, nodes: range, graph: Graph, p: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of sure tokens that no pattern has found; neighbours of one kind are one span."""
+def supported(graph: Graph) -> set[tuple[int, int]]:
+    """(node, label) where a skip edge leads to a token observed with that label."""
+    out = set()
+    for a, b, kind in graph.edges:
+        if kind == 1:
+            for x, y in ((a, b), (b, a)):
+                if graph.label[y]:
+                    out.add((x, graph.label[y]))
+    return out
+
+
+def added_spans(text: str, nodes: range, graph: Graph, p: np.ndarray, base: list[tuple[int, int, int]], backed: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of sure tokens that no pattern has found; neighbours of one kind are one span. A token counts only where it repeats or resembles an observed
+    one of its kind, itself or through a neighbour in its span: what merely looks like an entity failed its pattern's check."""
     out: list[tuple[int, int, int]] = []
     last = -2
     for x in nodes:
         kind = int(p[x].argmax())
-        if kind and not graph.label[x] and p[x, kind] >= SURE:
+        if kind and not graph.label[x] and p[x, kind] >= SURE and ((x, kind) in backed or (out and last == x - 1 and out[-1][2] == kind - 1)):
             s, e = graph.starts[x], graph.ends[x]
             while s < e and not (text[s].isalnum() or text[s] in "+("):
                 s += 1
@@ -231,7 +257,15 @@ def added_spans(text: str, nodes: range, graph: Graph, p: np.ndarray, base: list
             else:
                 out.append((s, e, kind - 1))
             last = x
-    return [x for x in out if not any(b[0] < x[1] and b[1] > x[0] for b in base)]
+    kept, ends = [], []  # ends: the furthest end among base spans up to each, as they stand by start
+    for _, e, _ in base:
+        ends.append(max(e, ends[-1]) if ends else e)
+    starts = [b[0] for b in base]
+    for x in out:
+        before = bisect_left(starts, x[1])  # base spans that start before x ends
+        if not before or ends[before - 1] <= x[0]:
+            kept.append(x)
+    return kept
 
 
 def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Weights:
@@ -268,8 +302,9 @@ def found_in(texts: list[str], w: Weights) -> Iterator[tuple[list[tuple[int, int
         base.append(base_spans(t))
         nodes.append(graph.add(t, base[-1]))
     p = marginals(graph, w) if graph.starts else np.empty((0, len(KINDS) + 1))
+    backed = supported(graph)
     for t, b, r in zip(texts, base, nodes, strict=True):
-        yield b, added_spans(t, r, graph, p, b)
+        yield b, added_spans(t, r, graph, p, b, backed)
 
 
 FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -318,7 +353,9 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
-    """docs with spans in text replaced by <kind>; n_chars, where docs has it, follows the new text. Null texts stay null."""
+    """docs with spans in text replaced by <kind>; n_chars, where docs has it, follows the new text.
+
+    Null texts stay null, empty ones empty; repeated rows are each redacted; an empty table gives an empty one. Columns keep their names and order."""
     w = weights or train(docs)
     names = docs.columns
     at = names.index("text")
