@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: No SQL for trained models and tokenizers; tests compare the stages with brute force.
+#: No SQL for trained models and tokenizers; tests run the stages over planted documents.
 ORACLE_SQL: str | None = None
 
 
