@@ -92,6 +92,17 @@ def split_join(rows: DataFrame, groups: DataFrame, key: str, count: str = "n") -
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+def salted_join(rows: DataFrame, wide: DataFrame, key: str, by: str, most: int = 500) -> DataFrame:
+    """rows joined with wide, which has one row for each key; rows of one key are dealt out by `by`, about `most` to a copy of its wide row.
+
+    rows is a written table. Rows with a null key, or one that wide lacks, go."""
+    groups = written(rows.groupBy(key).agg(F.count("*").alias("_n")), "keys")
+    copies = F.ceil(F.col("_n") / most).cast("int")
+    dealt = split_join(rows, groups, key, "_n").withColumn("_salt", F.pmod(F.xxhash64(by), copies).cast("int")).drop("_n")
+    copied = wide.join(groups, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_n")
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b): the smallest node it can reach. A written table.
 
