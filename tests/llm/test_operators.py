@@ -279,10 +279,9 @@ def jaccard_classes(texts):
     return least_reachable(edges, ids)
 
 
-@pytest.mark.parametrize("blocks", [16, 1])
-def test_planted_near_copies(spark, monkeypatch, blocks):
+def test_planted_near_copies(spark, monkeypatch):
     """Groups of near copies, some without their original, and crowds that share much but not enough; small blocks, hot keys."""
-    for module, name, value in ((common, "HOT_ROWS", 20), (minhash, "BLOCK", 12), (minhash, "BLOCKS", blocks)):
+    for module, name, value in ((common, "HOT_ROWS", 20), (minhash, "BLOCK", 12), (minhash, "BLOCKS", 1)):
         monkeypatch.setattr(module, name, value)
     rng = random.Random(17)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
