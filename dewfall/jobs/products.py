@@ -6,11 +6,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dewfall.functions import calendar
-from dewfall.functions.physics import VARIABLES, with_moisture
+from dewfall.functions.physics import VARIABLES, pressure_hpa, temperature_celsius, with_moisture
 from dewfall.jobs.climatology import CELL, _levels, binned, moist
 from dewfall.jobs.oracles import LEVELS, MOIST, OVER, moist_from
 from dewfall.operators import moments
@@ -124,6 +124,35 @@ def calendar_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("period").agg(F.sum("n").alias("n"), F.count("*").alias("days"), F.count_distinct(calendar.slot(F.col("d"))).alias("slots"))
 
 
+def histogram_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts over the older ranges, relative humidity 0 to 100 and specific humidity 0 to 1, with each bin's share of its cell."""
+    values = moist(spark, sf_dir).select("cy", "cx", F.inline(F.array(F.struct("rh", "q"))))
+    bins = values.select("cy", "cx", moments.bin_of(F.col("rh"), 0, 100).alias("xb"), moments.bin_of(F.col("q"), 0, 1).alias("yb"))
+    counts = bins.where("xb is not null and yb is not null").groupBy("cy", "cx", "xb", "yb").agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("cy", "cx")))
+
+
+def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean temperature and pressure by cell out of inputs in several units, one for each column of cells."""
+    # Ways of writing the units.
+    t_units = F.element_at(F.array(*map(F.lit, ("K", "°C", "degree Celsius", " kelvin "))), F.col("cx") + 1)
+    p_units = F.element_at(F.array(*map(F.lit, ("Pa", "hPa", "mb", "Millibars"))), F.col("cx") + 1)
+    given = observations(spark, sf_dir).select(
+        "cy", "cx", t_units.alias("tu"), p_units.alias("pu"), F.when(F.col("cx").isin(0, 3), F.col("t") + 273.15).otherwise(F.col("t")).alias("t"), F.when(F.col("cx") == 0, F.col("p") * 100).otherwise(F.col("p")).alias("p")
+    )
+    same = given.select("cy", "cx", temperature_celsius(F.col("t"), F.col("tu")).alias("t"), pressure_hpa(F.col("p"), F.col("pu")).alias("p"))
+    return same.groupBy("cy", "cx").agg(F.round(F.avg("t"), 8).alias("mean_t"), F.round(F.avg("p"), 8).alias("mean_p"), F.count("p").alias("n_p"))
+
+
+def grid_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid: each cell's number row by row, its coordinates, its block of two by two cells, and its observations."""
+    obs = observations(spark, sf_dir)
+    cells = obs.groupBy("cy", "cx").agg(F.count("*").alias("n"))
+    width = cells.agg((F.max("cx") + 1).alias("nx"))
+    block = F.format_string("Y%05d-X%05d", F.floor(F.col("cy") / 2).cast("int"), F.floor(F.col("cx") / 2).cast("int"))
+    return cells.crossJoin(F.broadcast(width)).select((F.col("cy") * F.col("nx") + F.col("cx")).alias("cell_id"), "cy", "cx", (50 - F.col("cy") / 10).alias("lat"), (35 + F.col("cx") / 10).alias("lon"), block.alias("block"), "n")  # one row
+
+
 _BINS = "CASE WHEN rh BETWEEN 0 AND 130 THEN least(floor(rh / 130 * 8), 7) END AS xb, CASE WHEN q BETWEEN 0 AND 0.030 THEN least(floor(q / 0.030::DOUBLE * 8), 7) END AS yb"
 _HIST = f"WITH {MOIST}, b AS (SELECT *, {_BINS}, unnest([0, 1 + h // 3]) AS level_bin FROM moist), hist AS (SELECT slot, cy, cx, level_bin, xb, yb, count(*) AS n FROM b WHERE xb IS NOT NULL AND yb IS NOT NULL GROUP BY ALL)"
 _DENSITY = """, dens AS (SELECT slot, cy, cx, xb, yb, n, sum(n) OVER (PARTITION BY slot, cy, cx) AS n_valid, n / (sum(n) OVER (PARTITION BY slot, cy, cx) * (130.0::DOUBLE / 8 * 0.030::DOUBLE / 8)) AS density
@@ -155,6 +184,10 @@ SELECT variable, kind, count(*) AS total, count(*) FILTER (isfinite(x)) AS finit
     "year_merge": f"""WITH {MOIST}, s AS (SELECT cy, cx, regr_count(e, rh) AS n, regr_avgx(e, rh) AS mean_x, regr_avgy(e, rh) AS mean_y, regr_sxx(e, rh) AS m2_x, regr_syy(e, rh) AS m2_y, regr_sxy(e, rh) AS cxy FROM moist GROUP BY cy, cx),
 m AS (SELECT cy, cx, count(rh) AS n, round(avg(rh), 8) AS mean, round(stddev_samp(rh), 6) AS std, round(skewness(rh), 6) + 0 AS skew, round(kurtosis(rh), 6) + 0 AS kurt FROM moist GROUP BY cy, cx)
 SELECT m.*, s.n AS n_pair, round(cxy / (s.n - 1), 6) AS cov, round({_CORR.replace("n >=", "s.n >=").replace("* n *", "* s.n *")}, 6) AS corr FROM m JOIN s USING (cy, cx)""",
+    "histogram_shares": f"""WITH {MOIST}, b AS (SELECT cy, cx, CAST(least(floor(rh / 100 * 8), 7) AS INTEGER) AS xb, CAST(least(floor(q * 8), 7) AS INTEGER) AS yb, count(*) AS n FROM moist WHERE rh BETWEEN 0 AND 100 AND q BETWEEN 0 AND 1 GROUP BY ALL)
+SELECT *, n / sum(n) OVER (PARTITION BY cy, cx) AS share FROM b""",
+    "unit_conversion": f"WITH {MOIST} SELECT cy, cx, round(avg(t), 8) AS mean_t, round(avg(p), 8) AS mean_p, count(p) AS n_p FROM obs GROUP BY cy, cx",
+    "grid_table": f"""WITH {MOIST} SELECT cy * 4 + cx AS cell_id, cy, cx, 50 - cy / 10 AS lat, 35 + cx / 10 AS lon, printf('Y%05d-X%05d', cy // 2, cx // 2) AS block, count(*) AS n FROM obs GROUP BY cy, cx""",
     "calendar_periods": f"""WITH {MOIST}, p(period, first, last) AS (VALUES ('1991-2000', 1991, 2000), ('2001-2010', 2001, 2010), ('FULL', 1991, 2010))
 SELECT period, count(*) AS n, count(DISTINCT d) AS days, count(DISTINCT slot) AS slots FROM ep JOIN p ON year(d) BETWEEN first AND last GROUP BY period""",
 }
