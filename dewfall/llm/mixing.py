@@ -119,7 +119,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     rated = rated.withColumn("rate", rate).drop("lam", "mean").withColumn("source_size", F.col("source_size").cast("long"))
     exact = "decimal(38,12)"
     order = ["size", "doc_id", *carry]
-    parts = max(64, -(-sum(r.docs for r in rows) // RANGE_ROWS))
+    parts = max(8, -(-sum(r.docs for r in rows) // RANGE_ROWS))
     summed = running_total(rated, "source", order, F.col("rate").cast(exact), parts)
     # whole numbers before the document don't matter to its copies, so small doubles do from here on
     low = (F.col("before") - F.floor("before")).cast("double")
