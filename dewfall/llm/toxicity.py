@@ -399,6 +399,11 @@ TOP, PRIOR = 6, 6.0
 STATS = TOP + 2
 
 
+def standard(stats: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """In deviations from the mean, four at most: a text unlike any in the sample, an empty one say, must not be judged by its length."""
+    return np.clip((stats - mean) / spread, -4.0, 4.0)
+
+
 class Model:
     """Log-odds of each feature between toxic and clean rows, and a logistic model over a document's highest ones."""
 
@@ -409,7 +414,7 @@ class Model:
         self.odds, self.weights, self.mean, self.spread = odds, weights, mean, spread
 
     def __call__(self, stats: np.ndarray) -> np.ndarray:
-        z = np.c_[(stats - self.mean) / self.spread, np.ones(len(stats))] @ self.weights
+        z = np.c_[standard(stats, self.mean, self.spread), np.ones(len(stats))] @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -466,7 +471,7 @@ def fit(rows: list[tuple[int, bytes, int]], l2: float = 1e-3) -> Model:
             stats[part] = evidence(doc, np.concatenate([found[i] for i in part]).astype(np.int64), words[part], odds)
     mean, spread = stats.mean(axis=0), stats.std(axis=0)
     spread = np.where(spread < 1e-6, 1.0, spread)  # what never varies tells nothing
-    x, w = np.c_[(stats - mean) / spread, np.ones(len(y))], np.zeros(STATS + 1)
+    x, w = np.c_[standard(stats, mean, spread), np.ones(len(y))], np.zeros(STATS + 1)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + l2 * np.eye(STATS + 1), x.T @ (p - y) / len(y) + l2 * w)
