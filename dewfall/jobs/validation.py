@@ -44,30 +44,6 @@ def time_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("state", F.when(F.col("bad_steps") > 0, "not hourly").when(~F.col("one_month"), "crosses months").when(F.col("short") != 0, "incomplete").otherwise("ok"))
 
 
-def _axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coordinate axes of three grids over the cells that observations have: the second runs backwards, the third is shifted."""
-    rows = observations(spark, sf_dir).select("cx").distinct()
-    at = lambda name, value, order: rows.select(F.lit(name).alias("grid"), (order).alias("k"), value.alias("value"))
-    lon = 35.0 + F.col("cx") * 0.1
-    most = rows.agg(F.max("cx").alias("most"))
-    back = rows.crossJoin(F.broadcast(most)).select(F.lit("d2m").alias("grid"), (F.col("most") - F.col("cx")).alias("k"), (lon + 1e-8).alias("value"))  # one row
-    return at("t2m", lon, F.col("cx")).unionByName(back).unionByName(at("sp", lon + 0.01, F.col("cx")))
-
-
-def coordinate_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How each grid's axis relates to the first grid's: exact, reversed or mismatch, within 1e-6; and whether it is strictly monotonic."""
-    axes = _axes(spark, sf_dir)
-    size = axes.groupBy("grid").agg(F.count("*").alias("n"))
-    ref = axes.where("grid = 't2m'").select("k", F.col("value").alias("ref"))
-    other = axes.join(F.broadcast(size), "grid")  # a row for each grid
-    same = other.join(ref, "k", "left").groupBy("grid").agg(F.bool_and(F.coalesce(F.abs(F.col("value") - F.col("ref")) <= 1e-6, F.lit(False))).alias("same"), F.first("n").alias("n"))
-    turned = other.withColumn("k", F.col("n") - 1 - F.col("k")).join(ref, "k", "left").groupBy("grid").agg(F.bool_and(F.coalesce(F.abs(F.col("value") - F.col("ref")) <= 1e-6, F.lit(False))).alias("turned"))
-    step = F.col("value") - F.lag("value").over(Window.partitionBy("grid").orderBy("k"))
-    monotonic = axes.withColumn("step", step).groupBy("grid").agg((F.coalesce(F.bool_and(F.col("step") > 0), F.lit(True)) | F.coalesce(F.bool_and(F.col("step") < 0), F.lit(True))).alias("monotonic"))
-    relation = F.when(F.col("same"), "exact").when(F.col("turned"), "reversed").otherwise("mismatch")
-    return same.join(turned, "grid").join(monotonic, "grid").select("grid", "n", relation.alias("relation"), "monotonic")
-
-
 def input_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per cell: hours that temperature has and another input lacks, and the other way round; aligned only without any."""
     obs, keys = observations(spark, sf_dir), ["cy", "cx", "d", "h"]
@@ -175,7 +151,6 @@ SELECT CAST(y AS INTEGER) AS year, CAST(m AS INTEGER) AS month, coalesce(files,
     "time_axis": """WITH h AS (SELECT DISTINCT event_type, date_trunc('hour', ts) AS hour FROM events), s AS (SELECT *, date_diff('second', lag(hour) OVER (PARTITION BY event_type ORDER BY hour), hour) AS step FROM h),
 a AS (SELECT event_type, count(*) AS hours, count(*) FILTER (step <> 3600) AS bad_steps, date_trunc('month', min(hour)) = date_trunc('month', max(hour)) AS one_month, 24 * day(last_day(min(hour))) - count(*) AS short FROM s GROUP BY event_type)
 SELECT *, CASE WHEN bad_steps > 0 THEN 'not hourly' WHEN NOT one_month THEN 'crosses months' WHEN short <> 0 THEN 'incomplete' ELSE 'ok' END AS state FROM a""",
-    "coordinate_relation": f"""WITH {MOIST}, n AS (SELECT count(DISTINCT cx) AS n FROM obs) SELECT grid, n, relation, TRUE AS monotonic FROM n, (VALUES ('t2m', 'exact'), ('d2m', 'reversed'), ('sp', 'mismatch')) g(grid, relation)""",
     "input_alignment": f"""WITH {MOIST}, k AS (SELECT cy, cx, d, h, count(t) > 0 AS t, count(td) > 0 AS td, count(p) > 0 AS p FROM obs GROUP BY ALL),
 c AS (SELECT cy, cx, count(*) FILTER (t AND NOT td) AS td_lacks, count(*) FILTER (td AND NOT t) AS td_extra, count(*) FILTER (t AND NOT p) AS p_lacks, count(*) FILTER (p AND NOT t) AS p_extra FROM k GROUP BY cy, cx)
 SELECT *, td_lacks + td_extra + p_lacks + p_extra = 0 AS aligned FROM c""",

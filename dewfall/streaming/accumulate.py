@@ -13,27 +13,18 @@ from dewfall.functions.physics import with_moisture
 from dewfall.sources.states import StateStore
 
 
-def committed(store: StateStore) -> Callable[[DataFrame, int], None]:
-    """What foreachBatch calls: a batch that is replayed finds its work in the ledger and changes nothing."""
+def committed(store: StateStore, stream: str = "stream") -> Callable[[DataFrame, int], None]:
+    """What foreachBatch calls. A batch is a source of its own: a day that comes in several batches adds up, and a batch that is replayed is in the ledger already and changes nothing."""
 
     def run(batch: DataFrame, number: int) -> None:
         moist = with_moisture(batch).withColumn("slot", calendar.slot(F.col("d")))
-        store.commit(moist, f"batch-{number:08d}")
+        store.commit(moist, f"{stream}-{number:08d}", source=f"{stream}/{number}")
 
     return run
 
 
-def accumulate(obs: DataFrame, store: StateStore, checkpoint: str) -> StreamingQuery:
-    """Start a stream of obs(d, h, cy, cx, t, td, p) into the store, all that is there and then stop. A day and block comes whole in one batch."""
-    return obs.writeStream.foreachBatch(committed(store)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def accumulate(obs: DataFrame, store: StateStore, checkpoint: str, stream: str = "stream") -> StreamingQuery:
+    """Start a stream of obs(d, h, cy, cx, t, td, p) into the store, all that is there and then stop.
 
-
-def late_split(obs: DataFrame, delay: str = "2 days") -> tuple[DataFrame, Callable]:
-    """Three-hour bins of obs(ts, cy, cx, x) with a watermark; later rows are dropped by it and belong to a quarantine sink that reads the same source."""
-    marked = obs.withWatermark("ts", delay)
-    bins = marked.groupBy(F.window("ts", "3 hours"), "cy", "cx").agg(F.count("x").alias("n"), F.avg("x").alias("mean"))
-
-    def late(batch: DataFrame, newest: object) -> DataFrame:
-        return batch.where(F.col("ts") < F.lit(newest) - F.expr(f"INTERVAL {delay}"))
-
-    return bins, late
+    `stream` names the checkpoint's batches in the store: streams with checkpoints of their own need different names."""
+    return obs.writeStream.foreachBatch(committed(store, stream)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

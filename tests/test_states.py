@@ -11,7 +11,8 @@ from dewfall.jobs import montecarlo, validation
 from dewfall.operators import moments, windows
 from dewfall.sources import states
 from dewfall.sources.states import StateStore
-from dewfall.streaming.accumulate import accumulate, late_split
+from dewfall.streaming.accumulate import accumulate, committed
+from dewfall.streaming.windows import closed_windows, late_rows, run_windows
 
 OBS = "cy int, cx int, d date, h int, t double, td double, p double"
 
@@ -49,7 +50,7 @@ def test_a_commit_that_died_is_not_read(spark, tmp_path):
     store = StateStore(spark, f"file://{tmp_path}/store")
     store.commit(obs.where("cy = 0"), "a")
     before = told(store.merged())
-    states.daily_states(obs).write.partitionBy("period").parquet(f"{tmp_path}/store/states/commit=dead")  # states without a ledger row
+    states.daily_states(states.hourly(obs)).write.partitionBy("period").parquet(f"{tmp_path}/store/states/dead")  # states that the log doesn't name
     assert told(store.merged()) == before
     assert store.commit(obs, "dead")  # the same name again
     assert sum(v[0] for k, v in told(store.merged()).items() if k[0] == "FULL" and k[2] == 0 and k[4] == "rh") == obs.where("rh is not null").count()
@@ -82,15 +83,98 @@ def test_stream_equals_batch(spark, tmp_path):
     assert told(store.merged()) == told(whole.merged())
 
 
-def test_late_rows_go_to_quarantine(spark, tmp_path):
-    rows = [(datetime.datetime(2024, 1, d, 1), 0, 0, float(d)) for d in (1, 5, 9)]
-    spark.createDataFrame(rows, "ts timestamp, cy int, cx int, x double").write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("ts timestamp, cy int, cx int, x double").parquet(f"{tmp_path}/in")
-    bins, late = late_split(stream)
-    bins.writeStream.format("memory").queryName("bins").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    assert {r.n for r in spark.table("bins").collect()} <= {1}
-    batch = spark.createDataFrame(rows, "ts timestamp, cy int, cx int, x double")
-    assert sorted(r.x for r in late(batch, datetime.datetime(2024, 1, 9, 1)).collect()) == [1.0, 5.0]
+def test_days_cut_over_batches_add_up(spark, tmp_path):
+    """Every day comes in three files, a file to a batch; then a batch is replayed."""
+    obs = observed(spark, 8)
+    for k in range(3):
+        obs.where(f"floor(h / 8) = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    store = StateStore(spark, f"file://{tmp_path}/store")
+    stream = spark.readStream.schema(OBS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    accumulate(stream, store, f"{tmp_path}/checkpoint").awaitTermination()
+    assert store.manifest()["commits"] == 3
+    whole = StateStore(spark, f"file://{tmp_path}/whole")
+    whole.commit(moist(obs), "all")
+    assert told(store.merged()) == told(whole.merged())
+    assert {(r.d, r.cy): r.n for r in store.ledger().groupBy("d", "cy").agg(F.sum("rows").alias("n")).collect()} == {(r.d, r.cy): r.n for r in obs.groupBy("d", "cy").agg(F.count("*").alias("n")).collect()}
+    before = told(store.merged())
+    committed(store)(obs.where("h < 8"), 0)
+    assert told(store.merged()) == before
+
+
+def test_rows_of_days_that_are_in_whole_are_kept_aside(spark, tmp_path):
+    obs = moist(observed(spark, 4))
+    store = StateStore(spark, f"file://{tmp_path}/store")
+    store.commit(obs.where("day(d) = 20"), "a")
+    assert store.refused().count() == 0
+    assert store.commit(obs, "b", source="s/1") and not store.commit(obs, "c", source="s/1")
+    assert store.refused().count() == obs.where("day(d) = 20").count()
+    assert store.ledger().agg(F.sum("rows")).first()[0] == obs.count()
+    assert not store.commit(obs, "d")  # parts hold these days: nothing is new
+    whole = StateStore(spark, f"file://{tmp_path}/whole")
+    whole.commit(obs, "all")
+    assert told(store.merged()) == told(whole.merged())
+
+
+def test_compaction_leaves_one_part_to_read(spark, tmp_path):
+    obs = moist(observed(spark, 24)).cache()
+    store = StateStore(spark, f"file://{tmp_path}/store", parts=4)
+    for k in range(12):
+        store.commit(obs.where(f"cy = {k % 2} and datediff(d, date'1999-12-20') % 6 = {k // 2}"), f"c{k}")
+        assert len(store.live()) <= 4
+    whole = StateStore(spark, f"file://{tmp_path}/whole")
+    whole.commit(obs, "all")
+    store.compact()
+    assert len(store.live()) == 1 and told(store.merged()) == told(whole.merged())
+    assert store.manifest()["commits"] == 12 and store.manifest()["rows"] == obs.count()
+    one = store.parts()
+    assert one.count() == one.select(*states.KEYS).distinct().count()
+    # a merge that died before its log row is not read
+    states.daily_states(states.hourly(obs)).write.partitionBy("period").parquet(f"{tmp_path}/store/states/merged-dead")
+    assert store.vacuum() > 0 and told(store.merged()) == told(whole.merged())
+    assert not store.commit(obs, "again")
+    store.drop()
+    assert store.live() == []
+
+
+EVENT = "event_id long, key string, ts timestamp, value double"
+
+
+def event_rows(n, seed=3):
+    rng = random.Random(seed)
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
+    return [(k, rng.choice("aaab"), start + datetime.timedelta(minutes=rng.randrange(0, 14 * 1440)), float(rng.randrange(100))) for k in range(n)]
+
+
+def windows_of(rows, upto):
+    """Windows by definition, of those that end by `upto`."""
+    out, day = {}, datetime.timedelta(days=1)
+    for _, key, ts, value in rows:
+        midnight = ts.replace(hour=0, minute=0)
+        spans = [("3 hours", ts.replace(hour=ts.hour // 3 * 3, minute=0), day / 8), ("1 day", midnight, day)]
+        spans += [("5 days", midnight - k * day, 5 * day) for k in range(5)]
+        for kind, start, width in spans:
+            if start + width <= upto:
+                n, total = out.get((kind, key, start), (0, 0.0))
+                out[kind, key, start] = (n + 1, total + value)
+    return out
+
+
+def test_windows_of_a_stream_with_late_rows(spark, tmp_path):
+    """Three batches with restarts in between: each row is in the windows or in the quarantine, as the watermark of its batch says."""
+    rows = sorted(event_rows(600), key=lambda r: r[2])
+    batches = [[r for k, r in enumerate(rows) if (2 if k % 7 == 0 else k // 200) == b] for b in range(3)]
+    batches[1].append((9_000, "a", None, 1.0))
+    newest, late, kept = None, [], []
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run_windows(spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in"), str(tmp_path)).awaitTermination()
+        mark = newest - datetime.timedelta(days=2) if newest else None
+        for r in batch:
+            (late if r[2] is None or mark and r[2] <= mark else kept).append(r)
+        newest = max([r[2] for r in batch if r[2]] + [newest] if newest else [r[2] for r in batch])
+    got = {(r.kind, r.key, r.start.astimezone(datetime.UTC)): (r.n, r.total) for r in closed_windows(spark, str(tmp_path)).collect()}
+    assert got == windows_of(kept, newest - datetime.timedelta(days=2))
+    assert len(late) > 20 and sorted(r.event_id for r in late_rows(spark, str(tmp_path)).collect()) == sorted(r[0] for r in late)
 
 
 def test_runs_meet_across_the_reserved_slot(spark):
