@@ -33,15 +33,15 @@ def moments_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def level_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States of all variables at the three levels: hours are aggregated once, coarser levels merged from them."""
-    df = moments.long_form(moist(spark, sf_dir), [*CELL, "h"], VARIABLES)
-    hours = df.groupBy(*CELL, "h", "variable").agg(*moments.moment_state("x"))
+    wide = moist(spark, sf_dir).groupBy(*CELL, "h").agg(*moments.wide_states(VARIABLES))
+    hours = moments.stacked(wide, [*CELL, "h"], VARIABLES)
     return moments.merge_moments(_levels(hours), [*CELL, "level_bin", "variable"])
 
 
 def decades_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-period products from decade states."""
-    df = moments.long_form(moist(spark, sf_dir).withColumn("decade", calendar.decade_start(F.col("d"))), ["decade", *CELL], VARIABLES)
-    parts = df.groupBy("decade", *CELL, "variable").agg(*moments.moment_state("x"))
+    wide = moist(spark, sf_dir).withColumn("decade", calendar.decade_start(F.col("d"))).groupBy("decade", *CELL).agg(*moments.wide_states(VARIABLES))
+    parts = moments.stacked(wide, ["decade", *CELL], VARIABLES)
     done = moments.merge_moments(parts, [*CELL, "variable"]).select(*CELL, "variable", "n", "mean", *moments.finalized())
     return done.select(*CELL, "variable", "n", *((F.round(c, 9 if c in ("mean", "std") else 6) + 0.0).alias(c) for c in ("mean", "std", "skew", "kurt")))
 

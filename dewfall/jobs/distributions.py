@@ -16,6 +16,8 @@ GROUP = ("month", "cy", "cx")
 #: Values that a fit, and pairs that a comparison of copulas, must have.
 LEAST, LEAST_PAIRS = 30, 200
 FITTED = "month int, cy int, cx int, variable string, family string, params array<double>, n long, ll double, aic double, aicc double, bic double, status string"
+#: Of a mixture of two normals: how far apart they are, and the mass under both.
+MIXED = "separation double, overlap double"
 
 
 def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +70,7 @@ def _scored(family: str, params: list[float], ll: float, n: int, k: int) -> tupl
 
 
 def window_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every marginal family of temperature's relative humidity share and of specific humidity per month and cell; params in a fixed order.
+    """Every marginal family of temperature's relative humidity share and of specific humidity per month and cell; params in a fixed order, and of the two-normal mixture its separation and overlap.
 
     Families that fail, or groups with under 30 values, say so in status and have no parameters."""
     shares = hours(spark, sf_dir).select(*GROUP, (F.col("rh") / 100).alias("rh_fraction"), "q")
@@ -78,18 +80,35 @@ def window_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
         x, rows = np.sort(pdf["x"].to_numpy("f8")), []
         none = (None, len(x), None, None, None, None)
         if len(x) < LEAST or x.std() == 0:
-            rows.append((*key, "none", *none, "insufficient_data"))
+            rows.append((*key, "none", *none, "insufficient_data", None, None))
         else:
             for family, (run, k) in fits.MARGINALS.items():
                 if family == "Beta" and not (x[0] >= 0 and x[-1] <= 1):
                     continue
                 try:
-                    rows.append((*key, *_scored(family, *run(x), len(x), k), "ok"))
+                    params, ll = run(x)
+                    apart = (fits.ashman(params), fits.overlap(params)) if family == "BimodalNormal" else (None, None)
+                    rows.append((*key, *_scored(family, params, ll, len(x), k), "ok", *apart))
                 except (ValueError, ArithmeticError, np.linalg.LinAlgError) as error:
-                    rows.append((*key, family, *none, type(error).__name__))
-        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in FITTED.split(", ")])
+                    rows.append((*key, family, *none, type(error).__name__, None, None))
+        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in f"{FITTED}, {MIXED}".split(", ")])
+
+    return long.groupBy(*GROUP, "variable").applyInPandas(fit, f"{FITTED}, {MIXED}")
+
+
+def beta_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The beta family of relative humidity as a share per month and cell, by Newton steps."""
+    shares = hours(spark, sf_dir).where("rh is not null").select(*GROUP, F.round(F.col("rh") / 100, 9).alias("x"))
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, rows = np.sort(pdf["x"].to_numpy("f8")), []
+        if len(x) >= LEAST and x.std() > 0:
+            (a, b), ll = fits.beta_fit(x)
+            rows.append((*key, len(x), a, b, ll))
+        return pd.DataFrame(rows, columns=[*GROUP, "n", "a", "b", "ll"])
 
-    return long.groupBy(*GROUP, "variable").applyInPandas(fit, FITTED)
+    found = shares.groupBy(*GROUP).applyInPandas(fit, "month int, cy int, cx int, n long, a double, b double, ll double")
+    return found.select(*GROUP, "n", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), (F.round("ll", 5) + 0.0).alias("ll"))
 
 
 def best_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +160,28 @@ def _sql_quantile(u: str) -> str:
 
 _HOURS = "hr AS (SELECT cy, cx, d, h, month(d) AS month, avg(rh) AS rh, avg(e) AS e, avg(r) AS r, avg(q) AS q FROM moist GROUP BY cy, cx, d, h)"
 _RANK = "(rank() OVER (PARTITION BY month, cy, cx ORDER BY {0}) + (count(*) OVER (PARTITION BY month, cy, cx, {0}) - 1) / 2 - 0.5) / count(*) OVER (PARTITION BY month, cy, cx)"
+
+
+def _digamma(x: str) -> str:
+    y = f"({x} + 6)"
+    return f"(ln({y}) - 0.5 / {y} - 1 / (12 * {y} ** 2) + 1 / (120 * {y} ** 4) - 1 / (252 * {y} ** 6) + 1 / (240 * {y} ** 8) - {' - '.join(f'1 / ({x} + {k})' for k in range(6))})"
+
+
+def _trigamma(x: str) -> str:
+    y = f"({x} + 6)"
+    return f"(1 / {y} + 0.5 / {y} ** 2 + 1 / (6 * {y} ** 3) - 1 / (30 * {y} ** 5) + 1 / (42 * {y} ** 7) - 1 / (30 * {y} ** 9) + {' + '.join(f'1 / ({x} + {k}) ** 2' for k in range(6))})"
+
+
 SQL: dict[str, str] = {
+    "beta_fits": f"""WITH RECURSIVE {MOIST}, {_HOURS}, s0 AS (SELECT month, cy, cx, round(rh / 100, 9) AS x FROM hr WHERE rh IS NOT NULL),
+s1 AS (SELECT month, cy, cx, count(*) AS n, greatest(1e-6, 0.5 / count(*)) AS eps FROM s0 GROUP BY ALL HAVING count(*) >= {LEAST} AND stddev_pop(x) > 0),
+s2 AS (SELECT month, cy, cx, n, least(greatest(x, eps), 1 - eps) AS y FROM s0 JOIN s1 USING (month, cy, cx)),
+s3 AS (SELECT month, cy, cx, n, avg(ln(y)) AS u, avg(ln(1 - y)) AS v, avg(y) AS m, var_pop(y) AS s2 FROM s2 GROUP BY ALL), s4 AS (SELECT *, greatest(m * (1 - m) / s2 - 1, 1e-3) AS k FROM s3),
+nw AS (SELECT 0 AS step, month, cy, cx, n, u, v, m * k AS a, (1 - m) * k AS b FROM s4
+  UNION ALL SELECT step + 1, month, cy, cx, n, u, v, CASE WHEN a - da > 0 AND b - db > 0 THEN a - da ELSE a / 2 END, CASE WHEN a - da > 0 AND b - db > 0 THEN b - db ELSE b / 2 END FROM (
+    SELECT *, (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS da, (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS db FROM (
+      SELECT *, u - {_digamma("a")} + {_digamma("(a + b)")} AS ga, v - {_digamma("b")} + {_digamma("(a + b)")} AS gb, {_trigamma("(a + b)")} AS hab, {_trigamma("(a + b)")} - {_trigamma("a")} AS haa, {_trigamma("(a + b)")} - {_trigamma("b")} AS hbb FROM nw WHERE step < 60)))
+SELECT month, cy, cx, n, round(a, 6) AS a, round(b, 6) AS b, round(n * ((a - 1) * u + (b - 1) * v + lgamma(a + b) - lgamma(a) - lgamma(b)), 5) + 0 AS ll FROM nw WHERE step = 60""",
     "skew_normal_moments": f"""WITH {MOIST}, {_HOURS}, l AS (SELECT month, cy, cx, unnest(['rh', 'e']) AS variable, unnest([rh, e]) AS x FROM hr),
 mu AS (SELECT month, cy, cx, variable, avg(x) AS mean, stddev_pop(x) AS s, count(x) AS n FROM l GROUP BY ALL HAVING count(x) >= {LEAST} AND stddev_pop(x) > 0),
 s AS (SELECT month, cy, cx, variable, any_value(n) AS n, any_value(mean) AS mean, any_value(s) AS s, round(avg(((x - mean) / s) ** 3), 9) AS g FROM l JOIN mu USING (month, cy, cx, variable) GROUP BY ALL),

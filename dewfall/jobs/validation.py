@@ -7,28 +7,30 @@ from pyspark.sql import functions as F
 
 from dewfall.functions import calendar
 from dewfall.jobs.oracles import MOIST
+from dewfall.sources import listing
 from dewfall.sources.observations import observations, table
-
-# Fixed value: six digits of a file name that are not part of a longer number.
-_YEAR_MONTH = r"(?:^|[^0-9])([0-9]{4})([0-9]{2})(?:[^0-9]|$)"
-
-
-def year_month(name: Column) -> tuple[Column, Column]:
-    """Year and month in a file name, null where there is none or the month is not 1 to 12."""
-    year, month = (F.nullif(F.regexp_extract(name, _YEAR_MONTH, k), F.lit("")).cast("int") for k in (1, 2))
-    good = month.between(1, 12)
-    return F.when(good, year), F.when(good, month)
+from dewfall.sources.states import delete_folder, scratch
 
 
 def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months of a year's files: missing (no file), single, or duplicate. File names come from the months that observations have."""
-    names = observations(spark, sf_dir).select(F.date_format("d", "yyyyMM").alias("ym"), (F.dayofmonth("d") == 31).alias("twice")).distinct()
-    copies = names.select(F.concat(F.lit("T2m"), "ym", F.when(F.col("twice"), "_copy").otherwise(""), F.lit(".nc")).alias("name"))
-    year, month = year_month(F.col("name"))
-    found = copies.select(year.alias("year"), month.alias("month")).groupBy("year", "month").agg(F.count("*").alias("files"))
-    due = found.select("year").distinct().select("year", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
-    files = F.coalesce("files", F.lit(0))
-    return due.join(found, ["year", "month"], "left").select("year", "month", files.alias("files"), F.when(files == 0, "missing").when(files > 1, "duplicate").otherwise("single").alias("state"))
+    """Months of a year's files: missing, single or duplicate, from a listing of files that observations are written to by month; months with a 31st have a second file."""
+    folder = scratch(spark, "files")
+    names = observations(spark, sf_dir).select("d", F.date_format("d", "yyyyMM").alias("ym"), F.explode(F.when(F.dayofmonth("d") == 31, F.array(F.lit(""), F.lit("_copy"))).otherwise(F.array(F.lit("")))).alias("copy"))
+    named = names.select("d", F.concat(F.lit("T2m"), "ym", "copy", F.lit(".nc")).alias("file"))
+    named.repartition("file").write.partitionBy("file").parquet(folder)
+    # a file here is a folder of Spark's: its part files share its name
+    files = listing.listed(spark, folder, "*.parquet").select(F.regexp_extract("path", "file=([^/]*)/", 1).alias("name")).distinct()
+    year, month = listing.year_month(F.col("name"))
+    out = listing.months(files.select(year.alias("year"), month.alias("month")))
+    rows = written_rows(out, f"{folder}-rows")
+    delete_folder(spark, folder)
+    return rows
+
+
+def written_rows(df: DataFrame, folder: str) -> DataFrame:
+    """df as rows on disk, independent of what it was read from."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def time_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +66,18 @@ def strict_alignment(obs: DataFrame) -> DataFrame:
     return obs.withColumn("t", F.when(lacking, F.raise_error(note).cast("double")).otherwise(F.col("t")))
 
 
+def timestamp_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours in which an event type differs from the first type by name, by day: those that it lacks and those that it alone has (two anti joins)."""
+    hours = table(spark, sf_dir, "events").select("event_type", F.date_trunc("hour", "ts").alias("hour")).distinct()
+    first = hours.agg(F.min("event_type").alias("event_type"))
+    axis = hours.join(F.broadcast(first), "event_type").select("hour")  # one row
+    others = hours.join(F.broadcast(first), "event_type", "left_anti")
+    due = others.select("event_type").distinct().join(F.broadcast(axis))  # an axis of hours: 8,766 to a year
+    missing = due.join(others, ["event_type", "hour"], "left_anti").withColumn("state", F.lit("missing"))
+    extra = others.join(axis, "hour", "left_anti").select("event_type", "hour", F.lit("extra").alias("state"))
+    return missing.unionByName(extra).groupBy("event_type", "state", F.to_date("hour").alias("d")).agg(F.count("*").alias("n"), F.min("hour").alias("first"), F.max("hour").alias("last"))
+
+
 def time_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days of one quarter: the range is a filter on the stored column, so files and row groups outside it are not read."""
     raw = table(spark, sf_dir, "lineitem").where("l_shipdate >= TIMESTAMP_NTZ '1998-01-01 00:00:00' AND l_shipdate < TIMESTAMP_NTZ '1998-04-01 00:00:00'")
@@ -154,6 +168,10 @@ SELECT *, CASE WHEN bad_steps > 0 THEN 'not hourly' WHEN NOT one_month THEN 'cro
     "input_alignment": f"""WITH {MOIST}, k AS (SELECT cy, cx, d, h, count(t) > 0 AS t, count(td) > 0 AS td, count(p) > 0 AS p FROM obs GROUP BY ALL),
 c AS (SELECT cy, cx, count(*) FILTER (t AND NOT td) AS td_lacks, count(*) FILTER (td AND NOT t) AS td_extra, count(*) FILTER (t AND NOT p) AS p_lacks, count(*) FILTER (p AND NOT t) AS p_extra FROM k GROUP BY cy, cx)
 SELECT *, td_lacks + td_extra + p_lacks + p_extra = 0 AS aligned FROM c""",
+    "timestamp_differences": """WITH h AS (SELECT DISTINCT event_type, date_trunc('hour', ts) AS hour FROM events), f AS (SELECT min(event_type) AS t FROM h), ax AS (SELECT hour FROM h, f WHERE event_type = t),
+o AS (SELECT event_type, hour FROM h, f WHERE event_type <> t), x AS (SELECT event_type, hour, 'missing' AS state FROM (SELECT DISTINCT event_type FROM o), ax WHERE (event_type, hour) NOT IN (SELECT (event_type, hour) FROM o)
+  UNION ALL SELECT event_type, hour, 'extra' FROM o WHERE hour NOT IN (SELECT hour FROM ax))
+SELECT event_type, state, CAST(hour AS DATE) AS d, count(*) AS n, min(hour) AS first, max(hour) AS last FROM x GROUP BY ALL""",
     "time_slice": "SELECT CAST(l_shipdate AS DATE) AS d, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '1998-04-01' GROUP BY 1",
     "edge_padding": f"""WITH {MOIST} SELECT CAST(year(d) AS INTEGER) AS year, count(*) AS n, count(t) AS n_t, count(CASE WHEN year(d) = 1996 THEN p END) AS n_p FROM obs
 WHERE year(d) = 1996 OR d IN (DATE '1995-12-30', DATE '1995-12-31') GROUP BY 1""",

@@ -42,6 +42,16 @@ def long_form(df: DataFrame, keys: Sequence[str], variables: Sequence[str]) -> D
     return df.select(*keys, F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).alias("x")) for v in variables))).alias("s")).select(*keys, "s.*")
 
 
+def wide_states(variables: Sequence[str]) -> list[Column]:
+    """A state for each variable beside the others, as a struct of its name: observations are not repeated by variable."""
+    return [F.struct(*moment_state(v)).alias(v) for v in variables]
+
+
+def stacked(wide: DataFrame, keys: Sequence[str], variables: Sequence[str]) -> DataFrame:
+    """keys, variable and the state's columns: a row for each variable of wide_states."""
+    return long_form(wide, keys, variables).select(*keys, "variable", "x.*")
+
+
 def merge_moments(states: DataFrame, keys: Sequence[str]) -> DataFrame:
     """States of disjoint parts merged by keys.
 

@@ -92,9 +92,9 @@ class StateStore:
         covered = {c for r in rows for c in r.covers or ()}
         return sorted({r.part for r in rows} - covered)
 
-    def ledger(self) -> DataFrame:
-        """The work that is done; empty for a new store."""
-        return self._read(LEDGER, *(f"{self.folder}/ledger/{p}" for p in self.live()))
+    def ledger(self, live: Sequence[str] | None = None) -> DataFrame:
+        """The work that is done, of all live parts or those given; empty for a new store."""
+        return self._read(LEDGER, *(f"{self.folder}/ledger/{p}" for p in (self.live() if live is None else live)))
 
     def refused(self) -> DataFrame:
         """Rows that a source brought for days that are in whole, with their source; empty for a new store."""
@@ -105,37 +105,42 @@ class StateStore:
                 raise
             return self.spark.createDataFrame([], LEDGER)
 
-    def pending(self, obs: DataFrame) -> DataFrame:
+    def pending(self, obs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
         """The rows of obs whose day and block are not in the ledger."""
-        return obs.join(self.ledger().select("d", "cy", "cx").distinct(), ["d", "cy", "cx"], "left_anti")
+        return obs.join((ledger if ledger is not None else self.ledger()).select("d", "cy", "cx").distinct(), ["d", "cy", "cx"], "left_anti")
 
     def commit(self, obs: DataFrame, name: str, source: str | None = None) -> bool:
         """Add the states of obs(d, h, slot, cy, cx and variables); False where nothing of it was new.
 
         Without a source, days come whole, and those that are in are skipped. With one, such as a stream and its batch, all is added once;
         a source that is in adds nothing. Reads obs once; a second time only if a source meets days that came whole."""
-        if source is not None and not self.ledger().where(F.col("source") == source).isEmpty():
+        live = self.live()
+        ledger = self.ledger(live)
+        if source is not None and not ledger.where(F.col("source") == source).isEmpty():
             return False
-        new = self.pending(obs) if source is None else self._beside_whole(obs, name, source)
+        if not live:
+            new = obs
+        else:
+            new = self.pending(obs, ledger) if source is None else self._beside_whole(obs, ledger, name, source)
         # hours are written once; states and ledger rows come from them, not from another pass over obs
         hours = f"{self.folder}/hours/{name}"
         hourly(new).write.mode("overwrite").parquet(hours)
         done = self.spark.read.parquet(hours)
-        self._write(daily_states(done), f"states/{name}", "period")
+        self._write(daily_states(done), f"states/part={name}", "period")
         work = done.groupBy("d", "cy", "cx").agg(F.sum("rows").alias("rows"))
-        ledger = work.select(F.lit(name).alias("commit"), F.lit(source).cast("string").alias("source"), "d", F.col("cy").cast("int").alias("cy"), F.col("cx").cast("int").alias("cx"), "rows")
-        self._write(ledger, f"ledger/{name}")
+        added = work.select(F.lit(name).alias("commit"), F.lit(source).cast("string").alias("source"), "d", F.col("cy").cast("int").alias("cy"), F.col("cx").cast("int").alias("cx"), "rows")
+        self._write(added, f"ledger/{name}")
         any_new = not self.spark.read.schema(LEDGER).parquet(f"{self.folder}/ledger/{name}").isEmpty()
         if any_new:
             self._record(name, source, [])
         delete_folder(self.spark, hours)
-        if len(self.live()) > self.most:
+        if any_new and len({*live, name}) > self.most:
             self.compact()
         return any_new
 
-    def _beside_whole(self, obs: DataFrame, name: str, source: str) -> DataFrame:
+    def _beside_whole(self, obs: DataFrame, ledger: DataFrame, name: str, source: str) -> DataFrame:
         """obs without days that are in whole, which go to `refused`."""
-        whole = self.ledger().where("source is null").select("d", "cy", "cx").distinct()
+        whole = ledger.where("source is null").select("d", "cy", "cx").distinct()
         if whole.isEmpty():
             return obs
         keys = ["d", "cy", "cx"]
@@ -156,7 +161,7 @@ class StateStore:
         if len(live) < 2:
             return None
         name = f"merged-{uuid.uuid4().hex}"
-        self._write(self.merged(), f"states/{name}", "period")
+        self._write(self.merged(), f"states/part={name}", "period")
         self._write(self.ledger(), f"ledger/{name}")
         self._record(name, None, live)
         return name
@@ -165,7 +170,7 @@ class StateStore:
         """Delete the folders of covered parts, once no reader uses them; their number."""
         covered = sorted({c for r in self.log() for c in r.covers or ()})
         for part in covered:
-            delete_folder(self.spark, f"{self.folder}/states/{part}")
+            delete_folder(self.spark, f"{self.folder}/states/part={part}")
             delete_folder(self.spark, f"{self.folder}/ledger/{part}")
         return len(covered)
 
@@ -175,12 +180,10 @@ class StateStore:
 
     def parts(self) -> DataFrame:
         """States of all live parts: at most one for each part and key."""
-        paths = [f"{self.folder}/states/{p}" for p in self.live()]
-        out = None
-        for path in paths:  # a read for each part, as `period` is a folder below each
-            one = self.spark.read.schema(STATES).parquet(path)
-            out = one if out is None else out.unionByName(one)
-        return out if out is not None else self.spark.createDataFrame([], STATES)
+        paths = [f"{self.folder}/states/part={p}" for p in self.live()]
+        if not paths:
+            return self.spark.createDataFrame([], STATES)
+        return self.spark.read.schema(STATES + ", part string").option("basePath", f"{self.folder}/states").parquet(*paths).drop("part")
 
     def merged(self) -> DataFrame:
         """One state for each key: all live parts merged, at most PARTS and one."""
@@ -201,16 +204,14 @@ class StateStore:
 
 def hourly(obs: DataFrame) -> DataFrame:
     """A row for each day, cell and hour of obs: its rows, and a state for each variable beside the others, so that observations are not repeated by variable."""
-    one = lambda v: F.struct(*moments.moment_state(v)).alias(v)
-    return obs.groupBy("d", "slot", "cy", "cx", "h").agg(F.count("*").alias("rows"), *(one(v) for v in VARIABLES))
+    return obs.groupBy("d", "slot", "cy", "cx", "h").agg(F.count("*").alias("rows"), *moments.wide_states(VARIABLES))
 
 
 def daily_states(hours: DataFrame) -> DataFrame:
     """States by period (the decade and FULL), slot, level bin, cell and variable out of hourly(); a day's states merge over years by slot and hour first."""
     decade = calendar.decade_start(F.col("d"))
     named = hours.withColumn("decade", F.concat(decade.cast("string"), F.lit("-"), (decade + 9).cast("string")))
-    stacked = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).alias("s")) for v in VARIABLES))).alias("v")
-    long = named.select("decade", "slot", "cy", "cx", "h", stacked).select("decade", "slot", "cy", "cx", "h", "v.variable", "v.s.*")
+    long = moments.stacked(named, ["decade", "slot", "cy", "cx", "h"], VARIABLES)
     pooled = moments.merge_moments(long, ["decade", "slot", "cy", "cx", "h", "variable"])
     bins = F.array(F.lit(0), (1 + F.floor(F.col("h") / 3)).cast("int"), F.col("h") + 9)
     both = pooled.withColumns({"level_bin": F.explode(bins)}).withColumn("period", F.explode(F.array("decade", F.lit("FULL"))))

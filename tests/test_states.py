@@ -1,15 +1,17 @@
 """The state store, the stream into it, merges of runs, and input that is not finite."""
 
 import datetime
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from dewfall.functions import calendar, physics
 from dewfall.jobs import montecarlo, validation
 from dewfall.operators import moments, windows
-from dewfall.sources import states
+from dewfall.sources import listing, states
 from dewfall.sources.states import StateStore
 from dewfall.streaming.accumulate import accumulate, committed
 from dewfall.streaming.windows import closed_windows, late_rows, run_windows
@@ -50,7 +52,7 @@ def test_a_commit_that_died_is_not_read(spark, tmp_path):
     store = StateStore(spark, f"file://{tmp_path}/store")
     store.commit(obs.where("cy = 0"), "a")
     before = told(store.merged())
-    states.daily_states(states.hourly(obs)).write.partitionBy("period").parquet(f"{tmp_path}/store/states/dead")  # states that the log doesn't name
+    states.daily_states(states.hourly(obs)).write.partitionBy("period").parquet(f"{tmp_path}/store/states/part=dead")  # states that the log doesn't name
     assert told(store.merged()) == before
     assert store.commit(obs, "dead")  # the same name again
     assert sum(v[0] for k, v in told(store.merged()).items() if k[0] == "FULL" and k[2] == 0 and k[4] == "rh") == obs.where("rh is not null").count()
@@ -129,7 +131,7 @@ def test_compaction_leaves_one_part_to_read(spark, tmp_path):
     one = store.parts()
     assert one.count() == one.select(*states.KEYS).distinct().count()
     # a merge that died before its log row is not read
-    states.daily_states(states.hourly(obs)).write.partitionBy("period").parquet(f"{tmp_path}/store/states/merged-dead")
+    states.daily_states(states.hourly(obs)).write.partitionBy("period").parquet(f"{tmp_path}/store/states/part=merged-dead")
     assert store.vacuum() > 0 and told(store.merged()) == told(whole.merged())
     assert not store.commit(obs, "again")
     store.drop()
@@ -227,11 +229,67 @@ def test_missing_partner_is_an_error(spark):
 
 def test_file_names(spark):
     names = ["T2m199802.nc", "x_200413_y.nc", "20210507.nc", "d2m_198112_v2.nc", "none.nc"]
-    y, m = validation.year_month(F.col("n"))
+    y, m = listing.year_month(F.col("n"))
     got = [tuple(r) for r in spark.createDataFrame([(n,) for n in names], "n string").select(y, m).collect()]
     assert got == [(1998, 2), (None, None), (None, None), (1981, 12), (None, None)]
 
 
+@pytest.mark.parametrize("change", [None, "missing", "duplicate"])
+def test_index_of_listed_files(spark, tmp_path, change):
+    for m in range(1, 13):
+        if (m, change) != (4, "missing"):
+            (tmp_path / "sub").mkdir(exist_ok=True)
+            (tmp_path / ("sub" if m % 2 else ".") / f"t2m_2003{m:02d}.nc").write_bytes(b"x" * m)
+    (tmp_path / "notes.txt").write_text("no file of a month")
+    (tmp_path / "t2m_200399.nc").write_bytes(b"")
+    if change == "duplicate":
+        (tmp_path / "again_200305.nc").write_bytes(b"y")
+    files = listing.listed(spark, f"file://{tmp_path}", "*2003*.nc")
+    got = {(r.year, r.month): r.state for r in listing.months(files).collect()}
+    assert len(got) == 12 and {k[1]: v for k, v in got.items() if v != "single"} == ({4: change} if change == "missing" else {5: change} if change else {})
+    index = listing.file_of_month(files)
+    if change:
+        with pytest.raises(Exception, match=f"{change} month 2003-0"):
+            index.collect()
+    else:
+        assert sorted((r.month, r.path.rpartition("/")[2]) for r in index.collect()) == [(m, f"t2m_2003{m:02d}.nc") for m in range(1, 13)]
+        assert {r.month: r.bytes for r in files.where("month is not null").collect()} == {m: m for m in range(1, 13)}
+
+
+def test_nearest_correlation_by_eigenvectors(spark):
+    rng = random.Random(17)
+    rows = [tuple(rng.uniform(-0.999, 0.999) for _ in range(3)) for _ in range(200)] + [(0.9, -0.9, 0.9), (-0.9, -0.9, -0.9), (0.999999, 0.999999, -0.999999), (0.0, 0.0, 0.0), (0.5, 0.5, 0.5), (0.999999, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "r1 double, r2 double, r3 double")
+    got = df.select("r1", "r2", "r3", *(c.alias(f"n{k}") for k, c in enumerate(montecarlo.nearest_correlation(F.col("r1"), F.col("r2"), F.col("r3"))))).collect()
+    repaired = 0
+    for r in got:
+        m = np.array([[1, r.r1, r.r2], [r.r1, 1, r.r3], [r.r2, r.r3, 1]])
+        values, vectors = np.linalg.eigh(m)
+        p = vectors @ np.diag(np.maximum(values, 0)) @ vectors.T
+        d = np.sqrt(np.diag(p))
+        want = p / np.outer(d, d)
+        repaired += values[0] < 0
+        assert (r.n0, r.n1, r.n2) == pytest.approx((want[0, 1], want[0, 2], want[1, 2]), abs=1e-9)
+    assert repaired > 50
+
+
+def test_draws_inside_tasks_equal_exploded_draws(spark):
+    """Slots' moments from draws that never become rows against the rows of the other form, over three cells."""
+    rows = [(1, 0, 0, 20.0, 15.0, 6.9, 4.0, 3.0, 0.01, 0.7, 0.1, -0.2), (2, 0, 1, -10.0, -14.0, 6.8, 6.0, 6.0, 0.02, 0.9, -0.3, -0.3), (3, 1, 1, 80.0, 79.0, 5.9, 9.0, 9.0, 0.4, 0.0, 0.0, 0.0)]
+    drivers = spark.createDataFrame(rows, "slot int, cy int, cx int, m_t double, m_td double, m_w double, s_t double, s_td double, s_w double, r1 double, r2 double, r3 double")
+    got = {(r.slot, r.variable): r for r in montecarlo.simulated_states(drivers, 400).collect()}
+    assert len(got) == 12
+    for row in montecarlo.factored(drivers).collect():
+        z = montecarlo.additive_normals(400).tolist()
+        draws = [(row.m_t + row.s_t * a, row.m_td + row.s_td * (row.r1 * a + row.l22 * b), math.exp(row.m_w + row.s_w * (row.r2 * a + row.l32 * b + row.l33 * c))) for a, b, c in z]
+        moist_rows = [r for r in physics.with_moisture(spark.createDataFrame(draws, "t double, td double, p double")).collect() if None not in (r.rh, r.e, r.r, r.q)]
+        for v in ("rh", "e", "r", "q"):
+            x, one = np.array([r[v] for r in moist_rows]), got[row.slot, v]
+            assert one.n == len(x)
+            assert (one.mean, one.m2, one.low, one.high) == pytest.approx((x.mean(), ((x - x.mean()) ** 2).sum(), x.min(), x.max()), rel=1e-6, abs=1e-9)
+    assert got[3, "rh"].n < 400
+
+
 def test_correlation_factor_and_repair(spark):
     rows = [(0.8, 0.2, 0.3), (0.999999, 0.999999, 0.999999), (0.9, -0.9, 0.9), (0.0, 0.0, 0.0)]
     got = montecarlo.factored(spark.createDataFrame(rows, "r1 double, r2 double, r3 double")).collect()
