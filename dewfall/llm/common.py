@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key counts as hot beyond HOT_ROWS rows and beyond one HOT_KEYS-th of all rows, so at most HOT_KEYS keys ever do.
 HOT_ROWS, HOT_KEYS = 2_000, 10_000
+#: Ids that are broadcast at most: 16 to 48 bytes each in every executor.
+ID_ROWS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +94,15 @@ def split_join(rows: DataFrame, groups: DataFrame, key: str, count: str = "n") -
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+def by_ids(rows: DataFrame, ids: DataFrame, keys: Sequence[str], how: str = "left_semi") -> DataFrame:
+    """rows with keys that the written table ids holds, or, by left_anti, that it lacks. Null keys are in no table.
+
+    rows may be texts of any size. Up to ID_ROWS ids are broadcast, so that rows stay where they are; left to itself Spark would move all of them before it
+    knew how few the ids are. Beyond that both sides are shuffled, at the same result."""
+    small = ids.select(*keys)
+    return rows.join(F.broadcast(small) if ids.count() <= ID_ROWS else small, list(keys), how)
+
+
 def salted_join(rows: DataFrame, wide: DataFrame, key: str, by: str, most: int = 500) -> DataFrame:
     """rows joined with wide, which has one row for each key; rows of one key are dealt out by `by`, about `most` to a copy of its wide row.
 
