@@ -35,6 +35,15 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
 ]
+#: Names by which licences are called in a sentence, and identifiers in a tag.
+NAMES = {
+    "MIT": ["MIT"], "Apache-2.0": ["Apache 2.0", "Apache-2.0"], "BSD-2-Clause": ["BSD 2-Clause", "BSD-2-Clause"], "BSD-3-Clause": ["BSD 3-Clause", "BSD-3-Clause"], "ISC": ["ISC"],
+    "GPL-2.0": ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-2.0"], "GPL-3.0": ["GPL-3.0-only", "GPL-3.0-or-later", "GPL-3.0"], "LGPL-2.1": ["LGPL-2.1-only", "LGPL-2.1-or-later"], "LGPL-3.0": ["LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "AGPL-3.0": ["AGPL-3.0-only", "AGPL-3.0-or-later"], "MPL-2.0": ["MPL-2.0"], "BSL-1.0": ["BSL-1.0"], "Zlib": ["Zlib"], "Unlicense": ["Unlicense"], "CC0-1.0": ["CC0-1.0"], "CC-BY-4.0": ["CC-BY-4.0"], "CC-BY-SA-4.0": ["CC-BY-SA-4.0"],
+}
+TEMPLATES += [("Apache-2.0", "Licensed under the Apache License 2.0."), ("GPL-3.0", "Licensed under the GNU General Public License v3.0."), ("GPL-2.0", "Licensed under the GNU General Public License v2.0.")]
+TEMPLATES += [(name, f"Licensed under the {own[0]} license.") for name, own in NAMES.items() if not own[0][:2] == "CC"]
+TEMPLATES += [(name, f"SPDX-License-Identifier: {tag}") for name, own in NAMES.items() for tag in own if " " not in tag]
 #: Full texts, compared as windows alone.
 FULL_TEXTS: list[tuple[str, str]] = [
     (
@@ -172,18 +181,25 @@ def _windows(known: list[tuple[str, list[str]]], lengths: list[int], least: floa
     done = F.transform(F.filter("line_hits", lambda h: h["line"] == 0), lambda h: -h["k"])
     near = F.filter(shelf, lambda t: F.arrays_overlap(F.col("rest_grams"), t["anchors"]) & ~F.array_contains(done, t["k"]))
 
-    def best(t: Column) -> Column:
+    def windows(t: Column) -> Column:
         put = F.transform("rest_grams", lambda g, j: F.struct(j.alias("j"), F.array_position(t["grams"], g).cast("int").alias("at")))
         starts = F.array_distinct(F.transform(F.filter(put, lambda p: p["at"] > 0), lambda p: F.greatest(p["j"] - p["at"] + 1, F.lit(0))))
 
         def rated(start: Column) -> Column:
             grams = F.array_distinct(F.slice("rest_grams", start + 1, t["words"] - 1))
             dice = 2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + F.size(t["grams"]))
-            return F.struct(dice.alias("dice"), (-F.get(F.col("rest_lines"), start)).alias("line"), (-t["k"]).alias("k"))
+            return F.struct((-dice).alias("worse"), start.alias("start"))
 
-        return F.array_max(F.transform(starts, rated))
+        def apart(kept: Column, w: Column) -> Column:
+            clash = F.exists(kept, lambda other: F.abs(other["start"] - w["start"]) < t["words"])
+            return F.when(clash, kept).otherwise(F.concat(kept, F.array(w)))
 
-    return F.filter(F.transform(near, best), lambda h: h["dice"] >= least)
+        # the best window first, then the best of those that don't overlap one taken before
+        good = F.array_sort(F.filter(F.transform(starts, rated), lambda w: -w["worse"] >= least))
+        taken = F.aggregate(good, F.array().cast("array<struct<worse:double,start:int>>"), apart)
+        return F.transform(taken, lambda w: F.struct((-w["worse"]).alias("dice"), (-F.get(F.col("rest_lines"), w["start"])).alias("line"), (-t["k"]).alias("k")))
+
+    return F.flatten(F.transform(near, windows))
 
 
 def _pairs(words: Column) -> Column:
@@ -195,12 +211,12 @@ def _grams(words: Column) -> Column:
     return F.array_distinct(_pairs(words))
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, full_texts: list[tuple[str, str]] = FULL_TEXTS) -> DataFrame:
     """(doc_id, license, dice, line, n_matches) for every row of docs.
 
     Needs doc_id and text; other columns are ignored. Units are the lines of the text, numbered from 1, and, where
-    there are several, the whole text as line 0. Lines without a match are joined, and each template, full texts included, has its best window
-    of as many words as one more unit, under the line of its first word. A-Z are lower-cased; words are runs of [a-z0-9]. license is that of the template
+    there are several, the whole text as line 0. Lines without a match are joined, and windows of as many words as a template, full texts included, are units
+    under the line of their first word: the best one, and then each next best that overlaps none taken before. A-Z are lower-cased; words are runs of [a-z0-9]. license is that of the template
     with the highest coefficient, ties going to the earlier line, then the earlier template; n_matches counts
     pairs of unit and template that reach `least`. Without any, license, dice and line are null: so for null
     and empty texts. Repeated rows are each scanned. An empty table gives an empty result."""
@@ -213,7 +229,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
             for k, ((_, g), (lo, hi)) in enumerate(zip(known, sizes, strict=True))
         )
     )
-    sought = templates + (FULL_TEXTS if templates is TEMPLATES else [])
+    sought = [*templates, *full_texts]
     wide = [(name, bigrams(text)) for name, text in sought]
     # in lower case the words only decide which texts are looked at
     gate = F.rlike("low", F.lit(telling_pattern(telling_words([g for _, g in wide], least))))

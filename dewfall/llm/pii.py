@@ -3,7 +3,7 @@
 Tokens with a digit or an at sign are the nodes of a document's field. Neighbouring tokens are joined
 in a chain, and tokens that repeat or resemble an earlier one by a skip edge. Tokens inside a
 pattern's match are observed; loopy message passing spreads their labels along both kinds of edges, so that a repeat in another
-form gets its entity's label. The documents of a batch are passed as one graph. Weights come from
+form gets its entity's label. The documents of a piece of a batch, cut by bytes of text, are passed as one graph in flat arrays. Weights come from
 pseudo-likelihood on a bounded sample, with the patterns' matches as labels.
 """
 
@@ -12,20 +12,24 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dewfall.llm.common import hash_sample
+from dewfall.llm.textcodes import chunks
 
 KINDS = ("email", "ip", "card", "phone")
 #: The field is fitted on about so many documents, picked by hash.
 SAMPLE_DOCS = 3_000
+#: Bytes of their tokens that come to the driver at most, about forty to a token.
+SAMPLE_BYTES = 32 << 20
 BUCKETS = 1 << 12
 FEATURES = 7
 #: Least marginal probability of a span that the field adds, beside its link to an observed entity of the kind.
@@ -82,15 +86,25 @@ def written_spans(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], x[2], x[1])))
 
 
+def _numbers() -> array:
+    return array("i")
+
+
 @dataclass
 class Graph:
-    """Tokens of any number of documents: places, observed labels (0 none, 1.. kinds), features, edges (a, b, 0 chain or 1 skip)."""
+    """Tokens of any number of documents, as flat arrays of numbers: places, observed labels (0 none, 1.. kinds), FEATURES features each, edges of three (a, b, 0 chain or 1 skip)."""
+
+    starts: array = field(default_factory=_numbers)
+    ends: array = field(default_factory=_numbers)
+    label: array = field(default_factory=_numbers)
+    features: array = field(default_factory=_numbers)
+    edges: array = field(default_factory=_numbers)
 
-    starts: list[int] = field(default_factory=list)
-    ends: list[int] = field(default_factory=list)
-    label: list[int] = field(default_factory=list)
-    features: list[list[int]] = field(default_factory=list)
-    edges: list[tuple[int, int, int]] = field(default_factory=list)
+    def feature_rows(self) -> np.ndarray:
+        return np.array(self.features, "i4").reshape(-1, FEATURES)
+
+    def edge_rows(self) -> np.ndarray:
+        return np.array(self.edges, "i4").reshape(-1, 3)
 
     def add(self, text: str, spans: list[tuple[int, int, int]]) -> range:
         """The nodes of one more document."""
@@ -116,15 +130,15 @@ class Graph:
             self.ends.append(e)
             self.label.append(1 + hit[2] if hit else 0)
             token = text[s:e]
-            self.features.append(self.describe(text, s, e, token))
+            self.features.extend(self.describe(text, s, e, token))
             if node > first and s - self.ends[node - 1] == 1:
-                self.edges.append((node - 1, node, 0))
+                self.edges.extend((node - 1, node, 0))
             keys = self.resemblance(token)
             if hit and e >= hit[1]:  # an entity of several tokens is met whole at its last one
                 keys = list(dict.fromkeys([*keys, *self.resemblance(text[hit[0] : hit[1]])]))
             for key in keys:
                 if key in seen and seen[key] != node:
-                    self.edges.append((seen[key], node, 1))
+                    self.edges.extend((seen[key], node, 1))
                 seen[key] = node
             at = e
         return range(first, len(self.starts))
@@ -168,12 +182,13 @@ class Weights:
 def marginals(graph: Graph, w: Weights) -> np.ndarray:
     """Label probabilities of each node by loopy sum-product; observed entity tokens are held to their label."""
     n, k = len(graph.starts), len(KINDS) + 1
-    score = w.node[np.array(graph.features).reshape(n, FEATURES)].sum(axis=1)
+    features = graph.feature_rows()
+    score = sum(w.node[features[:, f]] for f in range(FEATURES))
     seen = np.array(graph.label)
     score[seen > 0] = -50.0
     score[seen > 0, seen[seen > 0]] = 0.0
     if graph.edges:
-        e = np.array(graph.edges)
+        e = graph.edge_rows()
         src, dst = np.r_[e[:, 0], e[:, 1]], np.r_[e[:, 1], e[:, 0]]
         back = np.r_[np.arange(len(e), 2 * len(e)), np.arange(len(e))]
         pair = np.concatenate([w.edge[e[:, 2]], w.edge[e[:, 2]].transpose(0, 2, 1)])
@@ -198,8 +213,8 @@ def learn(graph: Graph, steps: int = 120, l2: float = 1e-4) -> Weights:
     n, k = len(graph.starts), len(KINDS) + 1
     if not n:
         return Weights.none()
-    f, y = np.array(graph.features).reshape(n, FEATURES), np.array(graph.label)
-    e = np.array(graph.edges, int).reshape(-1, 3)
+    f, y = graph.feature_rows(), np.array(graph.label)
+    e = graph.edge_rows()
     beside = np.zeros((n, 2, k))  # how many neighbours over each kind of edge have each label
     np.add.at(beside, (e[:, 0], e[:, 2], y[e[:, 1]]), 1.0)
     np.add.at(beside, (e[:, 1], e[:, 2], y[e[:, 0]]), 1.0)
@@ -228,13 +243,11 @@ def learn(graph: Graph, steps: int = 120, l2: float = 1e-4) -> Weights:
 
 def supported(graph: Graph) -> set[tuple[int, int]]:
     """(node, label) where a skip edge leads to a token observed with that label."""
-    out = set()
-    for a, b, kind in graph.edges:
-        if kind == 1:
-            for x, y in ((a, b), (b, a)):
-                if graph.label[y]:
-                    out.add((x, graph.label[y]))
-    return out
+    e, label = graph.edge_rows(), np.array(graph.label, int)
+    skips = e[e[:, 2] == 1]
+    ends = np.r_[skips[:, :2], skips[:, 1::-1]]
+    ends = ends[label[ends[:, 1]] > 0] if len(ends) else ends
+    return set(zip(ends[:, 0].tolist(), label[ends[:, 1]].tolist(), strict=True))
 
 
 def added_spans(text: str, nodes: range, graph: Graph, p: np.ndarray, base: list[tuple[int, int, int]], backed: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -269,7 +282,7 @@ def added_spans(text: str, nodes: range, graph: Graph, p: np.ndarray, base: list
 
 
 def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Weights:
-    """Weights from about `sample` documents; the driver sees only feature numbers, labels and edges of their tokens."""
+    """Weights from about `sample` documents; the driver sees only feature numbers, labels and edges of their tokens, SAMPLE_BYTES at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,20 +291,25 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Weights:
                 g = Graph()
                 g.add(text or "", base_spans(text or ""))
                 if g.starts:
-                    head = np.array([len(g.starts), len(g.edges)], "<i4")
+                    head = np.array([len(g.starts), len(g.edges) // 3], "<i4")
                     out.append(b"".join(np.array(x, "<i4").tobytes() for x in (head, g.label, g.features, g.edges)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["g"])
 
-    rows = sorted(bytes(r.g) for r in hash_sample(docs.select("doc_id", "text"), sample, "doc_id").select("text").mapInArrow(run, "g binary").collect())
+    made = hash_sample(docs.select("doc_id", "text"), sample, "doc_id").select("text").mapInArrow(run, "g binary")
+    # texts of a tenth of the bound, or that would pass it together, are no part of the sample
+    size = F.octet_length("g")
+    upto = F.sum(size).over(Window.orderBy(F.xxhash64("g"), "g").rowsBetween(Window.unboundedPreceding, 0))  # `sample` rows at most
+    rows = sorted(bytes(r.g) for r in made.where(size <= SAMPLE_BYTES // 10).withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).collect())
     whole = Graph()
     for raw in rows:
         x = np.frombuffer(raw, "<i4")
         n, m = int(x[0]), int(x[1])
         at = len(whole.label)
-        whole.label += x[2 : 2 + n].tolist()
-        whole.features += x[2 + n : 2 + n * (1 + FEATURES)].reshape(n, FEATURES).tolist()
-        whole.edges += [(a + at, b + at, t) for a, b, t in x[2 + n * (1 + FEATURES) :].reshape(m, 3).tolist()]
-    whole.starts = [0] * len(whole.label)
+        whole.label.extend(x[2 : 2 + n].tolist())
+        whole.features.extend(x[2 + n : 2 + n * (1 + FEATURES)].tolist())
+        moved = x[2 + n * (1 + FEATURES) :].reshape(m, 3) + np.array([at, at, 0], "<i4")
+        whole.edges.extend(moved.ravel().tolist())
+    whole.starts.extend([0] * len(whole.label))
     return learn(whole)
 
 
@@ -318,9 +336,9 @@ def find(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
     w = weights or train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                part = batch.slice(at, 1_000)
+        for cut in chunks(batches, 1):
+            for at in range(0, cut.num_rows, 1_000):
+                part = cut.slice(at, 1_000)
                 ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
                 rows = []
                 for doc, (base, more) in zip(ids, found_in(texts, w), strict=True):
@@ -362,9 +380,9 @@ def redact(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
     chars = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1_000):
-                part = batch.slice(k, 1_000)
+        for cut in chunks(batches, at):
+            for k in range(0, cut.num_rows, 1_000):
+                part = cut.slice(k, 1_000)
                 texts = part.column(at).to_pylist()
                 clean = [None if t is None else redact_text(t, b + more) for t, (b, more) in zip(texts, found_in([t or "" for t in texts], w), strict=True)]
                 cols = list(part.columns)
