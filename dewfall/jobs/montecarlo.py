@@ -22,6 +22,8 @@ from dewfall.sources.observations import observations
 DRAWS = 500
 #: Draws of each slot and cell.
 SLOT_DRAWS = 5_000
+#: Rows of a slot and cell without which its three correlations are tied to each other: draws would rest on rounding.
+LEAST_ROWS = 5
 #: Draws without which a cell's result is not given.
 LEAST = 10
 #: Eigenvalues down to this are rounding and repaired.
@@ -32,8 +34,8 @@ STEPS = tuple(1 / _G**k for k in (1, 2, 3))
 LADDER = (100, 200, 500)
 
 
-def driver(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ("cy", "cx")) -> DataFrame:
-    """Means, deviations and clipped correlations of t, td and ln p per cell, or slot and cell; groups with two rows or more and all deviations above 0."""
+def driver(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ("cy", "cx"), least: int = 2) -> DataFrame:
+    """Means, deviations and clipped correlations of t, td and ln p per cell, or slot and cell; groups with `least` rows or more and all deviations above 0."""
     obs = observations(spark, sf_dir).withColumn("slot", calendar.slot(F.col("d")))
     df = obs.withColumn("w", F.when(F.col("p") > 0, F.log("p"))).where("t is not null and td is not null and w is not null")
     s = df.groupBy(*keys).agg(
@@ -42,7 +44,7 @@ def driver(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ("cy", "cx"
     )
     sides = {1: ("s_t", "s_td"), 2: ("s_t", "s_w"), 3: ("s_td", "s_w")}
     clip = lambda c: F.least(F.greatest(c, F.lit(-0.999999)), F.lit(0.999999))
-    good = s.where("n >= 2 and s_t > 0 and s_td > 0 and s_w > 0")
+    good = s.where(f"n >= {least} and s_t > 0 and s_td > 0 and s_w > 0")
     return good.select(*keys, "n", "m_t", "m_td", "m_w", "s_t", "s_td", "s_w", *(clip(F.col(f"c{k}") / (F.col(a) * F.col(b))).alias(f"r{k}") for k, (a, b) in sides.items()))
 
 
@@ -87,7 +89,7 @@ def factored(drivers: DataFrame) -> DataFrame:
 
 def nearest_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlations of each slot and cell put together from three different samples (t and td, the slot's t and p of other hours, td and p with its sign turned), which need not fit together, and the nearest ones that do."""
-    mixed = driver(spark, sf_dir, ("slot", "cy", "cx")).select("slot", "cy", "cx", "r1", "r2", (-F.col("r3")).alias("r3"))
+    mixed = driver(spark, sf_dir, ("slot", "cy", "cx"), LEAST_ROWS).select("slot", "cy", "cx", "r1", "r2", (-F.col("r3")).alias("r3"))
     r = [F.col(c) for c in ("r1", "r2", "r3")]
     shown = [(F.round(c, 6) + 0.0).alias(f"near_{k}") for k, c in enumerate(nearest_correlation(*r), 1)]
     return mixed.select("slot", "cy", "cx", (least_eigenvalue(*r) < -1e-9).alias("repaired"), *shown)
@@ -167,7 +169,7 @@ def simulated_states(drivers: DataFrame, draws: int) -> DataFrame:
 
 def slot_simulation(spark: SparkSession, sf_dir: str, draws: int = SLOT_DRAWS) -> DataFrame:
     """Simulated moments of each slot, cell and variable, with the shares of supersaturated draws and of draws with e at or above p; LEAST draws or more with all four variables."""
-    states = simulated_states(driver(spark, sf_dir, ("slot", "cy", "cx")), draws).where(f"n >= {LEAST}")
+    states = simulated_states(driver(spark, sf_dir, ("slot", "cy", "cx"), LEAST_ROWS), draws).where(f"n >= {LEAST}")
     done = states.select("*", *moments.finalized())
     shown = [(F.round(c, d) + 0.0).alias(c) for c, d in (("mean", 7), ("std", 7), ("skew", 3), ("kurt", 1))]
     return done.select("slot", "cy", "cx", "variable", "n", *shown, F.round(F.col("supersat") / F.col("n"), 7).alias("supersaturation_fraction"), F.round(F.col("bad_ep") / F.lit(draws), 7).alias("invalid_fraction"))
@@ -198,7 +200,7 @@ ev AS (SELECT *, (r1 * r1 + r2 * r2 + r3 * r3) / 3 AS p2 FROM rr), lo AS (SELECT
 l2 AS (SELECT *, sqrt(1 - r1 * r1) AS l22, (r3 - r1 * r2) / sqrt(1 - r1 * r1) AS l32 FROM lo), ch AS (SELECT *, sqrt(greatest(1 - r2 * r2 - l32 * l32, 0)) AS l33, least >= -1e-8 AS valid FROM l2)"""
 
 #: The same by slot and cell.
-_SLOT_DRIVER = _DRIVER.replace("st AS (SELECT cy, cx,", "st AS (SELECT slot, cy, cx,").replace("GROUP BY cy, cx)", "GROUP BY slot, cy, cx)")
+_SLOT_DRIVER = _DRIVER.replace("st AS (SELECT cy, cx,", "st AS (SELECT slot, cy, cx,").replace("GROUP BY cy, cx)", "GROUP BY slot, cy, cx)").replace("WHERE n >= 2 AND", f"WHERE n >= {LEAST_ROWS} AND")
 # The projector on the least eigenvalue's vector is (R - a)(R - b) / ((c - a)(c - b)), a and b being the other eigenvalues.
 _NEAREST = f"""{_SLOT_DRIVER}, mx AS (SELECT slot, cy, cx, r1, r2, -r3 AS r3 FROM rr), e0 AS (SELECT *, (r1 * r1 + r2 * r2 + r3 * r3) / 3 AS pp FROM mx),
 e1 AS (SELECT *, acos(CASE WHEN pp > 0 THEN least(greatest(r1 * r2 * r3 / pow(pp, 1.5), -1), 1) ELSE 0 END) / 3 AS ph FROM e0),
