@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from dewfall.llm.common import written
 
-#: Vectors of a shard: a task holds one shard and a batch of queries.
-SHARD = 40_000
+#: Vectors of a shard where that keeps all cores busy, and bytes of a larger table's shards: a task holds one shard, about three times over, and a batch of queries.
+SHARD, SHARD_BYTES = 40_000, 1 << 26
 #: Vectors that are scored at once.
 RUN = 1_024
 FOUND = "query_id long, vec_id long, score long"
@@ -100,6 +100,13 @@ class Shard:
         return ids, scores
 
 
+def shard_count(rows: int, components: int, cores: int) -> int:
+    """Shards of SHARD_BYTES; where those are fewer than the cores, of SHARD vectors, up to one for each core.
+
+    Every query visits every shard and brings k rows back, so few large shards move least, while a shard is what a task must hold."""
+    return max(1, -(-8 * components // SHARD_BYTES), min(cores, -(-rows // SHARD)))
+
+
 def matrix(vecs: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(vecs.to_pylist()), "<f8").reshape(len(vecs), -1)
 
@@ -155,11 +162,11 @@ def search(df: DataFrame, is_query: Column, k: int = 10, factor: float = 1024.0)
     Needs vec_id and embedding. Vectors that are null or hold null or non-finite components, and rows without vec_id, take no part. Only
     vectors of the query's dimension are candidates. Rows with the query's vec_id are its own; a query that repeats
     with the same vector is asked once. Equal scores go to the smaller vec_id. Fewer than k candidates give
-    all. A score beyond 64 bits raises an error. Vectors go to their shard, about SHARD of them, once; queries are copied to every shard, where
+    all. A score beyond 64 bits raises an error. Vectors go to their shard (shard_count) once; queries are copied to every shard, where
     they are asked batch by batch."""
     rows = written(scaled(df, factor), "scaled")
     asked = rows.where(is_query).dropDuplicates(["vec_id", "vec"])
-    shards = max(1, -(-rows.count() // SHARD))
+    shards = shard_count(*rows.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first(), df.sparkSession.sparkContext.defaultParallelism)
     left = rows.withColumns({"shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"), "tag": F.lit(0)})
     right = asked.withColumns({"shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1))), "tag": F.lit(1)})
     keys = ["dim", "shard"]

@@ -483,7 +483,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-FEATURED = "toxic int, features binary, n_words long, words string"
+FEATURED = "doc_id {}, rank long, toxic int, features binary, n_words long, words string"
 
 
 def lexicon(texts: list[str], odds: np.ndarray) -> frozenset[str]:
@@ -496,23 +496,28 @@ def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray, toxic_rows: int
     """The model from documents with a label that aren't held out; the driver sees feature numbers of the sample alone."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     picked = hash_sample(known.where("toxic = 1"), toxic_rows, "doc_id").unionByName(hash_sample(known.where("toxic = 0"), clean_rows, "doc_id"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked.dropDuplicates(["doc_id"])), "doc_id").select("toxic", "text")
+    # an id that is labelled both ways is toxic
+    picked = picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.xxhash64("text").alias("rank"), "toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Featurizer(costs)
-        for batch in chunks(batches, 1):
-            toxic, texts = (c.to_pylist() for c in batch.columns)
+        for batch in chunks(batches, 3):
+            toxic, texts = (c.to_pylist() for c in batch.columns[2:])
             doc, feature, n_words = features(texts)
             key = np.unique(doc * FEATURES + feature)
             at = np.searchsorted(key, np.arange(len(texts) + 1) * FEATURES)
             x = [(key[p:q] % FEATURES).astype(np.int32).tobytes() for p, q in zip(at[:-1], at[1:], strict=True)]
-            words = [" ".join(set(_PIECES.findall((t or "").lower()))) if y else "" for y, t in zip(toxic, texts, strict=True)]
+            words = [" ".join(sorted(set(_PIECES.findall((t or "").lower())))) if y else "" for y, t in zip(toxic, texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int32()), pa.array(x, pa.binary()), pa.array(n_words, pa.int64()), pa.array(words, pa.string())], names=["toxic", "features", "n_words", "words"]
+                [*batch.columns[:2], batch.column(2).cast(pa.int32()), pa.array(x, pa.binary()), pa.array(n_words, pa.int64()), pa.array(words, pa.string())],
+                names=["doc_id", "rank", "toxic", "features", "n_words", "words"],
             )
 
-    # repeated ids bring further rows, so the sample is bounded by a limit as well
-    rows = texts.mapInArrow(run, FEATURED).limit(4 * (toxic_rows + clean_rows)).collect()
+    # of the texts of a repeated id the one whose hash comes first is learnt from, so rows are as many as ids that were picked
+    found = texts.mapInArrow(run, FEATURED.format(docs.schema["doc_id"].dataType.simpleString()))
+    first = found.groupBy("doc_id").agg(F.min(F.struct("rank", "toxic", "features", "n_words", "words")).alias("row"))
+    rows = first.select("row.*").collect()
     model = fit(sorted((r.toxic, bytes(r.features), r.n_words) for r in rows))
     model.lexicon = lexicon([r.words for r in rows], model.odds)
     return model

@@ -21,7 +21,7 @@ TOKEN = re.compile(r"[a-z0-9]+")
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern runs (re.search) on host, a zero character, and path; tokens are literals that each match must hold."""
+    """pattern runs (re.search) on host, `#` (which neither part can hold), and path; tokens are literals that each match must hold."""
 
     name: str
     action: str
@@ -35,7 +35,7 @@ def prefix_rule(action: str, rule: str) -> Rule:
     """`host/path`: holds for the host, its subdomains, and paths that start with the given path."""
     host, slash, path = rule.partition("/")
     host = host.lower()
-    pattern = r"\A(?:[^\0]*\.)?" + re.escape(host) + re.escape("\0" + slash + path)
+    pattern = r"\A(?:[^#]*\.)?" + re.escape(f"{host}#{slash}{path}")
     whole = path[: path.rfind("/") + 1]  # the last piece of a path may be part of a longer token
     return Rule(rule, action, pattern, tuple(dict.fromkeys(TOKEN.findall(host) + TOKEN.findall(whole.lower()))), len(host) + len(path) + 1)
 
@@ -43,7 +43,7 @@ def prefix_rule(action: str, rule: str) -> Rule:
 def word_rule(action: str, word: str) -> Rule:
     """Blocks or allows URLs that hold all pieces of `word` side by side, as whole tokens."""
     pieces = TOKEN.findall(word.lower())
-    pattern = r"(?i)(?<![a-z0-9])" + r"[^a-z0-9/\0]".join(map(re.escape, pieces)) + r"(?![a-z0-9])"
+    pattern = r"(?i)(?<![a-z0-9])" + r"[^a-z0-9/#]".join(map(re.escape, pieces)) + r"(?![a-z0-9])"
     return Rule(word, action, pattern, tuple(pieces), 0, shown=False)
 
 
@@ -118,7 +118,7 @@ def judge(urls: DataFrame, rules: Sequence[Rule] = SITE_RULES + WORD_RULES, defa
         for batch in batches:
             names, verdicts = [], []
             for host, path in zip(batch.column(h).to_pylist(), batch.column(p).to_pylist(), strict=True):
-                both = f"{host}\0{path}"
+                both = f"{host}#{path}"
                 best = None
                 if host or path:
                     for token in {"", *TOKEN.findall(both.lower())}:

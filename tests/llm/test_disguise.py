@@ -132,3 +132,15 @@ def test_letters_alone_as_the_decoder_reads_them():
     restore = restorer()
     for word in ("hello", "stuupid", "stuuupid", "aass", "moon", "llaannddd", "ssaid", "will", "wwiilll"):
         assert restore.shortened(word) == restore.decode(word)
+
+
+def test_repeated_ids_train_one_model(spark):
+    rows = [(i, f"you stupid idiot number {i}" if i % 2 else f"the moon over hill {i} was bright") for i in range(60)]
+    again = [(i, f"{t} {k} times") for i, t in rows for k in range(12)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 0), (3, 1)], "doc_id long, toxic int")
+    costs = toxicity.trigram_costs(np.ones(toxicity.SIZE**3))
+    for few in (100, 5):
+        models = [
+            toxicity.train(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels, costs, few, few) for r, n in ((again, 2), (again[::-1], 5))
+        ]
+        assert (models[0].odds == models[1].odds).all() and (models[0].weights == models[1].weights).all() and models[0].lexicon == models[1].lexicon

@@ -189,10 +189,11 @@ def test_toxicity_separates_held_out_rows(spark):
 
 
 def test_hosts_with_odd_characters(spark):
-    urls = ["http://a\nb.net/x", "http://NET", "http://net/", "ftp://x.example.com/de/?q", None, "no scheme", "http://", "http://example.net/en", "http://\0.org/fr/a", "http://a.org/fr/a"]
+    urls = ["http://a\nb.net/x", "http://NET", "http://net/", "ftp://x.example.com/de/?q", None, "no scheme", "http://", "http://example.net/en", "http://\0.org/fr/a", "http://a.org/fr/a", "http://a\0b.net/casino"]
     got = {r.url: (r.rule, r.verdict) for r in urlrules.judge(spark.createDataFrame([(u, "r") for u in [*urls, urls[2]]], "url string, rule string")).collect()}
     assert got["http://a\nb.net/x"] == ("net/", "block") and got["http://net/"] == ("net/", "block") and got["http://NET"] == (None, "allow")
     assert got["ftp://x.example.com/de/?q"] == ("example.com/de/", "block") and got["http://example.net/en"] == ("net/", "block")
+    assert got["http://\0.org/fr/a"] == ("org/fr/", "allow") and got["http://a\0b.net/casino"] == ("net/", "block")
     assert got["http://a.org/fr/a"] == ("org/fr/", "allow") and got[None] == (None, "allow") and got["http://"] == (None, "allow")
     assert urlrules.judge(spark.createDataFrame([], "url string")).collect() == []
 
@@ -350,6 +351,11 @@ def test_top_k_ties_odd_rows_and_huge_values(spark):
     assert topk.search(df.where("vec_id < 0"), F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_shards_by_bytes_and_cores():
+    assert topk.shard_count(0, 0, 8) == 1 and topk.shard_count(100_000, 6_400_000, 8) == 3
+    assert topk.shard_count(1_000_000, 64_000_000, 8) == 8 and topk.shard_count(10**9, 64 * 10**9, 8) == 7_630
+
+
 def test_bounds_leave_work_out():
     """Vectors with a few large components: most products are never formed, and the result is that of brute force."""
     rng = np.random.default_rng(5)
