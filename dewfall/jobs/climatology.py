@@ -31,6 +31,19 @@ def moments_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return level_states(spark, sf_dir).select(*CELL, "level_bin", "variable", "n", *moments.scale_free(), *moments.shown_sums())
 
 
+def shared_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of all variables over the rows that have all four (P8), and how many more rows each has by itself."""
+    df = moist(spark, sf_dir)
+    whole = F.lit(True)
+    for v in VARIABLES:
+        whole = whole & F.col(v).isNotNull()
+    kept = df.select(*CELL, *VARIABLES, *(F.when(whole, F.col(v)).alias(f"{v}_kept") for v in VARIABLES))
+    # one pass: a state of each variable under the mask beside the count without it
+    states = [F.struct(*moments.moment_state(f"{v}_kept"), F.count(v).alias("n_own")).alias(v) for v in VARIABLES]
+    rows = moments.stacked(kept.groupBy(*CELL).agg(*states), CELL, VARIABLES)
+    return rows.select(*CELL, "variable", "n", "missing", (F.col("n_own") - F.col("n")).alias("left_out"), *moments.scale_free(), *moments.shown_sums())
+
+
 def level_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States of all variables at the three levels: hours are aggregated once, coarser levels merged from them."""
     wide = moist(spark, sf_dir).groupBy(*CELL, "h").agg(*moments.wide_states(VARIABLES))

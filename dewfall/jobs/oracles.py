@@ -50,6 +50,9 @@ _HOURS = "hours AS (SELECT event_type, date_trunc('hour', ts) AS hour, avg(value
 SQL: dict[str, str] = {
     "moments_l1": f"WITH {_MOIST}, {_central('slot, cy, cx', 'rh', 'moist')} SELECT slot, cy, cx, n, missing, {_SHOWN.format(100.0)} FROM st",
     "moments_levels": f"{_LEVELS} SELECT slot, cy, cx, level_bin, variable, n, {_SHOWN.format(_UNIT)} FROM st WHERE n > 0",
+    "shared_mask": f"""WITH {_MOIST}{LONG}, sh AS (SELECT slot, cy, cx, variable, x, CASE WHEN rh IS NOT NULL AND e IS NOT NULL AND r IS NOT NULL AND q IS NOT NULL THEN x END AS y FROM long),
+{_central('slot, cy, cx, variable', 'y', 'sh')}, own AS (SELECT slot, cy, cx, variable, count(x) - count(y) AS left_out FROM sh GROUP BY ALL)
+SELECT slot, cy, cx, variable, n, missing, left_out, {_SHOWN.format(_UNIT)} FROM st JOIN own USING (slot, cy, cx, variable)""",
     "decades_merged": f"""WITH {_MOIST}{LONG} SELECT slot, cy, cx, variable, count(x) AS n, round(avg(x), 9) + 0 AS mean, round(stddev_samp(x), 9) + 0 AS std,
   CASE WHEN count(x) >= 3 AND max(x) - min(x) > 1e-9 * abs(max(x)) THEN round(skewness(x), 6) + 0 END AS skew, CASE WHEN count(x) >= 4 AND max(x) - min(x) > 1e-9 * abs(max(x)) THEN round(kurtosis(x), 6) + 0 END AS kurt
   FROM long GROUP BY ALL HAVING count(x) > 0""",

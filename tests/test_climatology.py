@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dewfall.functions import calendar, physics
-from dewfall.jobs import catalog
+from dewfall.jobs import catalog, climatology
 from dewfall.operators import moments, windows
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +71,17 @@ def test_histogram_edges(spark):
 def test_average_rank_ties(spark):
     df = spark.createDataFrame([(1, 5.0), (1, 5.0), (1, 7.0), (1, None)], "g int, x double")
     assert sorted(r.rank_avg for r in windows.average_rank(df, ["g"], "x").collect()) == [1.5, 1.5, 3.0]
+
+
+def test_shared_mask_by_hand(spark, monkeypatch):
+    """Four hours: one lacks its dew point, one its pressure, one is infinite; a cell without any whole row."""
+    day = datetime.date(1996, 3, 1)
+    rows = [(0, 0, day, h, t, td, p) for h, (t, td, p) in enumerate([(20.0, 10.0, 1000.0), (21.0, None, 1000.0), (22.0, 12.0, None), (float("inf"), 13.0, 1000.0), (24.0, 14.0, 990.0)])]
+    rows += [(1, 0, day, 0, 20.0, 10.0, None)]
+    obs = spark.createDataFrame(rows, "cy int, cx int, d date, h int, t double, td double, p double")
+    monkeypatch.setattr(climatology, "observations", lambda *_: obs)
+    got = {(r.cy, r.variable): r for r in climatology.shared_mask(spark, "").collect()}
+    assert {k: (r.n, r.missing, r.left_out) for k, r in got.items() if k[0] == 0} == {(0, "rh"): (2, 3, 1), (0, "e"): (2, 3, 2), (0, "r"): (2, 3, 1), (0, "q"): (2, 3, 1)}
+    assert got[1, "rh"].n == 0 and got[1, "rh"].left_out == 1 and got[1, "rh"].mean is None and got[1, "q"].left_out == 0
+    both = spark.createDataFrame([(10.0,), (14.0,)], "td double").select(F.avg(physics.saturation_vapor_pressure(F.col("td")))).first()[0]
+    assert got[0, "e"].mean == pytest.approx(both, abs=1e-8)
