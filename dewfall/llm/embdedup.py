@@ -1,8 +1,9 @@
 """Near-duplicate embeddings by random-hyperplane signs.
 
 Each of several tables hashes a vector to the signs of its products with k random directions; equal
-codes meet, and the exact cosine decides. Small buckets are worked on together, pair by pair in arrays; large ones are cut into
-blocks of bounded size and compared block against block, by matrix products. What leaves a task are counts and a spanning forest of its links,
+codes meet. A first pass deals out ids with a sketch, 128 more signs, and keeps the members of a bucket whose sketch
+is near another's there; vectors follow for these alone, and the exact cosine decides. Small buckets are worked on together, pair by pair in arrays; large ones are cut into
+blocks of bounded size and compared block against block, by matrices. What leaves a task are members, counts and a spanning forest of its links,
 never the links themselves, so its output grows with its rows; a pair that meets in several tables
 counts in the first alone.
 """
@@ -10,7 +11,7 @@ counts in the first alone.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,9 @@ from pyspark.sql.types import ArrayType, FloatType
 from dewfall.llm.common import components, drop_written, split_join, whole_groups, written
 from dewfall.llm.textcodes import mixed
 
-#: Greatest chance that a pair at the threshold shares no table.
-MISS = 1e-3
+#: Greatest chance that a pair at the threshold shares no table, and that its sketches differ too much.
+MISS, SKETCH_MISS = 1e-3, 1e-7
+SKETCH_BITS = 128
 BLOCK = 1_000
 #: Members up to which a bucket is worked on with others.
 SMALL = 48
@@ -38,8 +40,18 @@ def table_shape(rows: int, least: float, miss: float = MISS) -> tuple[int, int]:
     return bits, math.ceil(math.log(miss) / math.log1p(-one))
 
 
-def planes(dim: int, bits: int, tables: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64([20240301, dim])).standard_normal((dim, tables * bits))
+def sketch_bound(least: float, miss: float = SKETCH_MISS) -> int:
+    """Bits of SKETCH_BITS that the sketches of a pair at the threshold exceed in differing with a chance of `miss` at most."""
+    p = min(1.0, max(0.0, math.acos(least) / math.pi))
+    below, bits = 0.0, -1
+    while bits < SKETCH_BITS and below < 1 - miss:
+        bits += 1
+        below += math.comb(SKETCH_BITS, bits) * p**bits * (1 - p) ** (SKETCH_BITS - bits)
+    return bits
+
+
+def planes(dim: int, directions: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64([20240301, dim])).standard_normal((dim, directions))
 
 
 def component_type(df: DataFrame) -> str:
@@ -75,7 +87,7 @@ def _by_length(vecs: list[bytes], kind: str) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def coded(reps: DataFrame, bits: int, tables: int, kind: str) -> DataFrame:
-    """reps(vec_id, vec, copies) with codes: a number for each table, in bytes; and keys, their hashes."""
+    """reps(vec_id, vec, copies) with codes: a number for each table, in bytes; keys, their hashes; and a sketch, as two numbers."""
     code = "<i4" if bits < 31 else "<i8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,22 +97,30 @@ def coded(reps: DataFrame, bits: int, tables: int, kind: str) -> DataFrame:
         for batch in batches:
             codes = np.zeros((batch.num_rows, tables), "i8")
             keys = np.zeros((batch.num_rows, tables), np.uint64)
+            sketch = np.zeros((batch.num_rows, SKETCH_BITS // 64), "i8")
             for rows, x in _by_length(batch.column(1).to_pylist(), kind):
                 dim = x.shape[1]
                 if dim not in by_dim:
-                    by_dim[dim] = planes(dim, bits, tables)
-                codes[rows] = ((x @ by_dim[dim]).reshape(len(x), tables, bits) > 0) @ weights
+                    by_dim[dim] = planes(dim, tables * bits + SKETCH_BITS)
+                signs = x @ by_dim[dim] > 0
+                codes[rows] = signs[:, : tables * bits].reshape(len(x), tables, bits) @ weights
+                sketch[rows] = np.packbits(signs[:, tables * bits :], axis=1).view("i8")
                 with np.errstate(over="ignore"):
                     keys[rows] = mixed(codes[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salts + np.uint64(dim))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables), pa.array(keys.view(np.int64).ravel()))
             packed = pa.array([r.tobytes() for r in codes.astype(code)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, packed, lists], names=["vec_id", "vec", "copies", "codes", "keys"])
+            signs_of = [pa.array(np.ascontiguousarray(c)) for c in sketch.T]
+            yield pa.RecordBatch.from_arrays([*batch.columns, packed, lists, *signs_of], names=["vec_id", "vec", "copies", "codes", "keys", "s0", "s1"])
+
+    return reps.select("vec_id", "vec", "copies").mapInArrow(run, "vec_id long, vec binary, copies long, codes binary, keys array<long>, s0 long, s1 long")
 
-    return reps.select("vec_id", "vec", "copies").mapInArrow(run, "vec_id long, vec binary, copies long, codes binary, keys array<long>")
 
+def near_pairs(
+    group: np.ndarray, side: np.ndarray | None, pairs: Callable[[np.ndarray, np.ndarray], np.ndarray], block: Callable[[int, int], np.ndarray]
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near rows (a < b) of one group; rows of a group stand together. side: only pairs of different sides.
 
-def near_pairs(x: np.ndarray, group: np.ndarray, side: np.ndarray | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (a < b) of one group with product `least` at least; rows of a group stand together. side: only pairs of different sides."""
+    pairs(a, b) tells which of these rows are near, block(lo, hi) does so for all rows of a range as a matrix."""
     edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
     size = np.diff(edges)
     small = np.repeat(size <= SMALL, size)
@@ -113,30 +133,49 @@ def near_pairs(x: np.ndarray, group: np.ndarray, side: np.ndarray | None, least:
         n = after[lo:hi]
         a = np.repeat(np.arange(lo, hi), n)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-        good = np.einsum("ij,ij->i", x[a], x[b]) >= least
+        good = pairs(a, b)
         if side is not None:
             good &= side[a] != side[b]
         yield a[good], b[good]
     for g in np.flatnonzero(size > SMALL).tolist():
         lo, hi = edges[g], edges[g + 1]
-        near = np.triu(x[lo:hi] @ x[lo:hi].T >= least, 1)
+        near = np.triu(block(lo, hi), 1)
         if side is not None:
             near &= side[lo:hi, None] != side[None, lo:hi]
         a, b = np.nonzero(near)
         yield a + lo, b + lo
 
 
+def bucket_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the bucket, side, whether only different sides are compared) of rows sorted by bucket."""
+    column = lambda n: batch.column(n).to_numpy(zero_copy_only=False)
+    bucket = np.stack([column(c) for c in ("t", "key", "i", "j")])
+    return np.cumsum(np.r_[0, (bucket[:, 1:] != bucket[:, :-1]).any(axis=0)]), column("side"), column("i") != column("j")
+
+
+def likely(batch: pa.RecordBatch, most: int) -> pa.RecordBatch:
+    """The members of whole buckets, sorted by bucket, whose sketch differs from another's there in `most` bits at most."""
+    group, side, apart = bucket_of(batch)
+    halves = [batch.column(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in ("s0", "s1")]
+    kept = np.zeros(batch.num_rows, bool)
+    for own, sides in ((np.flatnonzero(~apart), None), (np.flatnonzero(apart), side[apart])):
+        s = [h[own] for h in halves]
+        pairs = lambda a, b, s=s: sum(np.bitwise_count(h[a] ^ h[b]) for h in s) <= most
+        block = lambda lo, hi, s=s: sum(np.bitwise_count(h[lo:hi, None] ^ h[None, lo:hi]) for h in s) <= most
+        for a, b in near_pairs(group[own], sides, pairs, block) if len(own) else ():
+            kept[own[a]] = kept[own[b]] = True
+    return batch.filter(pa.array(kept))
+
+
 def links_of(batch: pa.RecordBatch, least: float, kind: str, code: str) -> list[np.ndarray]:
     """[vec_id, links, root] of the members of whole buckets, sorted by bucket and vec_id, that have a link not met in an earlier table."""
     column = lambda n: batch.column(n).to_numpy(zero_copy_only=False)
-    ids, copies, table, side = column("vec_id"), column("copies"), column("t"), column("side")
-    bucket = np.stack([column(c) for c in ("t", "key", "i", "j")])
-    group = np.cumsum(np.r_[0, (bucket[:, 1:] != bucket[:, :-1]).any(axis=0)])
+    ids, copies, table = column("vec_id"), column("copies"), column("t")
+    group, side, apart = bucket_of(batch)
     codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), code).reshape(len(ids), -1)
     earlier = np.arange(codes.shape[1])
     links, root, hit = np.zeros(len(ids), np.int64), np.arange(len(ids)), np.zeros(len(ids), bool)
     left, right = [], []
-    apart = column("i") != column("j")
     for rows, x in _by_length(batch.column("vec").to_pylist(), kind):  # vectors of different dimensions never link
         x /= np.abs(x).max(axis=1, keepdims=True)  # keeps squares of extreme values finite
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -144,7 +183,10 @@ def links_of(batch: pa.RecordBatch, least: float, kind: str, code: str) -> list[
             own = rows[both]
             if not len(own):
                 continue
-            for a, b in near_pairs(x[both], group[own], sides, least):
+            y = x[both]
+            pairs = lambda a, b, y=y: np.einsum("ij,ij->i", y[a], y[b]) >= least
+            block = lambda lo, hi, y=y: y[lo:hi] @ y[lo:hi].T >= least
+            for a, b in near_pairs(group[own], sides, pairs, block):
                 for at in range(0, len(a), PAIRS):
                     p, q = own[a[at : at + PAIRS]], own[b[at : at + PAIRS]]
                     met = ((codes[p] == codes[q]) & (earlier < table[p][:, None])).any(axis=1)
@@ -179,27 +221,35 @@ def linked(df: DataFrame, least: float = 0.95, miss: float = MISS) -> DataFrame:
     first = real.join(sets.select("same", F.col("rep").alias("vec_id"), "copies"), ["same", "vec_id"]).dropDuplicates(["same"])
     bits, tables = table_shape(max(1, sets.count()), least, miss)
     codes = written(coded(first, bits, tables, kind), "codes")
-    keys = codes.select("vec_id", F.posexplode("keys").alias("t", "key"))
+    keys = codes.select("vec_id", "s0", "s1", F.posexplode("keys").alias("t", "key"))
     shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     met = split_join(keys, shared, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     side = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
     dealt = met.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
         {"i": F.least("side", "other"), "j": F.greatest("side", "other")}
     )
-    members = dealt.join(codes.select("vec_id", "vec", "copies", "codes"), "vec_id").select("t", "key", "i", "j", "side", "vec_id", "vec", "copies", "codes")
+    bucket, most = ["t", "key", "i", "j"], sketch_bound(least)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, *bucket):
+            yield likely(batch, most).select([*bucket, "side", "vec_id"])
+
+    sketches = dealt.select(*bucket, "side", "vec_id", "s0", "s1").repartition(*bucket[1:]).sortWithinPartitions(*bucket)
+    sifted = written(sketches.mapInArrow(sift, "t int, key long, i int, j int, side int, vec_id long"), "sifted")
+    members = sifted.join(codes.select("vec_id", "vec", "copies", "codes"), "vec_id").select(*bucket, "side", "vec_id", "vec", "copies", "codes")
     code = "<i4" if bits < 31 else "<i8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in whole_groups(batches, "t", "key", "i", "j"):
+        for batch in whole_groups(batches, *bucket):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in links_of(batch, least, kind, code)], names=["vec_id", "links", "root"])
 
-    sorted_ = members.repartition("key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "vec_id")
+    sorted_ = members.repartition(*bucket[1:]).sortWithinPartitions(*bucket, "vec_id")
     found = written(sorted_.mapInArrow(run, "vec_id long, links long, root long"), "links")
     labels = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("links"))
     own = sets.join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     told = written(own.select("same", "rep", "copies", "links", "component"), "told")
-    drop_written(codes, shared, found)
+    drop_written(codes, shared, sifted, found)
     out = split_join(real.select("vec_id", "same"), told, "same", "copies")
     links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
     whole = out.select("vec_id", links.cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

@@ -1,10 +1,12 @@
 """Brute force, ties, odd rows and planted cases of the operators, one by one."""
 
 import itertools
+import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -337,6 +339,31 @@ def test_vectors_in_large_buckets_and_odd_rows(spark, monkeypatch):
     assert embdedup.linked(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_sketches_keep_near_members_and_drop_others():
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(400, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    across = rng.normal(size=base.shape)
+    across -= (across * base).sum(axis=1, keepdims=True) * base
+    across /= np.linalg.norm(across, axis=1, keepdims=True)
+    x = np.concatenate([0.95 * base + math.sqrt(1 - 0.95**2) * across, base])  # cosine 0.95 between k and 400 + k
+    signs = np.packbits(x @ embdedup.planes(64, embdedup.SKETCH_BITS) > 0, axis=1).view("i8")
+
+    def sifted(key, i, j, side):
+        columns = {"t": np.zeros(800, "i4"), "key": key, "i": i, "j": j, "side": side, "vec_id": np.arange(800), "s0": signs[:, 0], "s1": signs[:, 1]}
+        order = np.lexsort((columns["j"], columns["i"], key))
+        batch = pa.RecordBatch.from_pydict({n: np.ascontiguousarray(c[order]) for n, c in columns.items()})
+        return set(embdedup.likely(batch, embdedup.sketch_bound(0.95)).column("vec_id").to_pylist())
+
+    every, none = np.arange(800), np.zeros(800, "i8")
+    assert sifted(every % 400, none, none, none) == set(range(800))  # pairs
+    assert sifted(none, none, none, none) == set(range(800))  # one large bucket, compared as a matrix
+    assert sifted(none, none, none + 1, every // 400) == set(range(800))  # the two sides of a block
+    assert len(sifted(none, none, none + 1, every % 2)) < 40  # partners are on one side: of 160,000 strange pairs few look near
+    assert len(sifted((every + every // 400) % 400, none, none, none)) < 4  # strangers share the buckets
+    assert embdedup.sketch_bound(1.0) == 0 and 13 < embdedup.sketch_bound(0.95) < embdedup.sketch_bound(0.5) < 128
+
+
 def test_top_k_ties_odd_rows_and_huge_values(spark):
     rows = [(k, [1.0, float(k % 3)], "s") for k in range(0, 40, 4)] + [(100, [1.0, 1.0], "s"), (100, [1.0, 1.0], "s"), (7, None, "s"), (9, [float("inf"), 1.0], "s"), (11, [None, 1.0], "s"), (None, [9.0, 9.0], "s"), (13, [1.0], "s"), (200, [], "s")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
