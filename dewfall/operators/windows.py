@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Ranges that the values of a group are cut into, so that no group is ranked in one task.
 PARTS = 64
+#: Values of a group that its ranges are cut by, about.
+CUT_BY = 4_000
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
@@ -20,10 +22,14 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: str, value: str) -> Da
 def running(counts: DataFrame, keys: Sequence[str], value: str, weight: str, parts: int = PARTS) -> DataFrame:
     """counts with upto, the sum of weight over rows of the group with at most this value, and n, the sum of the whole group.
 
-    One row for each value of a group. Approximate quantiles cut the group into ranges; ranges are summed, the few sums added up, and
-    rows only within their range. Keys are not null."""
-    cuts = counts.groupBy(*keys).agg(F.approx_percentile(value, F.array(*(F.lit(k / parts) for k in range(1, parts))), F.lit(1_000)).alias("_cuts"))
-    ranged = counts.join(cuts, list(keys)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    One row for each value of a group. Quantiles of values picked by hash cut the group into ranges; ranges are summed, the few sums added up, and
+    rows only within their range. Spark works the cuts out more than once, so they must not depend on the order in which rows arrive, as those of
+    approx_percentile do. Keys are not null."""
+    sizes = counts.groupBy(*keys).agg(F.count("*").alias("_size"))
+    few = counts.join(sizes, list(keys)).where(F.pmod(F.xxhash64(value), F.lit(1 << 30)) * F.col("_size") < F.lit(CUT_BY << 30))
+    cuts = few.groupBy(*keys).agg(F.percentile(value, F.array(*(F.lit(k / parts) for k in range(1, parts)))).alias("_cuts"))
+    place = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))
+    ranged = counts.join(cuts, list(keys), "left").withColumn("_range", place).drop("_cuts")
     sums = ranged.groupBy(*keys, "_range").agg(F.sum(weight).alias("_sum"))  # at most `parts` rows for each group
     group = Window.partitionBy(*keys)
     below = F.coalesce(F.sum("_sum").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

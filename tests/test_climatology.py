@@ -73,6 +73,22 @@ def test_average_rank_ties(spark):
     assert sorted(r.rank_avg for r in windows.average_rank(df, ["g"], "x").collect()) == [1.5, 1.5, 3.0]
 
 
+def test_ranks_hold_whatever_order_rows_arrive_in(spark):
+    """Every time the rows are read they come in another order, as rows of a shuffle do on several machines."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.take(random.SystemRandom().sample(range(batch.num_rows), batch.num_rows))
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.range(600_000, numPartitions=8).selectExpr("1 as g", "cast(id * id as double) as x").mapInArrow(run, "g int, x double")
+        wrong = windows.average_rank(df, ["g"], "x").where("rank_avg <> round(sqrt(x)) + 1 or n <> 600000").count()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert wrong == 0
+
+
 def test_shared_mask_by_hand(spark, monkeypatch):
     """Four hours: one lacks its dew point, one its pressure, one is infinite; a cell without any whole row."""
     day = datetime.date(1996, 3, 1)
