@@ -11,8 +11,8 @@ the full shingle sets.
 A band key never yields all its pairs. Copies with equal sets are one node. In each round a document meets one
 partner: of the leaders of its keys, outside its component, the one that leads most of them. Linked documents become one component, and a key
 stays open only while it spans several. What is still open after the rounds meets inside blocks of
-bounded size: sketches tell the likely pairs there, full sets confirm them, and a block returns no more than a spanning forest of its components. Members of a key
-that fills very many blocks first meet again under pairs of keys.
+bounded size: sketches tell the likely pairs there, full sets confirm them, and a block returns no more than a spanning forest of its components. Members of keys
+that fill very many blocks meet under shingles instead: each under so many of its rarest ones that sets which reach the threshold share one.
 """
 
 from __future__ import annotations
@@ -38,8 +38,10 @@ SLACK = 4.5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 #: Bytes of the sketch by which members of a block are compared: the low bits of all registers.
 SKETCH = REGISTERS
 SKETCH_SLACK = 4.5 * (0.75 * 0.25 / SKETCH) ** 0.5
-#: Members of a key that one block holds, and blocks up to which each is compared with each.
+#: Members of a key that one block holds, and blocks up to which a key's members meet under that key.
 BLOCK, BLOCKS = 512, 16
+#: Documents in which frequent shingles are counted, and how many of these are known; they decide the sizes of groups, never what meets.
+COMMON_DOCS, COMMON = 2_000, 100_000
 #: Rounds in which each document meets one partner.
 MEETINGS = 3
 
@@ -232,8 +234,38 @@ def dealt(members: DataFrame) -> DataFrame:
     return spread.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other", "blocks")
 
 
-def _key_of(*parts: str) -> F.Column:
-    return F.xxhash64(F.least(*parts), F.greatest(*parts))
+def rare_first(values: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of a set under which it meets every set that it reaches `percent` with.
+
+    values are the set's, sorted; common lists shingles from the rarest to the most frequent. All sets are put in one order, in which common shingles come last.
+    Sets of size n and m that reach the threshold share at least percent of n, and of m, so the first shingle that they share stands
+    among the first n - ceil(percent of n) + 1 of the one and as far up in the other. That holds for any order: common only keeps groups small."""
+    by_value = np.argsort(common)
+    at = np.minimum(np.searchsorted(common, values, sorter=by_value), max(len(common) - 1, 0))
+    place = np.where(common[by_value[at]] == values, by_value[at], -1) if len(common) else np.full(len(values), -1)
+    return values[np.argsort(place, kind="stable")[: len(values) - -(-percent * len(values) // 100) + 1]]
+
+
+def meeting_shingles(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(key, doc_id): every one of n texts under each of its rare_first shingles. texts is read twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, 1):
+            values, bounds = shingle_sets(batch.column(1))
+            few = [rare_first(values[a:b], common, percent) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            owners = np.repeat(batch.column(0).to_numpy(), [len(x) for x in few])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(few).view(np.int64)), pa.array(owners)], names=["key", "doc_id"])
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, 1):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(batch.column(1))[0].view(np.int64))], names=["key"])
+
+    texts = texts.select(F.col("doc_id").cast("long"), "text")
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(n, 1))) < COMMON_DOCS)
+    counted = sample.mapInArrow(seen, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    frequent = counted.orderBy(F.desc("n"), "key").limit(COMMON).collect()
+    common = np.array([r.key for r in reversed(frequent)], np.int64).view(np.uint64)
+    return texts.mapInArrow(run, "key long, doc_id long")
 
 
 class Search:
@@ -288,14 +320,13 @@ class Search:
         small = members.where(F.col("n") <= wide).select("key", "doc_id", "comp", "n")
         spent = [named, spans, members]
         if not spans.where(F.col("n") > wide).isEmpty():
-            # members of a very large key meet again under pairs of keys: similar ones share about a quarter of them
-            large = members.where(F.col("n") > wide).select("key", "doc_id", "comp")
-            others = self.buckets.join(large.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("key").alias("other"))
-            again = written(large.join(others, "doc_id").where("key <> other").select(_key_of("key", "other").alias("key"), "doc_id", "comp").distinct(), "again")
-            twice = again.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-            twice = written(twice.select("key", "n"), "twice")
-            spent += [again, twice]
-            small = small.unionByName(split_join(again, twice, "key").select("key", "doc_id", "comp", "n"))
+            # members of very large keys meet under their rare shingles instead, however many hold one
+            large = written(members.where(F.col("n") > wide).select("doc_id", "comp").distinct(), "large")
+            met = written(meeting_shingles(by_ids(self.texts, large, ["doc_id"]), large.count(), self.percent).distinct().join(large, "doc_id"), "met")
+            spanning = met.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+            spanning = written(spanning.select("key", "n"), "spanning")
+            spent += [large, met, spanning]
+            small = small.unionByName(split_join(met, spanning, "key").select("key", "doc_id", "comp", "n"))
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         spread = dealt(small.withColumn("blocks", blocks).drop("n"))
         held = written(spread.select("doc_id").distinct().join(self.narrow, "doc_id").select("doc_id", "n_shingles", sketched(F.col("regs")).alias("sketch")), "held")

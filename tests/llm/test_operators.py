@@ -309,6 +309,35 @@ def test_planted_near_copies(spark, monkeypatch):
     assert len(set(want.values())) < len(want) - 100
 
 
+@pytest.mark.parametrize("common", [0, 4])
+def test_members_of_a_very_large_key_that_share_no_other(spark, monkeypatch, common):
+    """Near copies whose one common key holds more than its share of blocks; known frequent shingles decide nothing."""
+    for name, value in (("BLOCK", 4), ("BLOCKS", 1), ("COMMON", common)):
+        monkeypatch.setattr(minhash, name, value)
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared, rows = [word() for _ in range(30)], []
+    for k in range(20):
+        own = shared + [word() for _ in range(30)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own[:-1], word()]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = minhash.signatures(docs).withColumn("keys", F.expr("array(7L, 100L + doc_id)"))
+    search = minhash.Search(signed, docs, 75)
+    search.remainder()
+    assert {r.node: r.component for r in search.label.collect()} == jaccard_classes(rows)
+
+
+def test_sets_that_reach_the_threshold_share_a_rare_shingle():
+    rng = np.random.default_rng(29)
+    for _ in range(2_000):
+        n = int(rng.integers(1, 40))
+        both = rng.choice(1_000, n, replace=False)
+        x, y = (np.sort(np.r_[both, rng.choice(np.arange(start, start + 1_000), int(rng.integers(0, n // 5 + 1)), replace=False)]).astype(np.uint64) for start in (1_000, 2_000))
+        if 100 * n >= 75 * (len(x) + len(y) - n):
+            common = rng.permutation(both)[: rng.integers(0, n + 1)].astype(np.uint64)
+            assert len(np.intersect1d(minhash.rare_first(x, common, 75), minhash.rare_first(y, common, 75)))
+
+
 def test_estimate_by_exact_similarity():
     rng = np.random.default_rng(8)
     for n in (6, 40, 2_000):
