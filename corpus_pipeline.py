@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dewfall.llm import minhash, mixing, packing, pii, toxicity
-from dewfall.llm.common import drop_written, table, written
+from dewfall.llm.common import drop_written, small_batches, table, written
 
 
 def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those predicted toxic. A null or empty text stays unless its base-rate score reaches the threshold."""
+    small_batches(spark)
     names = docs.columns
     # Other columns go under neutral names, so that none clashes with those of the scores.
     plain = docs.toDF(*(c if c in ("doc_id", "text") else f"column_{k}" for k, c in enumerate(names)))
@@ -25,11 +26,13 @@ def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with the smallest doc_id of each group of near copies. Rows that repeat a doc_id are one document and stay together."""
+    small_batches(spark)
     return minhash.dedup(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with personal data in text replaced by its kind; no row goes."""
+    small_batches(spark)
     return pii.redact(docs)
 
 
@@ -40,6 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every row of docs, placed in sequences."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +51,10 @@ def _rate(lam: Column, x: Column, cap: float) -> Column:
 
 
 def _per_source(df: DataFrame, values: dict[str | None, float], name: str) -> DataFrame:
-    """df with a column from a small driver-held table (at most MAX_SOURCES rows), joined null-safely."""
-    rows = [(s, float(v)) for s, v in values.items()]
-    small = df.sparkSession.createDataFrame(rows, f"_s string, {name} double")
+    """df with a column from a small driver-held table (at most MAX_SOURCES rows), joined null-safely.
+
+    The table goes over as an Arrow table: from Python rows Spark would make an RDD, for which each executor starts Python processes of its own."""
+    small = df.sparkSession.createDataFrame(pa.table({"_s": pa.array(values.keys(), pa.string()), name: pa.array(map(float, values.values()), pa.float64())}))
     return df.join(F.broadcast(small), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 

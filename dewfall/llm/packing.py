@@ -63,6 +63,38 @@ def parts_words(path: str) -> bool:
     return kind["model"].get("end_of_word_suffix") == "</w>" and (split[0].get("pattern") or {}).get("Regex") == known and kind.get("post_processor") is None
 
 
+class Known:
+    """64-bit hashes, numbered as they come: a long sorted list and a short one for the latest, 12 bytes a hash where a dictionary takes over a hundred."""
+
+    def __init__(self) -> None:
+        self.long = self.short = (np.empty(0, np.uint64), np.empty(0, np.int32))
+
+    def __len__(self) -> int:
+        return len(self.long[0]) + len(self.short[0])
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for those not known."""
+        out = np.full(len(hashes), -1, np.int64)
+        for told, number in (self.long, self.short):
+            if len(told):
+                at = np.minimum(np.searchsorted(told, hashes), len(told) - 1)
+                hit = told[at] == hashes
+                out[hit] = number[at[hit]]
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Sorted hashes, each once and none known yet."""
+        new = (hashes, np.arange(len(self), len(self) + len(hashes), dtype=np.int32))
+        self.short = self._merged(self.short, new)
+        if 8 * len(self.short[0]) > len(self.long[0]):
+            self.long, self.short = self._merged(self.long, self.short), (hashes[:0], new[1][:0])
+
+    @staticmethod
+    def _merged(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(x[0], y[0])
+        return np.insert(x[0], at, y[0]), np.insert(x[1], at, y[1])
+
+
 class Encoder:
     """Token ids of many texts at once.
 
@@ -74,7 +106,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)  # the same model, not a copy; sure pieces hold no special token
         self.apart = parts_words(path)
         # pieces are in lower case and split already
         self.plain.normalizer = normalizers.Sequence([])
@@ -85,11 +118,11 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = Known()
         self.flat, self.used = np.empty(1 << 16, "<u4"), 0
         self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _keep(self, hashes: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _keep(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.known)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
@@ -99,14 +132,14 @@ class Encoder:
         self.start[n : n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + len(sizes)] = sizes
         self.used += len(ids)
-        self.known.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+        self.known.add(hashes)
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.array([len(x) for x in ids], np.int64)
         return np.array([i for x in ids for i in x], "<u4"), sizes
 
-    def _learn(self, hashes: list[int], pieces: str, n: int) -> None:
+    def _learn(self, hashes: np.ndarray, pieces: str, n: int) -> None:
         ids = np.array(self.plain.encode_batch_fast([pieces], add_special_tokens=False)[0].ids, "<u4")
         last = np.flatnonzero(self.ends[ids]) + 1
         if len(last) != n:
@@ -143,20 +176,20 @@ class Encoder:
         hashes = span_hashes(VALUES[letters & 0xFFFF] + (letters >> 16).astype(np.uint64), at, upto)
         hashes[inside[at]] ^= _WHOLE
         distinct, example, place = np.unique(hashes, return_index=True, return_inverse=True)
-        rows = [self.known.get(h, -1) for h in distinct.tolist()]
-        new = np.flatnonzero(np.array(rows, np.int64) < 0)
+        rows = self.known.find(distinct)
+        new = np.flatnonzero(rows < 0)
         if len(new):
             told, show = distinct[new], example[new]
             entire = inside[at[show]]
             for pick in (False, True):
                 a, b = at[show[entire == pick]].tolist(), upto[show[entire == pick]].tolist()
-                text, hashed = [whole[x:y] for x, y in zip(a, b, strict=True)], told[entire == pick].tolist()
+                text, hashed = [whole[x:y] for x, y in zip(a, b, strict=True)], told[entire == pick]
                 if pick and text:
                     self._keep(hashed, *self._encoded(text))
                 elif text:
                     self._learn(hashed, " ".join(text).lower(), len(text))
-            rows = list(map(self.known.__getitem__, distinct.tolist()))
-        own = np.array(rows, np.int64)[place] if len(at) else np.empty(0, np.int64)
+            rows = self.known.find(distinct)
+        own = rows[place]
         sizes = self.size[own]
         total = np.r_[0, np.cumsum(sizes)]
         ids = self.flat[np.repeat(self.start[own] - total[:-1], sizes) + np.arange(total[-1])]

@@ -73,6 +73,15 @@ def test_running_total(spark):
 # ---- mixing ----
 
 
+@pytest.mark.parametrize("values", [{}, {"a": 1, None: math.inf}])
+def test_small_tables_start_no_python(spark, capsys, values):
+    docs = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "doc_id long, source string").localCheckpoint()
+    out = mixing._per_source(docs, values, "v")
+    out.explain()
+    assert capsys.readouterr().out.count("ExistingRDD") == 1  # docs alone
+    assert {r.doc_id: r.v for r in out.collect()} == {1: values.get("a"), 2: values.get(None), 3: None}
+
+
 def test_mixing_ties_and_odd_rows(spark):
     rows = [(k, "w " * 5, "a") for k in range(40)] + [(100 + k, "w " * (k + 1), "b") for k in range(30)] + [(200, None, "c"), (201, "", None), (None, "x y", None), (202, "x y", None), (202, "x y", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -138,6 +147,30 @@ def test_encoder_equals_tokenizer_on_odd_strings():
             assert ids[bounds[k] : bounds[k + 1]].tolist() == encode.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_known_hashes_are_found_and_take_little_memory():
+    rng = np.random.Generator(np.random.PCG64(8))
+    known, told = packing.Known(), {}
+    for n in (0, 1, 5_000, 3, 0, 20_000, 700, 700):
+        hashes = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        known.add(hashes)
+        told.update({h: len(told) + k for k, h in enumerate(hashes.tolist())})
+    asked = np.concatenate([np.array(list(told), np.uint64), rng.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+    assert len(known) == len(told) and known.find(asked).tolist() == [told.get(h, -1) for h in asked.tolist()]
+    assert sum(x.nbytes for x in (*known.long, *known.short)) <= 12 * len(told)
+
+
+def test_packing_does_not_depend_on_arrow_batches(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat('some words ', cast(id % 37 as int)) as text").coalesce(1)
+    whole = sorted(packing.pack(docs, 64).collect())
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "512")
+    try:
+        assert sorted(packing.pack(docs, 64).collect()) == whole
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_other_tokenizers_encode_whole_texts():
     import public_tokenizers
 
@@ -434,6 +467,22 @@ def test_pipeline_over_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.filter_toxic, corpus_pipeline.drop_near_copies, corpus_pipeline.redact_personal_data, corpus_pipeline.pack_sequences])
+def test_stages_bound_what_a_worker_gets_at_once(spark, tmp_path, stage):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(k, "good words", "en", "a", 10) for k in range(8)], "doc_id long, text string, lang string, source string, n_chars int")
+    spark.createDataFrame([(k, 1, k % 2) for k in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage(spark, docs, str(tmp_path))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    wide = spark.range(9_000).selectExpr("id", "repeat('abcdefgh', 200) as text").coalesce(1)  # 14 MB, one batch if rows alone are counted
+    got = [r.n for r in wide.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 14e6 and max(got) < 1.1 * 4 * 2**20
+
+
 def test_pipeline_by_planted_documents(spark, tmp_path):
     """Toxic documents and near copies go, personal data is replaced, and every id that the mix takes is packed once."""
     rng = random.Random(23)
